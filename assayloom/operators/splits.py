@@ -34,7 +34,8 @@ def hash_cuts(hashed: DataFrame, groups: Sequence[str], ranks: list[Column]) ->
 
     ``ranks`` are expressions over the group size ``n``; rank 0 gives an empty text (before all hashes).
     Counts by hash prefix (at most 65,536 per group) locate the prefix that holds a rank; only rows with
-    such a prefix are ordered, one prefix at a time.
+    such a prefix are ordered, one prefix at a time. The table of holders is broadcast: it has at most
+    len(ranks) rows per group, and groups are classes or repeats.
     """
     groups = list(groups)
     prefix = hashed.select(*groups, "_h", F.substring("_h", 1, PREFIX).alias("_p"))
@@ -51,7 +52,7 @@ def hash_cuts(hashed: DataFrame, groups: Sequence[str], ranks: list[Column]) ->
     holders = holders.select(*groups, "_p", "_from", "_wanted")
     place = W.partitionBy(*groups, "_p").orderBy("_h")
     picked = (
-        prefix.join(holders, groups + ["_p"])
+        prefix.join(F.broadcast(holders), groups + ["_p"])
         .withColumn("_rank", F.row_number().over(place) + F.col("_from"))
         .select(*groups, "_h", "_rank", F.explode("_wanted").alias("_w"))
         .where(F.col("_rank") == F.col("_w.r"))
