@@ -1 +1 @@
-
+"""Structured Streaming jobs over arriving rows."""
