@@ -78,7 +78,7 @@ def assemble(descriptors: DataFrame, fingerprints: DataFrame, key: str, out: str
     left = [c for c in descriptors.columns if c != key]
     right = [c for c in fingerprints.columns if c != key]
     joined = descriptors.join(fingerprints, key)
-    return VectorAssembler(inputCols=left + right, outputCol=out, handleInvalid="keep").transform(joined).select(key, out)
+    return VectorAssembler(inputCols=left + right, outputCol=out).transform(joined).select(key, out)
 
 
 def hybrid(aligned: DataFrame, key: str, first: str = "x2d", second: str = "x3d", label: str = "y") -> DataFrame:

@@ -276,13 +276,13 @@ def tune(
 
         def run(n: int) -> DataFrame:
             model = tuned_estimator(task, plan[n]["family"], plan[n]["params"], seed=seed).fit(fit)
-            return predictions(model, rest, task, ["key"]).withColumn("n", F.lit(n))
+            return predictions(model, rest, task, ["key"]).withColumn("draw", F.lit(n))
 
         with ThreadPool(parallelism) as pool:
             parts = pool.map(run, range(len(plan)))
         measure = regression_metrics if task == "regression" else classification_metrics
-        for row in measure(_union(parts), "y", "prediction", ["n"]).select("n", metric).collect():
-            scores[row.n].append(row[metric])
+        for row in measure(_union(parts), "y", "prediction", ["draw"]).select("draw", metric).collect():
+            scores[row.draw].append(row[metric])
     rows = [
         (p["family"], p["trial"], float(np.mean(scores[n])), str(sorted(p["params"].items()))) for n, p in enumerate(plan)
     ]

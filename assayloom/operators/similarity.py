@@ -55,7 +55,7 @@ def tanimoto_search(
     """
     if queries.limit(max_queries + 1).count() <= max_queries:
         return _scan_search(library, queries, key, query_key, bits, min_sim, n_bits)
-    return _prefix_search(library, queries, key, query_key, bits, min_sim)
+    return _prefix_search(library, queries, key, query_key, bits, min_sim, n_bits)
 
 
 def _scan_search(library, queries, key, query_key, bits, min_sim, n_bits):
@@ -64,7 +64,7 @@ def _scan_search(library, queries, key, query_key, bits, min_sim, n_bits):
     matrix = np.zeros((len(rows), n_bits), dtype=np.float32)
     for i, r in enumerate(rows):
         matrix[i, list(r[1] or [])] = 1.0
-    sizes = matrix.sum(axis=1)
+    sizes = matrix.sum(axis=1, dtype=float)
     shared_state = library.sparkSession.sparkContext.broadcast((ids, matrix, sizes))
     key_type = library.schema[key].dataType.simpleString()
     query_type = queries.schema[query_key].dataType.simpleString()
@@ -78,9 +78,9 @@ def _scan_search(library, queries, key, query_key, bits, min_sim, n_bits):
                 for i, b in enumerate(part[bits]):
                     if b is not None and len(b):
                         x[i, np.asarray(b)] = 1.0
-                both = x @ m.T
-                union = x.sum(axis=1)[:, None] + n[None, :] - both
-                sim = np.divide(both, union, out=np.zeros_like(both, dtype=float), where=union > 0)
+                both = (x @ m.T).astype(float)
+                union = x.sum(axis=1, dtype=float)[:, None] + n[None, :] - both
+                sim = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
                 r, c = np.nonzero(sim >= min_sim - 1e-12)
                 yield pd.DataFrame(
                     {query_key: [names[j] for j in c], key: part[key].to_numpy()[r], "similarity": sim[r, c]}
@@ -89,14 +89,17 @@ def _scan_search(library, queries, key, query_key, bits, min_sim, n_bits):
     return library.select(key, bits).mapInPandas(run, f"{query_key} {query_type}, {key} {key_type}, similarity double")
 
 
-def _prefix_search(library, queries, key, query_key, bits, min_sim):
-    usage = library.select(F.explode(bits).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    order = F.map_from_entries(F.collect_list(F.struct("b", "n")))
-    rarity = usage.agg(order.alias("m")).select("m").scalar()
+def _prefix_search(library, queries, key, query_key, bits, min_sim, n_bits):
+    # one count per bit: at most n_bits numbers on the driver
+    usage = library.select(F.explode(bits).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()
+    uses = [0] * n_bits
+    for r in usage:
+        uses[r.b] = r.n
+    rarity = F.lit(uses)
 
     def prefix(df, ident, name):
         by_rarity = F.array_sort(
-            F.transform(F.col(bits), lambda b: F.struct(F.coalesce(F.try_element_at(rarity, b), F.lit(0)).alias("n"), b.alias("b")))
+            F.transform(F.col(bits), lambda b: F.struct(F.get(rarity, b).alias("n"), b.alias("b")))
         )
         keep = F.size(bits) - F.ceil(F.size(bits) * F.lit(min_sim) - F.lit(1e-9)) + 1
         return df.select(

@@ -360,20 +360,20 @@ def range_filter(spark, d):
     return C.range_filter(Tables(spark, d).documents.select("doc_id", "n_chars"), "n_chars")
 
 
-_RAW_SQL = f"""SELECT event_id, md5(CAST(user_id AS VARCHAR)) AS inchikey, 'S' || user_id AS canonical_smiles, 'M' || (event_id % 7) AS molecule_id,
+_RAW_SQL = f"""SELECT event_id, md5(CAST(user_id AS VARCHAR)) AS inchikey, 'S' || user_id AS canonical_smiles, 'M' || event_id AS molecule_id,
       {COMMENT_SQL} AS activity_comment, value * 10 AS mol_wt,
-      CASE WHEN event_type = 'error' THEN 'abc' WHEN event_type = 'view' THEN NULL ELSE CAST(round(4 + value / 100, 3) AS VARCHAR) END AS pchembl_value FROM events"""
+      CASE WHEN event_type = 'error' THEN 'abc' WHEN event_type = 'view' THEN NULL ELSE CAST(value AS VARCHAR) END AS pchembl_value FROM events"""
 
 
 def raw_activities(spark, d):
     value = F.when(F.col("event_type") == "error", "abc").when(
-        F.col("event_type") != "view", F.round(F.lit(4) + F.col("value") / 100, 3).cast("string")
+        F.col("event_type") != "view", F.col("value").cast("string")
     )
     return Tables(spark, d).events.select(
         "event_id",
         F.md5(F.col("user_id").cast("string").cast("binary")).alias("inchikey"),
         F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("canonical_smiles"),
-        F.concat(F.lit("M"), (F.col("event_id") % 7).cast("string")).alias("molecule_id"),
+        F.concat(F.lit("M"), F.col("event_id").cast("string")).alias("molecule_id"),
         comment_column().alias("activity_comment"),
         (F.col("value") * 10).alias("mol_wt"),
         value.alias("pchembl_value"),
@@ -427,9 +427,9 @@ def build_labelled_cytotox(spark, d):
 
 @register("prepare_regression_table", f"""
     SELECT trim(canonical_smiles) AS smiles, TRY_CAST(pchembl_value AS DOUBLE) AS pchembl_value FROM ({_RAW_SQL})
-    WHERE TRY_CAST(pchembl_value AS DOUBLE) IS NOT NULL AND event_id % 7 <> 3""")
+    WHERE TRY_CAST(pchembl_value AS DOUBLE) IS NOT NULL AND mol_wt >= 50""")
 def prepare_regression_table(spark, d):
-    return C.prepare_regression_table(raw_activities(spark, d), valid=F.col("molecule_id") != "M3")
+    return C.prepare_regression_table(raw_activities(spark, d), valid=F.col("mol_wt") >= 50)
 
 
 @register("profile_molecules", "SELECT count(DISTINCT l_partkey) AS n_molecules, count(*) AS n_rows FROM lineitem")
@@ -637,7 +637,7 @@ def align_features(spark, d):
 
 
 @register("assemble_vectors", """
-    SELECT vec_id, round(list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE))) + label, 4) AS total, len(embedding) + 1 AS width FROM embeddings""")
+    SELECT vec_id, round(list_sum(CAST(embedding AS DOUBLE[])) + label, 4) AS total, len(embedding) + 1 AS width FROM embeddings""")
 def assemble_vectors(spark, d):
     from pyspark.ml.functions import array_to_vector, vector_to_array
 

@@ -29,7 +29,7 @@ def connect(folder: str):
 
 
 def canonical(value):
-    if value is None or value is pd.NaT:
+    if value is None or value is pd.NaT or value is pd.NA:
         return "∅"
     if isinstance(value, float):
         return "∅" if math.isnan(value) else f"{value:.9g}"
