@@ -1,13 +1,14 @@
 """Exact order statistics without putting one group into one task.
 
 Percentiles, ranks and running totals need an order over whole groups, and a group may be most of the
-table. Values are therefore cut into bins by a fixed monotone function, so that
+table. Values are therefore cut by fixed monotone functions, first into bins of about 0.02 % of their
+magnitude and then into 4,096 cells per bin, so that
 
-* bin totals come from an ordinary map-side combined aggregation,
-* the running total over bins touches a bounded number of rows per group, and
-* only rows inside one bin are ever ordered together.
+* equal values are counted together before anything is moved,
+* the running total over the bins of a group, and over the cells of a bin, touches few rows, and
+* only distinct values of one cell (about 6e-8 of the magnitude) are ever ordered together.
 
-The bin depends on the value alone, so a task that is run again gives the same answer.
+Bin and cell depend on the value alone, so a task that is run again gives the same answer.
 """
 
 from __future__ import annotations
@@ -19,44 +20,71 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BINS_PER_E = 4096
+CELLS = 4096
+SMALLEST = 1e-290
+
+
+def _log_bin(value: Column) -> Column:
+    """1-based place of the magnitude on a logarithmic scale; 0 for (nearly) nothing."""
+    size = F.abs(value)
+    place = F.floor((F.log(F.greatest(size, F.lit(SMALLEST))) - F.log(F.lit(SMALLEST))) * F.lit(BINS_PER_E))
+    return F.when(size > SMALLEST, place + F.lit(1)).otherwise(F.lit(0))
 
 
 def value_bin(value: Column) -> Column:
-    """Monotone integer bin of a double; a bin spans about 0.02 % of the magnitude."""
-    magnitude = F.floor(F.log1p(F.abs(value)) * F.lit(BINS_PER_E))
-    return F.when(value < 0, -magnitude - F.lit(1)).otherwise(magnitude).cast("long")
+    """Monotone integer bin of a double."""
+    return F.when(value < 0, -_log_bin(value)).otherwise(_log_bin(value)).cast("long")
 
 
-def _binned_totals(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Per (keys, bin): totals of the measures before the bin, and the group totals."""
-    per_bin = df.groupBy(*keys, "_bin").agg(*[F.sum(m).alias(m) for m in measures])
-    by_group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    earlier = by_group.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    return per_bin.select(
-        *keys,
-        "_bin",
-        *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_base_{m}") for m in measures],
-        *[F.col(m).alias(f"_in_{m}") for m in measures],
-        *[F.sum(m).over(by_group).alias(f"{m}_total") for m in measures],
-    )
+def value_cell(value: Column, bin_: Column) -> Column:
+    """Monotone cell of a value inside its bin: linear between the edges of the bin."""
+    edge = lambda b: F.exp(b / F.lit(float(BINS_PER_E)) + F.log(F.lit(SMALLEST)))
+    low, high = edge(F.abs(bin_) - 1), edge(F.abs(bin_))
+    place = F.least(F.greatest(F.floor((F.abs(value) - low) / (high - low) * CELLS), F.lit(0)), F.lit(CELLS - 1))
+    return F.when(value < 0, -place).otherwise(place).cast("int")
+
+
+def _by(keys: Sequence[str]):
+    return W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+
+
+def _before(name: str, window) -> Column:
+    """Running sum over the rows before the current one."""
+    return F.coalesce(F.sum(name).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], value: str, measures: dict[str, Column]) -> DataFrame:
     """One row per (keys, distinct value): each measure summed there, ``*_before`` over smaller values in
-    the group and ``*_total`` over the group. Null values are left out."""
+    the group and ``*_total`` over the group. Null values are left out.
+
+    The input is read once: bins and cells are totals of the per-value counts, whose shuffle is reused.
+    """
     keys, names = list(keys), list(measures)
     rows = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias(value), *[c.alias(n) for n, c in measures.items()]
     )
-    rows = rows.withColumn("_bin", value_bin(F.col(value)))
-    distinct = rows.groupBy(*keys, "_bin", value).agg(*[F.sum(n).alias(n) for n in names])
-    bins = _binned_totals(rows, keys, names).drop(*[f"_in_{n}" for n in names])
-    earlier = W.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return null_safe_join(distinct, bins, keys + ["_bin"]).select(
+    rows = rows.withColumn("_bin", value_bin(F.col(value))).withColumn("_cell", value_cell(F.col(value), F.col("_bin")))
+    distinct = rows.groupBy(*keys, "_bin", "_cell", value).agg(*[F.sum(n).alias(n) for n in names])
+
+    cells = distinct.groupBy(*keys, "_bin", "_cell").agg(*[F.sum(n).alias(n) for n in names])
+    in_bin = _by([*keys, "_bin"]).orderBy("_cell")
+    cells = cells.select(*keys, "_bin", "_cell", *[_before(n, in_bin).alias(f"_c_{n}") for n in names])
+
+    bins = distinct.groupBy(*keys, "_bin").agg(*[F.sum(n).alias(n) for n in names])
+    in_group = _by(keys).orderBy("_bin")
+    bins = bins.select(
+        *keys,
+        "_bin",
+        *[_before(n, in_group).alias(f"_b_{n}") for n in names],
+        *[F.sum(n).over(_by(keys)).alias(f"{n}_total") for n in names],
+    )
+    bases = null_safe_join(cells, bins, [*keys, "_bin"])
+    in_cell = _by([*keys, "_bin", "_cell"]).orderBy(value)
+    return null_safe_join(distinct, bases, [*keys, "_bin", "_cell"]).select(
         *keys,
         value,
         *names,
-        *[(F.col(f"_base_{n}") + F.coalesce(F.sum(n).over(earlier), F.lit(0))).alias(f"{n}_before") for n in names],
+        *[(F.col(f"_b_{n}") + F.col(f"_c_{n}") + _before(n, in_cell)).alias(f"{n}_before") for n in names],
         *[f"{n}_total" for n in names],
     )
 
@@ -72,68 +100,72 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str], few_groups: bool = True
 ) -> DataFrame:
     """Linearly interpolated percentiles per group, exact for any group size.
 
-    A first aggregation finds the bins that hold the wanted ranks (at most two per percentile and group);
-    only rows of those bins are counted by value and ordered.
+    A first aggregation finds the bins that hold the wanted ranks: at most two per percentile and group.
+    Only rows of those bins are counted by value and ordered, cell by cell. With ``few_groups`` (features,
+    hot keys) that list of bins is broadcast; it has at most 2 x percentiles rows per group.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("_v"), F.lit(1).cast("long").alias("_n")
     )
     rows = rows.withColumn("_bin", value_bin(F.col("_v")))
+    bins = rows.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n"))
+    bins = bins.select(
+        *keys, "_bin", "_n", _before("_n", _by(keys).orderBy("_bin")).alias("_base"), F.sum("_n").over(_by(keys)).alias("_total")
+    )
+    at = lambda p: (F.col("_total") - 1) * F.lit(float(p))
     ranks = F.array(
         *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.floor((F.col("_n_total") - 1) * F.lit(float(p)) + F.lit(1e-9)).cast("long").alias("lo"),
-                ((F.col("_n_total") - 1) * F.lit(float(p))).alias("at"),
-            )
+            F.struct(F.lit(i).alias("i"), F.floor(at(p) + F.lit(1e-9)).cast("long").alias("lo"), at(p).alias("at"))
             for i, p in enumerate(probs)
         ]
     )
-    first, last = F.col("_base__n"), F.col("_base__n") + F.col("_in__n") - 1
+    first, last = F.col("_base"), F.col("_base") + F.col("_n") - 1
+    held = lambda r: (r >= first) & (r <= last)
     wanted = (
-        _binned_totals(rows, keys, ["_n"])
-        .withColumn(
-            "_ranks",
-            F.filter(ranks, lambda r: ((r["lo"] >= first) & (r["lo"] <= last)) | ((r["lo"] + 1 >= first) & (r["lo"] + 1 <= last))),
-        )
+        bins.withColumn("_ranks", F.filter(ranks, lambda r: held(r["lo"]) | held(r["lo"] + 1)))
         .where(F.size("_ranks") > 0)
-        .select(*keys, "_bin", F.col("_base__n").alias("_base"), "_ranks")
+        .select(*keys, "_bin", "_base", "_ranks")
+    )
+    hits = null_safe_join(rows, F.broadcast(wanted) if few_groups else wanted, [*keys, "_bin"])
+    hits = hits.withColumn("_cell", value_cell(F.col("_v"), F.col("_bin"))).groupBy(*keys, "_bin", "_cell", "_v").agg(
+        F.sum("_n").alias("_n"), F.any_value("_base").alias("_base"), F.any_value("_ranks").alias("_ranks")
     )
-    earlier = W.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    hits = (
-        null_safe_join(rows, wanted, keys + ["_bin"])
-        .groupBy(*keys, "_bin", "_v")
-        .agg(F.sum("_n").alias("_n"), F.any_value("_base").alias("_base"), F.any_value("_ranks").alias("_ranks"))
-        .withColumn("_from", F.col("_base") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    cells = hits.groupBy(*keys, "_bin", "_cell").agg(F.sum("_n").alias("_n"))
+    cells = cells.select(*keys, "_bin", "_cell", _before("_n", _by([*keys, "_bin"]).orderBy("_cell")).alias("_in_bin"))
+    in_cell = _by([*keys, "_bin", "_cell"]).orderBy("_v")
+    placed = (
+        null_safe_join(hits, cells, [*keys, "_bin", "_cell"])
+        .withColumn("_from", F.col("_base") + F.col("_in_bin") + _before("_n", in_cell))
         .withColumn("_to", F.col("_from") + F.col("_n") - 1)
         .select(*keys, "_v", "_from", "_to", F.explode("_ranks").alias("_r"))
     )
-    lo_hit = (F.col("_r.lo") >= F.col("_from")) & (F.col("_r.lo") <= F.col("_to"))
-    hi_hit = (F.col("_r.lo") + 1 >= F.col("_from")) & (F.col("_r.lo") + 1 <= F.col("_to"))
+    here = lambda r: (r >= F.col("_from")) & (r <= F.col("_to"))
     out = []
     for i, name in enumerate(names):
         mine = F.col("_r.i") == i
-        lo = F.max(F.when(mine & lo_hit, F.col("_v")))
-        hi = F.max(F.when(mine & hi_hit, F.col("_v")))
+        lo = F.max(F.when(mine & here(F.col("_r.lo")), F.col("_v")))
+        hi = F.max(F.when(mine & here(F.col("_r.lo") + 1), F.col("_v")))
         part = F.max(F.when(mine, F.col("_r.at") - F.col("_r.lo")))
         out.append((lo + F.greatest(part, F.lit(0.0)) * (F.coalesce(hi, lo) - lo)).alias(name))
-    return hits.groupBy(*keys).agg(*out)
+    return placed.groupBy(*keys).agg(*out)
 
 
 def median_by_key(df: DataFrame, keys: Sequence[str], value: str, name: str, hot_rows: int = 1_000_000) -> DataFrame:
     """Exact median for many keys.
 
-    Ordinary keys take Spark's median in one shuffle. Keys with more than ``hot_rows`` rows (found by a
-    map-side combined count) would hold all their values in one task, so they go through the binned path.
+    Ordinary keys take Spark's median in one shuffle. A key with more than ``hot_rows`` rows would hold
+    all its values in one task, so it goes through the binned path. Such keys are found by a map-side
+    combined count; there are at most rows / hot_rows of them, which bounds what is broadcast.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias(value))
     hot = rows.groupBy(*keys).agg(F.count(value).alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
+    hot = F.broadcast(hot)
     cold_part = rows.join(hot, keys, "left_anti").groupBy(*keys).agg(F.median(value).alias(name))
     hot_part = exact_percentiles(rows.join(hot, keys, "left_semi"), keys, value, [0.5], [name])
     return cold_part.unionByName(hot_part)

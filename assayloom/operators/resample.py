@@ -15,7 +15,8 @@ from assayloom.operators.splits import hash_cuts, key_hash
 
 # Imbalance from which rows are added, and neighbours considered.
 MIN_RATIO, NEIGHBOURS = 2.0, 5
-EXACT_ENTRIES = 20_000_000
+# at most 5 million doubles (40 MB) are shipped to the tasks
+EXACT_ENTRIES = 5_000_000
 BLOCK_ROWS = 5_000
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from assayloom.functions.scores import (
     shape_class,
 )
 from assayloom.functions.text import recommendation_text
+from assayloom.operators.lookup import ENDPOINTS
 
 # Weights of the two sides, confidences, modifiers of the enhanced score.
 ML_WEIGHT, DOCKING_WEIGHT = 0.7, 0.3
@@ -68,41 +71,62 @@ def endpoint_scores(preds: DataFrame) -> DataFrame:
     return preds.withColumn("score", score).withColumn("level", risk_level(F.col("score")))
 
 
-def integrated_assessment(preds: DataFrame, key: str, pos: str = "endpoint_pos", ok: str = "success") -> DataFrame:
+def _ranked_endpoints(endpoints: Sequence[str]) -> Column:
+    """Array of struct(neg, pos, endpoint) from the ``_s_<i>`` columns, highest score first, then by place."""
+    entries = [
+        F.when(
+            F.col(f"_s_{i}").isNotNull(),
+            F.struct((-F.col(f"_s_{i}")).alias("neg"), F.lit(i).alias("pos"), F.lit(e).alias("endpoint")),
+        )
+        for i, e in enumerate(endpoints)
+    ]
+    return F.array_sort(F.array_compact(F.array(*entries)))
+
+
+def _score_columns(scores: DataFrame, key: str, endpoints: Sequence[str], ok: Column) -> DataFrame:
+    """One row per key with the score of each endpoint in its own column.
+
+    A maximum per endpoint combines map-side in a plain hash aggregation, so a key with very many rows is
+    no burden; an endpoint scored twice counts with its higher score.
+    """
+    return scores.groupBy(key).agg(
+        *[F.max(F.when(ok & (F.col("endpoint") == e), F.col("score"))).alias(f"_s_{i}") for i, e in enumerate(endpoints)]
+    )
+
+
+def integrated_assessment(
+    preds: DataFrame, key: str, endpoints: Sequence[str] = ENDPOINTS, ok: str = "success"
+) -> DataFrame:
     """One row per key: overall risk (maximum), critical endpoint, ranking, maps, recommendation.
 
-    Each key has one row per endpoint, so the collected list is as short as the endpoint list. Keys whose
-    predictions all failed keep a row with an error text.
+    The endpoint list gives the order that decides ties. Keys whose predictions all failed keep a row
+    with an error text.
     """
-    good = F.col(ok) & F.col("score").isNotNull()
-    entry = F.struct((-F.col("score")).alias("neg"), F.col(pos).alias("pos"), F.col("endpoint").alias("endpoint"), F.col("level").alias("level"))
-    rows = endpoint_scores(preds).groupBy(key).agg(F.array_sort(F.collect_list(F.when(good, entry))).alias("_r"))
+    good = F.coalesce(F.col(ok), F.lit(False))
+    rows = _score_columns(endpoint_scores(preds), key, endpoints, good).withColumn("_r", _ranked_endpoints(endpoints))
     ranked = F.col("_r")
     top = F.get(ranked, F.lit(0))
     overall = -top["neg"]
-    by_pos = F.array_sort(F.transform(ranked, lambda e: F.struct(e["pos"], e["endpoint"], e["neg"], e["level"])))
-    level = risk_level(overall)
-    critical = top["endpoint"]
+    by_pos = F.array_sort(F.transform(ranked, lambda e: F.struct(e["pos"], e["endpoint"], (-e["neg"]).alias("score"))))
+    level, critical = risk_level(overall), top["endpoint"]
     return rows.select(
         key,
         F.round(overall, 4).alias("overall_risk_score"),
         level.alias("overall_risk_level"),
         critical.alias("critical_endpoint"),
         F.when(overall != 0, F.round(overall, 4)).alias("critical_endpoint_score"),
-        F.map_from_entries(F.transform(by_pos, lambda e: F.struct(e["endpoint"], F.round(-e["neg"], 4)))).alias("endpoint_risk_scores"),
-        F.map_from_entries(F.transform(by_pos, lambda e: F.struct(e["endpoint"], e["level"]))).alias("endpoint_risk_levels"),
+        F.map_from_entries(F.transform(by_pos, lambda e: F.struct(e["endpoint"], F.round(e["score"], 4)))).alias("endpoint_risk_scores"),
+        F.map_from_entries(F.transform(by_pos, lambda e: F.struct(e["endpoint"], risk_level(e["score"])))).alias("endpoint_risk_levels"),
         F.transform(ranked, lambda e: e["endpoint"]).alias("endpoint_ranking"),
         recommendation_text(level, critical).alias("recommendation"),
         F.when(F.size(ranked) == 0, F.lit("No valid predictions")).alias("error"),
     )
 
 
-def endpoint_ranking(scores: DataFrame, key: str, pos: str = "endpoint_pos") -> DataFrame:
+def endpoint_ranking(scores: DataFrame, key: str, endpoints: Sequence[str] = ENDPOINTS) -> DataFrame:
     """Endpoints of each key by falling score; endpoint order decides ties."""
-    entry = F.struct((-F.col("score")).alias("neg"), F.col(pos).alias("pos"), F.col("endpoint").alias("endpoint"))
-    return scores.where(F.col("score").isNotNull()).groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["endpoint"]).alias("endpoint_ranking")
-    )
+    rows = _score_columns(scores, key, endpoints, F.lit(True))
+    return rows.select(key, F.transform(_ranked_endpoints(endpoints), lambda e: e["endpoint"]).alias("endpoint_ranking"))
 
 
 def ensemble_columns(ml_weight: float = ML_WEIGHT, docking_weight: float = DOCKING_WEIGHT) -> dict[str, Column]:

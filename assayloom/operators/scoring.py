@@ -14,6 +14,7 @@ from assayloom.functions.labels import label_text
 from assayloom.operators.domain import Domain, add_domain_value, domain_flag
 from assayloom.operators.explain import top_of_array
 from assayloom.operators.features import scale
+from assayloom.operators.lookup import ENDPOINTS
 
 
 @dataclass(frozen=True)
@@ -76,12 +77,13 @@ def score_all(df: DataFrame, key: str, vec: str, models: Sequence[EndpointModel]
     return out
 
 
-def multi_endpoint_map(scored: DataFrame, key: str) -> DataFrame:
+def multi_endpoint_map(scored: DataFrame, key: str, endpoints: Sequence[str] = ENDPOINTS) -> DataFrame:
     """One row per key with a map endpoint -> result, for the sink."""
     rest = [c for c in scored.columns if c not in (key, "endpoint")]
-    return scored.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("endpoint", F.struct(*rest)))).alias("results")
-    )
+    one = lambda e: F.any_value(F.when(F.col("endpoint") == e, F.struct(F.lit(e).alias("endpoint"), F.struct(*rest).alias("result"))), F.lit(True))
+    rows = scored.groupBy(key).agg(*[one(e).alias(f"_e_{i}") for i, e in enumerate(endpoints)])
+    entries = F.array_compact(F.array(*[F.col(f"_e_{i}") for i in range(len(endpoints))]))
+    return rows.select(key, F.map_from_entries(entries).alias("results"))
 
 
 def linear_explanation(

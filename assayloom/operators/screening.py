@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from assayloom.functions.scores import AFFINITY_HIGH, AFFINITY_MODERATE, affinity_to_risk
 
+# All known targets, in order.
+ALL_TARGETS = ("herg", "hepatotox", "cyp3a4", "cyp2d6", "cyp2c9", "ar", "er_alpha")
+
 
 def _docked():
     return F.coalesce(F.col("success"), F.lit(False)) & F.col("affinity").isNotNull()
@@ -81,13 +84,16 @@ def batch_totals(results: DataFrame) -> DataFrame:
     return results.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce("success", F.lit(False))).alias("successful"))
 
 
-def endpoint_summary(results: DataFrame, keys: Sequence[str]) -> DataFrame:
+def endpoint_summary(results: DataFrame, keys: Sequence[str], targets: Sequence[str] = ALL_TARGETS) -> DataFrame:
     """Per compound and endpoint: targets, docked, best / mean affinity, enhanced scores, high-risk targets, verdict.
 
-    Rows are one per target, so the collected list is as short as the endpoint's target list.
+    High-risk targets are one flag per listed target, so nothing is collected; they come in list order.
     """
     a = F.when(_docked(), F.col("affinity"))
-    high = F.when(F.col("enhanced_risk") == "high", F.struct("target_pos", "target"))
+    flags = [
+        F.max(F.when((F.col("target") == t) & (F.col("enhanced_risk") == "high"), F.lit(t))).alias(f"_t_{i}")
+        for i, t in enumerate(targets)
+    ]
     out = results.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_targets"),
         F.count(a).alias("successful_docks"),
@@ -95,10 +101,14 @@ def endpoint_summary(results: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.round(F.avg(a), 2).alias("avg_affinity"),
         F.round(F.max("enhanced_score"), 4).alias("max_enhanced_score"),
         F.round(F.avg("enhanced_score"), 4).alias("avg_enhanced_score"),
-        F.transform(F.array_sort(F.collect_list(high)), lambda e: e["target"]).alias("high_risk_targets"),
+        *flags,
     )
     top = F.coalesce(F.col("max_enhanced_score"), F.lit(0.0))
-    return out.withColumn("overall_risk", F.when(top >= 0.7, "high").when(top >= 0.4, "moderate").otherwise("low"))
+    return (
+        out.withColumn("high_risk_targets", F.array_compact(F.array(*[F.col(f"_t_{i}") for i in range(len(targets))])))
+        .withColumn("overall_risk", F.when(top >= 0.7, "high").when(top >= 0.4, "moderate").otherwise("low"))
+        .drop(*[f"_t_{i}" for i in range(len(targets))])
+    )
 
 
 def docking_features(results: DataFrame, key: str, targets: Sequence[str]) -> DataFrame:

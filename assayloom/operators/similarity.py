@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: width of a fingerprint.
 N_BITS = 2048
-MAX_QUERIES = 20_000
+# at most 4,000 x 2,048 single-precision numbers (33 MB) are shipped to the tasks
+MAX_QUERIES = 4_000
 
 
 def tokens(text: Column, ngram: int = 1) -> Column:

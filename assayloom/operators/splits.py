@@ -108,7 +108,7 @@ def stratified_split(
     """As the exact split, inside every class. The cut table has one row per class."""
     hashed = df.withColumn("_h", key_hash(key, seed))
     cuts = hash_cuts(hashed.select(label, "_h"), [label], _test_then_validation(test, validation))
-    named = hashed.join(cuts, label)
+    named = hashed.join(F.broadcast(cuts), label)
     return named.withColumn("split", _split_name(F.col("_h"), F.col("cut_0"), F.col("cut_1"))).select(*df.columns, "split")
 
 
@@ -126,7 +126,7 @@ def repeated_kfold(
     ends = [(F.lit(i) * F.floor(n / k) + F.least(F.lit(i), n % k)).cast("long") for i in range(1, k)]
     cuts = hash_cuts(hashed.select(*groups, "_h"), groups, ends)
     fold = sum((F.col("_h") > F.col(f"cut_{i}")).cast("int") for i in range(k - 1))
-    return hashed.join(cuts, groups).withColumn("fold", fold).select(*df.columns, "repeat", "fold")
+    return hashed.join(F.broadcast(cuts), groups).withColumn("fold", fold).select(*df.columns, "repeat", "fold")
 
 
 def repeated_stratified_kfold(
@@ -146,4 +146,4 @@ def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFra
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     total = counts.agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("k"))
     weight = total.select("n").scalar() / (total.select("k").scalar() * F.col("_c"))
-    return df.join(counts.select(label, weight.alias(name)), label)
+    return df.join(F.broadcast(counts.select(label, weight.alias(name))), label)

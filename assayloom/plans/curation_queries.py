@@ -539,16 +539,21 @@ def ligand_atoms(spark, d):
     SELECT p_partkey, CAST(g AS INTEGER) AS pose_id, round(-(p_size / 10.0) + g * 0.5, 1) AS affinity, CAST(g AS DOUBLE) AS rmsd_lb, g + 0.5 AS rmsd_ub
     FROM part, (SELECT unnest([1, 2, 3]) AS g) WHERE p_size <> 13""")
 def dock_log_poses(spark, d):
+    return X.poses_from_logs(dock_logs(spark, d), "log")
+
+
+def dock_logs(spark, d):
     header = F.when(F.col("p_size") == 13, "no result\n").otherwise("intro 1 2 3\nmode |   affinity | dist\n-----+-----\n")
     pose = lambda g: F.format_string("%4d %8.1f %8.3f %8.3f\n", F.lit(g), -(F.col("p_size") / 10.0) + g * 0.5, F.lit(float(g)), F.lit(g + 0.5))
     text = F.concat(header, pose(1), pose(2), pose(3), F.lit("Writing output ... done.\n"))
-    return X.poses_from_logs(Tables(spark, d).part.select("p_partkey", text.alias("log")), "log")
+    return Tables(spark, d).part.select("p_partkey", text.alias("log"))
 
 
 @register("dock_pose_summary", """
-    SELECT p_partkey, round(-(p_size / 10.0) + 0.5, 1) AS affinity, 1.0 AS best_pose_rmsd, 3 AS num_poses, '1,2' AS top FROM part WHERE p_size <> 13""")
+    SELECT p_partkey, CASE WHEN p_size <> 13 THEN round(-(p_size / 10.0) + 0.5, 1) END AS affinity, CASE WHEN p_size <> 13 THEN 1.0 END AS best_pose_rmsd,
+      CASE WHEN p_size <> 13 THEN 3 ELSE 0 END AS num_poses, CASE WHEN p_size <> 13 THEN '1,2' END AS top FROM part""")
 def dock_pose_summary(spark, d):
-    s = X.pose_summary(dock_log_poses(spark, d), ["p_partkey"])
+    s = X.pose_summary(dock_logs(spark, d), "log")
     top = F.array_join(F.transform(X.top_poses(F.col("poses"), 2), lambda p: p["pose_id"].cast("string")), ",")
     return s.select("p_partkey", "affinity", "best_pose_rmsd", "num_poses", top.alias("top"))
 

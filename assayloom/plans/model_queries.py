@@ -152,11 +152,18 @@ def score_endpoints(spark, d):
     return scored.groupBy("endpoint", "success", "error").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("score_endpoint_map", """
+    SELECT vec_id AS key, CAST(3 AS INTEGER) AS n_endpoints, CASE WHEN label = 3 THEN 'Invalid input' END AS error FROM embeddings""")
+def score_endpoint_map(spark, d):
+    scored = Z.score_all(_requests(spark, d), "key", "features", endpoint_models(spark, d))
+    out = Z.multi_endpoint_map(scored, "key")
+    return out.select("key", F.size("results").alias("n_endpoints"), F.col("results")["ames"]["error"].alias("error"))
+
+
 @register("score_integrated")
 def score_integrated(spark, d):
     scored = Z.score_all(_requests(spark, d), "key", "features", endpoint_models(spark, d))
-    pos = F.when(F.col("endpoint") == "herg", 0).when(F.col("endpoint") == "ames", 3).otherwise(5)
-    out = R.integrated_assessment(scored.withColumn("endpoint_pos", pos), "key")
+    out = R.integrated_assessment(scored, "key")
     return out.select("key", "overall_risk_score", "overall_risk_level", "critical_endpoint", "recommendation", "error")
 
 

@@ -284,7 +284,7 @@ _VERDICT_SQL = "CASE WHEN coalesce(max(enhanced_score), 0) >= 0.7 THEN 'high' WH
 
 @register("endpoint_summary", f"""
     WITH {_DOCK_SQL}, {_DESC_SQL} SELECT key, count(*) AS num_targets, count(affinity) AS successful_docks, round(min(affinity), 2) AS best_affinity, round(max(enhanced_score), 4) AS max_enhanced_score,
-      coalesce(string_agg(target, ',' ORDER BY target_pos) FILTER (WHERE enhanced_risk = 'high'), '') AS high_risk_targets, {_VERDICT_SQL} AS overall_risk FROM es GROUP BY 1""")
+      coalesce(string_agg(target, ',' ORDER BY list_position(['herg', 'hepatotox', 'cyp3a4', 'cyp2d6', 'cyp2c9', 'ar', 'er_alpha'], target)) FILTER (WHERE enhanced_risk = 'high'), '') AS high_risk_targets, {_VERDICT_SQL} AS overall_risk FROM es GROUP BY 1""")
 def endpoint_summary(spark, d):
     out = G.endpoint_summary(R.enhanced_score(compatible(spark, d)), ["key"])
     return out.select("key", "num_targets", "successful_docks", "best_affinity", "max_enhanced_score", joined_text("high_risk_targets").alias("high_risk_targets"), "overall_risk")

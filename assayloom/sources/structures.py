@@ -103,43 +103,48 @@ def fixed_width_atoms(spark: SparkSession, path: str, chain: str = "A") -> DataF
     return receptor_atoms(lines, chain)
 
 
-def poses_from_logs(logs: DataFrame, text: str) -> DataFrame:
-    """Pose rows of docking logs held one per row; other columns are repeated.
+def pose_array(text: Column) -> Column:
+    """Poses of one docking log as an array of struct(pose_id, affinity, rmsd_lb, rmsd_ub), in file order.
 
-    A pose line follows the header, has at least four tokens, and starts with digits only.
+    A pose line follows the header, has at least four tokens, and starts with digits only. Everything
+    happens inside the row.
     """
-    rest = [c for c in logs.columns if c != text]
-    body = F.substring_index(F.col(text), POSE_HEADER, -1)
-    tokens = F.split(F.trim(F.col("_line")), "\\s+")
-    return (
-        logs.where(F.contains(F.col(text), F.lit(POSE_HEADER)))
-        .select(*rest, F.explode(F.split(body, "\\r?\\n")).alias("_line"))
-        .withColumn("_t", tokens)
-        .where((F.size("_t") >= 4) & F.col("_t")[0].rlike("^[0-9]+$"))
-        .select(
-            *rest,
-            F.col("_t")[0].try_cast("int").alias("pose_id"),
-            F.col("_t")[1].try_cast("double").alias("affinity"),
-            F.col("_t")[2].try_cast("double").alias("rmsd_lb"),
-            F.col("_t")[3].try_cast("double").alias("rmsd_ub"),
-        )
+    body = F.when(F.contains(text, F.lit(POSE_HEADER)), F.substring_index(text, POSE_HEADER, -1))
+    tokens = F.transform(F.split(body, "\\r?\\n"), lambda line: F.split(F.trim(line), "\\s+"))
+    lines = F.filter(tokens, lambda t: (F.size(t) >= 4) & t[0].rlike("^[0-9]+$"))
+    return F.transform(
+        lines,
+        lambda t: F.struct(
+            t[0].try_cast("int").alias("pose_id"),
+            t[1].try_cast("double").alias("affinity"),
+            t[2].try_cast("double").alias("rmsd_lb"),
+            t[3].try_cast("double").alias("rmsd_ub"),
+        ),
     )
 
 
+def poses_from_logs(logs: DataFrame, text: str) -> DataFrame:
+    """Pose rows of docking logs held one per row; other columns are repeated."""
+    return logs.select(*[c for c in logs.columns if c != text], F.inline(pose_array(F.col(text))))
+
+
 def parse_dock_logs(spark: SparkSession, path: str) -> DataFrame:
     """Pose table of docking log files (one log per file)."""
     logs = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     return poses_from_logs(logs, "value")
 
 
-def pose_summary(poses: DataFrame, keys: list[str]) -> DataFrame:
-    """Per log: the first pose as the best one, pose count, and the poses in order as an array."""
-    row = F.struct("pose_id", "affinity", "rmsd_lb", "rmsd_ub")
-    return poses.groupBy(*keys).agg(
-        F.min_by("affinity", "pose_id").alias("affinity"),
-        F.min_by("rmsd_lb", "pose_id").alias("best_pose_rmsd"),
-        F.count(F.lit(1)).alias("num_poses"),
-        F.array_sort(F.collect_list(row)).alias("poses"),
+def pose_summary(logs: DataFrame, text: str) -> DataFrame:
+    """Per log: the first pose as the best one, pose count, and the poses in order; null when there is none."""
+    rest = [c for c in logs.columns if c != text]
+    rows = logs.select(*rest, pose_array(F.col(text)).alias("poses"))
+    best = F.get("poses", F.lit(0))
+    return rows.select(
+        *rest,
+        best["affinity"].alias("affinity"),
+        best["rmsd_lb"].alias("best_pose_rmsd"),
+        F.coalesce(F.size("poses"), F.lit(0)).alias("num_poses"),
+        "poses",
     )
 
 
