@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -35,12 +36,15 @@ def keep_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
 def range_filter(df: DataFrame, column: str, low: float = MIN_WEIGHT, high: float = MAX_WEIGHT) -> DataFrame:
     """Inclusive range; values that are not numbers count as 0.
 
-    A numeric column is compared as it is, so that the bounds reach the scan.
+    A numeric column is compared as it is, and a whole-number column with whole bounds, so that the
+    bounds reach the scan.
     """
-    if isinstance(df.schema[column].dataType, T.NumericType):
-        value = F.col(column)
-        return df.where(value.between(low, high)) if low > 0 else df.where(F.coalesce(value, F.lit(0.0)).between(low, high))
-    return df.where(F.coalesce(F.col(column).try_cast("double"), F.lit(0.0)).between(low, high))
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.IntegralType):
+        low, high = math.ceil(low), math.floor(high)
+    value = F.col(column) if isinstance(kind, T.NumericType) else F.col(column).try_cast("double")
+    inside = value.between(low, high)
+    return df.where(inside | value.isNull() if low <= 0 <= high else inside)
 
 
 def add_const(df: DataFrame, value: str, column: str = "task_type") -> DataFrame:

@@ -46,7 +46,7 @@ def feature_stats(df: DataFrame, vec: str) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
             F.count("x").alias("n_present"),
-            (F.lit(1.0) - F.count("x") / F.count(F.lit(1))).alias("missing_fraction"),
+            (F.count_if(F.col("x").isNull()) / F.count(F.lit(1))).alias("missing_fraction"),
             F.avg("x").alias("mean"),
             F.var_pop("x").alias("var_pop"),
             F.var_samp("x").alias("var_samp"),
