@@ -106,11 +106,7 @@ def dedup_median(
 ) -> DataFrame:
     """One row per key: exact median of the value and the first non-null of the other columns."""
     rows = df.where(F.col(key).isNotNull())
-    medians = median_by_key(rows, [key], value, value, hot_rows)
-    if not firsts:
-        return medians
-    heads = rows.groupBy(key).agg(*[first_present(c, order) for c in firsts])
-    return heads.join(medians, key, "left")
+    return median_by_key(rows, [key], value, value, hot_rows, [first_present(c, order) for c in firsts])
 
 
 def dedup_majority(df: DataFrame, key: str, label: str, firsts: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
@@ -213,8 +209,8 @@ def prepare_regression_table(
 
 def profile_activities(df: DataFrame, molecule: str, kind: str, value: str, bins: int = 50) -> dict[str, DataFrame]:
     """Three small tables: distinct molecules, rows per activity type, equal-width histogram of the value."""
-    span = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    span = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("s")).scalar()
+    lo, hi = span["lo"], span["hi"]
     place = F.floor(F.try_divide((F.col(value) - lo) * F.lit(bins), hi - lo))
     histogram = (
         df.where(F.col(value).isNotNull())

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,6 +163,27 @@ def score_missing(
     return results, new_cache
 
 
+def python_scorer(
+    fn: Callable[[pd.DataFrame], Sequence[Sequence]], schema: str
+) -> Callable[[DataFrame], DataFrame]:
+    """A scorer for :func:`score_missing` from a Python function over batches of request rows.
+
+    ``fn`` returns one tuple of result columns per row, in the order of ``schema``.
+    """
+    names = [part.split()[0] for part in schema.split(",")]
+
+    def score(todo: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                made = pd.DataFrame(list(fn(batch)), columns=names, index=batch.index)
+                yield pd.concat([batch, made], axis=1)
+
+        given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in todo.schema)
+        return todo.mapInPandas(run, f"{given}, {schema}")
+
+    return score
+
+
 def compare_pairs(
     pairs: DataFrame, rows: DataFrame, key: str, left: str, right: str, columns: Sequence[str]
 ) -> DataFrame:

@@ -155,22 +155,35 @@ def exact_percentiles(
     return placed.groupBy(*keys).agg(*out)
 
 
-def median_by_key(df: DataFrame, keys: Sequence[str], value: str, name: str, hot_rows: int = 1_000_000) -> DataFrame:
-    """Exact median for many keys.
+def median_by_key(
+    df: DataFrame, keys: Sequence[str], value: str, name: str, hot_rows: int = 1_000_000, others: Sequence[Column] = ()
+) -> DataFrame:
+    """Exact median per key, with further aggregates of the same rows, for many keys.
 
-    Ordinary keys take Spark's median in one shuffle. A key with more than ``hot_rows`` rows would hold
-    all its values in one task, so it goes through the binned path. Such keys are found by a map-side
+    Ordinary keys take everything in one shuffle. A key with more than ``hot_rows`` rows would hold all
+    its values in one task, so its median goes through the binned path. Such keys are found by a map-side
     combined count; there are at most rows / hot_rows of them, which bounds what is broadcast.
     """
     keys = list(keys)
-    rows = df.select(*keys, F.col(value).cast("double").alias(value))
+    rows = df.withColumn(value, F.col(value).cast("double"))
     hot = rows.groupBy(*keys).agg(F.count(value).alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
     hot = F.broadcast(hot)
-    cold_part = rows.join(hot, keys, "left_anti").groupBy(*keys).agg(F.median(value).alias(name))
-    hot_part = exact_percentiles(rows.join(hot, keys, "left_semi"), keys, value, [0.5], [name])
+    cold_part = rows.join(hot, keys, "left_anti").groupBy(*keys).agg(F.median(value).alias(name), *others)
+    hot_rows_only = rows.join(hot, keys, "left_semi")
+    hot_part = exact_percentiles(hot_rows_only, keys, value, [0.5], [name])
+    if others:
+        hot_part = hot_part.join(hot_rows_only.groupBy(*keys).agg(*others), keys)
     return cold_part.unionByName(hot_part)
 
 
+def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """The table marked for broadcast when it has at most ``most`` rows, else the plain table.
+
+    The count stops after ``most`` rows; beyond it the join shuffles and splits skewed keys as usual.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row per key in the given order.
 

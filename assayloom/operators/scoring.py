@@ -9,6 +9,7 @@ from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayloom.functions.labels import label_text
 from assayloom.operators.domain import Domain, add_domain_value, domain_flag
@@ -86,6 +87,29 @@ def multi_endpoint_map(scored: DataFrame, key: str, endpoints: Sequence[str] = E
     return rows.select(key, F.map_from_entries(entries).alias("results"))
 
 
+def prediction_column(df: DataFrame, target: str) -> str:
+    """The prediction column of an external result table: a numeric column named after the target, else
+    the last numeric one, else the target column itself."""
+    numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+    named = [c for c in numeric if target in c.lower() and c != target]
+    rest = [c for c in numeric if c != target]
+    if named or rest:
+        return named[0] if named else rest[-1]
+    if target in numeric:
+        return target
+    raise ValueError(f"no prediction column among {df.columns}")
+
+
+def aligned_predictions(
+    predicted: DataFrame, truth: DataFrame, key: str, target: str, fold: int, split: str = "cv_val", predictor: str | None = None
+) -> DataFrame:
+    """(fold, split, key, y_true, y_pred): external predictions with the truth of their split, by key."""
+    column = predictor or prediction_column(predicted.drop(key), target)
+    return truth.select(key, F.col(target).cast("double").alias("y_true")).join(
+        predicted.select(key, F.col(column).cast("double").alias("y_pred")), key
+    ).select(F.lit(fold).alias("fold"), F.lit(split).alias("split"), key, "y_true", "y_pred")
+
+
 def linear_explanation(
     df: DataFrame, key: str, vec: str, coefficients: Sequence[float], means: Sequence[float], names: Sequence[str],
     intercept: float = 0.0, k: int = 10,

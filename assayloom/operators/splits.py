@@ -97,9 +97,8 @@ def split(
         name = F.when(head < share[0], "test").when(head < share[1], "val").otherwise("train")
         return hashed.withColumn("split", name).drop("_h")
     cuts = hash_cuts(hashed.select("_h"), [], _test_then_validation(test, validation))
-    return hashed.withColumn(
-        "split", _split_name(F.col("_h"), cuts.select("cut_0").scalar(), cuts.select("cut_1").scalar())
-    ).drop("_h")
+    both = cuts.select(F.struct("cut_0", "cut_1")).scalar()
+    return hashed.withColumn("split", _split_name(F.col("_h"), both["cut_0"], both["cut_1"])).drop("_h")
 
 
 def stratified_split(
@@ -144,6 +143,6 @@ def fold_sides(folds: DataFrame, k: int = 5) -> DataFrame:
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Class weights n / (classes * n_class); the class table has one row per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    total = counts.agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("k"))
-    weight = total.select("n").scalar() / (total.select("k").scalar() * F.col("_c"))
+    total = counts.agg(F.struct(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
+    weight = total["n"] / (total["k"] * F.col("_c"))
     return df.join(F.broadcast(counts.select(label, weight.alias(name))), label)

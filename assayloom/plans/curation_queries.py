@@ -14,15 +14,16 @@ from assayloom.session import stage_path
 from assayloom.sources import assays as A
 from assayloom.sources import structures as X
 from assayloom.sources import tables as T
+from assayloom.sources.state import load_state, save_state
 
-# Comments as they occur in activity records; a row's comment follows from its own JSON value.
+# Comments as they occur in activity records; a row's comment follows from its ids.
 COMMENTS = (
     "Inactive", "non-toxic at tested dose", "not active", "Weakly active", "Potent inhibitor",
     "Toxic", "no significant effect", "Positive", "unclear", "Non-mutagenic",
     " Cytotoxic ", "Sensitizer", "non-sensitizer", "Teratogenic", "not teratogenic", "liver injury",
 )
 COMMENT_SQL = (
-    "(['" + "','".join(COMMENTS) + "'])[CAST(json_extract_string(props, '$.k') AS BIGINT) % 16 + 1]"
+    "(['" + "','".join(COMMENTS) + "'])[(user_id + event_id) % 16 + 1]"
 )
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_suppkey"]
 LINE_ORDER_SQL = ", ".join(LINE_ORDER)
@@ -34,7 +35,7 @@ def _json_k():
 
 def comment_column():
     listed = F.array(*[F.lit(c) for c in COMMENTS])
-    return F.element_at(listed, (_json_k().try_cast("bigint") % 16 + 1).cast("int"))
+    return F.element_at(listed, ((F.col("user_id") + F.col("event_id")) % 16 + 1).cast("int"))
 
 
 def _phrases_sql(text: str, phrases) -> str:
@@ -558,6 +559,23 @@ def dock_pose_summary(spark, d):
     return s.select("p_partkey", "affinity", "best_pose_rmsd", "num_poses", top.alias("top"))
 
 
+@register("state_round_trip", """
+    SELECT p_type, round(avg(p_retailprice), 4) AS mean FROM part GROUP BY 1""")
+def state_round_trip(spark, d):
+    fitted = Tables(spark, d).part.groupBy("p_type").agg(F.round(F.avg("p_retailprice"), 4).alias("mean"))
+    return load_state(spark, save_state(fitted, stage_path(spark, "state")))
+
+
+@register("aligned_matrices", """
+    SELECT vec_id, CAST(label >= 5 AS INTEGER) * 1.0 AS y, 64 AS width_2d, 2 AS width_3d FROM embeddings""")
+def aligned_matrices(spark, d):
+    e = Tables(spark, d).embeddings
+    target = e.select("vec_id", (F.col("label") >= 5).cast("int").alias("y"))
+    three = T.vectors_to_table(e.withColumn("half", F.col("vec_id") / 2), "vec_id", ["label", "half"], "label")
+    rows = T.load_aligned(e.select("vec_id", F.col("embedding").cast("array<double>").alias("features")), three, target, "vec_id")
+    return rows.select("vec_id", "y", F.size("x2d").alias("width_2d"), F.size("x3d").alias("width_3d"))
+
+
 @register("json_results", """
     SELECT p_partkey, p_name, p_size FROM part""")
 def json_results(spark, d):
@@ -717,6 +735,17 @@ def score_missing_antijoin(spark, d):
     return results.drop("success")
 
 
+@register("score_missing_python", """
+    SELECT DISTINCT o_custkey, o_orderpriority, CAST(length(o_orderpriority) AS DOUBLE) AS score FROM orders""")
+def score_missing_python(spark, d):
+    """The scorer is a Python callable, run on batches inside the tasks."""
+    requests = Tables(spark, d).orders.select("o_custkey", "o_orderpriority").distinct()
+    empty = spark.createDataFrame([], "o_custkey long, o_orderpriority string, success boolean, score double")
+    scorer = J.python_scorer(lambda rows: [(len(t) > 0, float(len(t))) for t in rows["o_orderpriority"]], "success boolean, score double")
+    results, _ = J.score_missing(requests, empty, ["o_custkey", "o_orderpriority"], scorer)
+    return results.drop("success")
+
+
 @register("compare_pairs", """
     SELECT a.s_suppkey AS a_key, b.s_suppkey AS b_key, b.s_suppkey IS NOT NULL AS success, a.s_acctbal AS left_bal, b.s_acctbal AS right_bal
     FROM supplier a LEFT JOIN supplier b ON b.s_suppkey = a.s_suppkey * 2""")
@@ -736,6 +765,6 @@ def compare_pairs(spark, d):
 def featurize_once(spark, d):
     from assayloom.operators.features import featurize_once as run
 
-    rows = Tables(spark, d).documents.select(F.md5(F.col("text").cast("binary")).alias("inchikey"), "text")
+    rows = T.spread(Tables(spark, d).documents).select(F.md5(F.col("text").cast("binary")).alias("inchikey"), "text")
     out = run(rows, "inchikey", "text", lambda t: (len(t), t.count("e")))
     return out.select("inchikey", F.get("features", F.lit(0)).alias("f0"), F.get("features", F.lit(1)).alias("f1"), "failed")

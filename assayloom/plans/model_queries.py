@@ -18,6 +18,8 @@ from assayloom.operators.resample import smote
 from assayloom.operators.splits import repeated_kfold, repeated_stratified_kfold, stratified_split
 from assayloom.operators.validation import compare_folds, cv_summary, sort_summary, unpivot_metrics
 from assayloom.plans.catalogue import Tables, register
+from assayloom.plans.jobs import predict_file
+from assayloom.session import stage_path
 
 SETTINGS = {
     "forest": {"numTrees": 20, "maxDepth": 6},
@@ -183,3 +185,38 @@ def explain_all_endpoints(spark, d):
     top = top_features_long(top, ["endpoint"], "feature", "value", 10)
     shared = common_features(top).select(F.lit("common").alias("kind"), "feature", F.col("endpoints_affected").cast("string").alias("detail"))
     return shared.unionByName(opposite_effects(top).select(F.lit("opposite").alias("kind"), "feature", F.col("insight").alias("detail")))
+
+
+@register("aligned_predictions", """
+    SELECT 1 AS fold, 'cv_val' AS split, doc_id, CAST(toxic AS DOUBLE) AS y_true, n_chars / 1000.0 AS y_pred FROM labels JOIN documents USING (doc_id)""")
+def aligned_predictions(spark, d):
+    t = Tables(spark, d)
+    external = t.documents.select("doc_id", "n_chars", (F.col("n_chars") / 1000.0).alias("toxic_pred"), "lang")
+    return Z.aligned_predictions(external, t.labels, "doc_id", "toxic", 1)
+
+
+@register("predict_lines", """
+    SELECT endpoint, success, error, count(*) AS n FROM (
+      SELECT endpoint, endpoint <> 'herg' AND vec_id > 9 AS success, CASE WHEN endpoint = 'herg' THEN 'Model not available for endpoint: herg' WHEN vec_id <= 9 THEN 'Invalid input' END AS error
+      FROM embeddings, (VALUES ('herg'), ('ames')) v(endpoint)) GROUP BY ALL""")
+def predict_lines(spark, d):
+    """Lines of a text file (vector ids) through one endpoint model; the other endpoint has none."""
+    path = stage_path(spark, "ids")
+    e = Tables(spark, d).embeddings
+    e.select(F.col("vec_id").cast("string")).write.text(path)
+    known = e.where(F.col("vec_id") > 9).select(F.col("vec_id").cast("string").alias("smiles"), F.col("embedding").cast("array<double>").alias("features"))
+    featurise = lambda lines: lines.join(known, "smiles", "left")
+    ames = [m for m in endpoint_models(spark, d) if m.endpoint == "ames"]
+    out = predict_file(spark, path, featurise, ames, endpoints=["herg", "ames"])
+    return out.groupBy("endpoint", "success", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("linear_explanation", """
+    WITH e AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS idx, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+      r AS (SELECT vec_id, idx, x * (idx % 3 - 1) AS v, row_number() OVER (PARTITION BY vec_id ORDER BY abs(x * (idx % 3 - 1)) DESC, idx) AS rk FROM e)
+    SELECT vec_id, round(0.25 + sum(v), 5) + 0.0 AS score, string_agg('f' || idx, ',' ORDER BY rk) FILTER (WHERE rk <= 3) AS top FROM r GROUP BY 1""")
+def linear_explanation(spark, d):
+    rows = Tables(spark, d).embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    out = Z.linear_explanation(rows, "vec_id", "v", [float(i % 3 - 1) for i in range(64)], [0.0] * 64, [f"f{i}" for i in range(64)], 0.25, 3)
+    top = F.array_join(F.transform("top_features", lambda f: f["feature"]), ",")
+    return out.select("vec_id", (F.round("score", 5) + F.lit(0.0)).alias("score"), top.alias("top"))

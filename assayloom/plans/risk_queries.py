@@ -16,6 +16,7 @@ from assayloom.plans import jobs
 from assayloom.plans.catalogue import Tables, register
 from assayloom.plans.feature_queries import _EMB_SQL
 from assayloom.plans.metric_queries import fold_table
+from assayloom.sources.tables import spread
 
 # Docking results: one row per (part, target of the supplier) with an affinity from the highest price.
 TARGETS = ("herg", "hepatotox", "cyp2d6", "cyp2c9", "ar", "er_alpha")
@@ -441,7 +442,7 @@ _RULES_SQL = " UNION ALL ".join(
 
 @register("alert_counts", f"SELECT * FROM ({_RULES_SQL}) WHERE occurrences > 0")
 def alert_counts(spark, d):
-    return E.alert_counts(Tables(spark, d).pages, "html", PAGE_RULES, ["page_id"])
+    return E.alert_counts(spread(Tables(spark, d).pages), "html", PAGE_RULES, ["page_id"])
 
 
 @register("annotate_alerts", """
@@ -493,7 +494,7 @@ _BITS = "list_sort(list_distinct(list_transform(" + _WORDS + ", lambda w: CAST(C
 
 
 def fingerprints(df, key, text="text"):
-    return df.select(key, Y.hashed_fingerprint(F.col(text), method="md5").alias("bits"))
+    return spread(df).select(key, Y.hashed_fingerprint(F.col(text), method="md5").alias("bits"))
 
 
 @register("fingerprint_bits", f"""

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assayloom.operators.ordered import small_side
+
 # Search words per endpoint, and how many assays are kept per word.
 ENDPOINT_KEYWORDS = {
     "hepatotox": ("hepatotoxicity", "DILI", "liver toxicity"),
@@ -63,10 +65,10 @@ def activities_for_assays(
 ) -> DataFrame:
     """Activities of every hit; an assay hit by two keywords contributes its rows twice.
 
-    ``hits`` comes from :func:`keyword_assays` and holds at most keywords x top_n rows.
+    Hits of :func:`keyword_assays` are at most keywords x top_n rows; they are broadcast after a count.
     """
     rows = activities if require is None else activities.where(F.length(F.col(require).cast("string")) > 0)
-    return rows.join(F.broadcast(hits), assay_id)
+    return rows.join(small_side(hits), assay_id)
 
 
 def curated_list(

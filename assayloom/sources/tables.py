@@ -88,6 +88,16 @@ def resolve_alias(columns: Sequence[str], preferred: str, aliases: Sequence[str]
     raise ValueError(f"no column like {preferred!r} among {list(columns)}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A file scan dealt out over all cores when it has fewer splits than that.
+
+    For work that is heavy per row (text scans, user functions) on a small table; a large table has more
+    splits than cores and stays where it is. ``df`` must be a plain file read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def with_positions(df: DataFrame, name: str = "pos") -> DataFrame:
     """0-based row position of a file scan, in file order, without moving the rows.
 
