@@ -108,7 +108,9 @@ def add_domain_value(df: DataFrame, vec: str, domain: Domain, name: str = "h") -
         m = np.stack(x.to_numpy()).astype(float)
         return pd.Series(np.einsum("ij,ij->i", m @ inverse, m))
 
-    return df.withColumn(name, leverage(F.col(vec).cast("array<double>")))
+    # marked so that a filter on the result does not run the function a second time
+    once = leverage.asNondeterministic()
+    return df.withColumn(name, once(F.col(vec).cast("array<double>")))
 
 
 def fit_domain(train: DataFrame, vec: str, method: str = "leverage") -> Domain:

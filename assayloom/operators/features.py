@@ -115,8 +115,21 @@ def impute_median(df: DataFrame, vec: str, medians: DataFrame, width: int, zero_
 
 
 def select_places(df: DataFrame, vec: str, places: Sequence[int]) -> DataFrame:
-    """Keep the given places of the array, in the given order."""
-    return df.withColumn(vec, F.transform(F.lit(list(places)), lambda i: F.get(F.col(vec), i)))
+    """Keep the given places of the array, in the given order.
+
+    The array is walked once: its elements get the rank of their place, and for places out of order the
+    kept pairs are sorted by it.
+    """
+    places = list(places)
+    ranks = [None] * (max(places) + 1 if places else 0)
+    for rank, place in enumerate(places):
+        ranks[place] = rank
+    lookup = F.array(*[F.lit(r).cast("int") for r in ranks]) if ranks else F.array().cast("array<int>")
+    if places == sorted(places):
+        return df.withColumn(vec, F.filter(F.col(vec), lambda x, i: F.get(lookup, i).isNotNull()))
+    ranked = F.transform(F.col(vec), lambda x, i: F.struct(F.get(lookup, i).alias("r"), x.alias("x")))
+    kept = F.array_sort(F.filter(ranked, lambda e: e["r"].isNotNull()))
+    return df.withColumn(vec, F.transform(kept, lambda e: e["x"]))
 
 
 def fit_standard(df: DataFrame, vec: str) -> DataFrame:

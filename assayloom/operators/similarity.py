@@ -20,9 +20,13 @@ def tokens(text: Column, ngram: int = 1) -> Column:
     words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
     if ngram == 1:
         return F.array_distinct(words)
-    starts = F.sequence(F.lit(1), F.size(words) - (ngram - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, ngram), " "))
-    return F.array_distinct(F.when(F.size(words) >= ngram, grams).otherwise(F.array().cast("array<string>")))
+
+    def grams(w):
+        starts = F.when(F.size(w) >= ngram, F.sequence(F.lit(1), F.size(w) - (ngram - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, ngram), " "))
+
+    # the outer array binds the words, so that the text is split once and not once per n-gram
+    return F.array_distinct(F.get(F.transform(F.array(words), grams), F.lit(0)))
 
 
 def bit_of(token: Column, n_bits: int = N_BITS, method: str = "xxhash64") -> Column:

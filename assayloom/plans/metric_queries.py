@@ -19,13 +19,13 @@ def reg_rows(spark, d):
 
 
 def rounded(df, columns, places=4):
-    return df.withColumns({c: F.round(c, places) for c in columns})
+    return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in columns})
 
 
 @register("regression_metrics", f"""
     SELECT l_linenumber, round(1 - avg((y - p) ** 2) / var_pop(y), 4) AS r2, round(sqrt(avg((y - p) ** 2)), 4) AS rmse, round(avg(abs(y - p)), 4) AS mae,
       round(avg((y - p) ** 2), 4) AS mse, round(1 - var_pop(y - p) / var_pop(y), 4) AS explained_variance, round(1 - avg((y - p) ** 2) / var_pop(y), 4) AS q2,
-      round(2 * covar_pop(y, p) / (var_pop(y) + var_pop(p) + (avg(y) - avg(p)) ** 2), 4) AS ccc, round(avg(y - p), 4) AS residual_mean,
+      round(2 * covar_pop(y, p) / (var_pop(y) + var_pop(p) + (avg(y) - avg(p)) ** 2), 4) + 0.0 AS ccc, round(avg(y - p), 4) + 0.0 AS residual_mean,
       round(stddev_pop(y - p), 4) AS residual_std, round(max(abs(y - p)), 4) AS max_abs_error, count(*) AS n FROM {_REG_SQL} GROUP BY 1""")
 def regression_metrics(spark, d):
     out = M.regression_metrics(reg_rows(spark, d), "y", "p", ["l_linenumber"])
@@ -45,7 +45,7 @@ def cv_q2(spark, d):
 
 
 @register("ccc_sample", f"""
-    SELECT l_linenumber, l_returnflag, count(*) AS n, round(2 * covar_samp(y, p) / (var_samp(y) + var_samp(p) + (avg(y) - avg(p)) ** 2), 4) AS ccc
+    SELECT l_linenumber, l_returnflag, count(*) AS n, round(2 * covar_samp(y, p) / (var_samp(y) + var_samp(p) + (avg(y) - avg(p)) ** 2), 4) + 0.0 AS ccc
     FROM {_REG_SQL} GROUP BY ALL""")
 def ccc_sample(spark, d):
     return rounded(M.ccc_sample(reg_rows(spark, d), "y", "p", ["l_linenumber", "l_returnflag"]), ["ccc"])

@@ -43,7 +43,7 @@ _POS_SQL = "CASE event_type WHEN 'view' THEN 0 WHEN 'signup' THEN 1 WHEN 'purcha
 _PRED_SQL = f"""
     pred AS (SELECT user_id AS key, {_ENDPOINT_SQL} AS endpoint, {_POS_SQL} AS endpoint_pos,
         CASE event_type WHEN 'view' THEN 'regression' ELSE 'classification' END AS task_type,
-        CASE event_type WHEN 'view' THEN 5 + max(value) / 100 ELSE CAST(max(value) > 150 AS INTEGER) END AS prediction,
+        CASE event_type WHEN 'view' THEN 5 + max(value) / 101 ELSE CAST(max(value) > 150 AS INTEGER) END AS prediction,
         CASE WHEN event_type NOT IN ('view', 'error') THEN least(1, max(value) / 300) END AS probability,
         min(value) < 3 AS success, avg(value) < 55 AS in_domain, CASE WHEN min(value) < 1 THEN 0.9 END AS domain_confidence
       FROM events GROUP BY user_id, event_type)"""
@@ -62,7 +62,7 @@ def predictions(spark, d):
     return rows.select(
         F.col("user_id").alias("key"), endpoint.alias("endpoint"), pos.alias("endpoint_pos"),
         F.when(kind == "view", "regression").otherwise("classification").alias("task_type"),
-        F.when(kind == "view", F.lit(5) + F.col("hi") / 100).otherwise((F.col("hi") > 150).cast("double")).alias("prediction"),
+        F.when(kind == "view", F.lit(5) + F.col("hi") / 101).otherwise((F.col("hi") > 150).cast("double")).alias("prediction"),
         F.when(~kind.isin("view", "error"), F.least(F.lit(1.0), F.col("hi") / 300)).alias("probability"),
         (F.col("lo") < 3).alias("success"), (F.col("mean") < 55).alias("in_domain"),
         F.when(F.col("lo") < 1, 0.9).alias("domain_confidence"),
@@ -83,7 +83,7 @@ def endpoint_scores(spark, d):
       a AS (SELECT key, max(score) FILTER (WHERE success) AS o, first(endpoint ORDER BY score DESC, endpoint_pos) FILTER (WHERE success) AS c,
         string_agg(endpoint, ',' ORDER BY score DESC, endpoint_pos) FILTER (WHERE success) AS ranking,
         string_agg(endpoint || ':' || level, ',' ORDER BY endpoint_pos) FILTER (WHERE success) AS levels,
-        round(sum(round(score, 4)) FILTER (WHERE success), 3) AS score_sum FROM lev GROUP BY 1)
+        round(sum(round(score, 4)) FILTER (WHERE success), 4) AS score_sum FROM lev GROUP BY 1)
     SELECT key, round(o, 4) AS overall_risk_score, CASE WHEN o < 0.3 THEN 'low' WHEN o < 0.7 THEN 'moderate' WHEN o >= 0.7 THEN 'high' END AS overall_risk_level, c AS critical_endpoint,
       CASE WHEN o <> 0 THEN round(o, 4) END AS critical_endpoint_score, coalesce(ranking, '') AS endpoint_ranking, coalesce(levels, '') AS endpoint_risk_levels, coalesce(score_sum, 0) AS score_sum,
       CASE WHEN o < 0.3 THEN 'Compound shows low toxicity risk across endpoints' WHEN o < 0.7 THEN 'Monitor ' || c || ' - moderate risk detected'
@@ -96,7 +96,7 @@ def integrated_assessment(spark, d):
     return out.select(
         "key", "overall_risk_score", "overall_risk_level", "critical_endpoint", "critical_endpoint_score",
         joined_text("endpoint_ranking").alias("endpoint_ranking"), joined_text(levels).alias("endpoint_risk_levels"),
-        F.round(total, 3).alias("score_sum"), "recommendation", "error",
+        F.round(total, 4).alias("score_sum"), "recommendation", "error",
     )
 
 
@@ -130,7 +130,7 @@ def affinity_risk(spark, d):
 @register("scalar_scores", """
     SELECT event_id, round(least(greatest((value / 20 - 5) / 3, 0), 1), 6) AS pic50_risk, CASE WHEN value / 100 < 0.3 THEN 'low' WHEN value / 100 < 0.7 THEN 'moderate' ELSE 'high' END AS level,
       round(exp(ln(0.01) + (ln(0.3) - ln(0.01)) * least(value / 500, 1)), 6) AS draw, CAST(user_id * 18 AS DOUBLE) AS volume,
-      CASE WHEN user_id > 0 THEN CASE WHEN value / 100 < 0.3 AND user_id / 150.0 > 0.7 THEN 'elongated' WHEN value / 100 > 0.6 AND user_id / 150.0 < 0.4 THEN 'flat' ELSE 'spherical' END END AS shape FROM events""")
+      CASE WHEN user_id > 0 AND value > 0 THEN CASE WHEN value / 100 < 0.3 AND user_id / 150.0 > 0.7 THEN 'elongated' WHEN value / 100 > 0.6 AND user_id / 150.0 < 0.4 THEN 'flat' ELSE 'spherical' END END AS shape FROM events""")
 def scalar_scores(spark, d):
     v, u = F.col("value"), F.col("user_id")
     return Tables(spark, d).events.select(

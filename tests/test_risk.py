@@ -115,3 +115,9 @@ def test_both_search_paths_agree_with_brute_force(spark):
         for most in (1000, 0):
             got = Y.tanimoto_search(lib, queries, "key", "q", "bits", least, 64, most).collect()
             assert {(r.q, r.key) for r in got} == want and len(got) == len(want)
+
+
+def test_word_ngrams(spark):
+    df = spark.createDataFrame([("A b  c, a B",), ("x",), ("",)], "t string")
+    assert [r.x for r in df.select(Y.tokens(F.col("t")).alias("x")).collect()] == [["a", "b", "c"], ["x"], []]
+    assert [r.x for r in df.select(Y.tokens(F.col("t"), 2).alias("x")).collect()] == [["a b", "b c", "c a"], [], []]
