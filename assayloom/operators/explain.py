@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from assayloom.functions.text import feature_category, pick
 
-# Structural alerts (name, pattern of the reference notation, concern, severity). The
-# patterns are substructure queries; alert_counts works on text patterns given by the caller.
+# Structural alerts (name, substructure query, concern, severity). The queries need a
+# chemistry toolkit; alert_counts works on text patterns given by the caller.
 STRUCTURAL_ALERTS = (
     ("nitro_aromatic", "[N+](=O)[O-]c", "Mutagenicity, hepatotoxicity", "high"),
     ("aromatic_amine", "c-[NH2]", "Mutagenicity, carcinogenicity", "high"),

@@ -199,14 +199,16 @@ def cross_validate(
 ) -> tuple[DataFrame, DataFrame]:
     """Repeated k-fold: (predictions by model, repeat and fold; training means by repeat and fold).
 
-    Scaling and over-sampling are fitted inside each fold. ``folds`` has (key, repeat, fold).
+    Scaling and over-sampling are fitted inside each fold. ``folds`` has (key, repeat, fold); the feature
+    table is written once, with one fold column per repeat.
     """
-    joined = stage_table(table.join(folds.select("key", "repeat", "fold"), "key"), "folds")
+    by_repeat = folds.groupBy("key").agg(*[F.max(F.when(F.col("repeat") == r, F.col("fold"))).alias(f"fold_{r}") for r in range(repeats)])
+    joined = stage_table(table.select("key", "features", "y").join(by_repeat, "key"), "folds")
     parts, means = [], []
     for r in range(repeats):
-        one = joined.where(F.col("repeat") == r)
+        place = F.col(f"fold_{r}")
         for i in range(k):
-            train, val = one.where(F.col("fold") != i), one.where(F.col("fold") == i)
+            train, val = joined.where(place != i), joined.where(place == i)
             fit, rest = prepared(train, val, task, oversample, name=f"cv-{r}-{i}")
             for name, estimator in model_set(task, settings, scale_gamma(fit), components=components).items():
                 if models is None or name in models:

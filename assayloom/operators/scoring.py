@@ -31,51 +31,59 @@ class EndpointModel:
     unit: str | None = None
 
 
-def score_endpoint(df: DataFrame, key: str, vec: str, em: EndpointModel) -> DataFrame:
-    """Prediction rows of one endpoint. Rows without features keep success=false and an error text."""
-    usable = F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x))
-    scaled = scale(df.where(usable).select(key, vec), vec, em.scaler)
-    out = em.model.transform(scaled.withColumn("x", array_to_vector(F.col(vec))))
+def _with_result(df: DataFrame, vec: str, em: EndpointModel, name: str) -> DataFrame:
+    """Adds one struct column with the endpoint's result for every row.
+
+    Rows without usable features pass the model as zeros, so that they need no separate scan, and get
+    an error instead of its answer.
+    """
+    before = df.columns
+    width = em.scaler.count()
+    features = F.col(vec)
+    usable = F.coalesce(
+        (F.size(vec) == width) & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x)), F.lit(False)
+    )
+    rows = df.withColumn("_ok", usable).withColumn(
+        "_v", F.when(F.col("_ok"), features).otherwise(F.array_repeat(F.lit(0.0), width))
+    )
+    out = em.model.transform(scale(rows, "_v", em.scaler).withColumn("x", array_to_vector("_v")))
     within = None
     if em.domain is not None:
-        out = add_domain_value(out, vec, em.domain)
-        within = F.col("h") <= F.lit(em.domain.threshold)
+        out = add_domain_value(out, "_v", em.domain, "_h")
+        within = F.col("_h") <= F.lit(em.domain.threshold)
     classified = em.task == "classification"
-    probability = vector_to_array("probability")[1] if classified else F.lit(None).cast("double")
-    good = out.select(
-        key,
-        F.lit(True).alias("success"),
-        F.lit(None).cast("string").alias("error"),
-        F.col("prediction").cast("double").alias("prediction"),
-        (label_text(F.col("prediction"), em.endpoint) if classified else F.lit(None).cast("string")).alias("label"),
-        probability.alias("probability"),
-        domain_flag(within).alias("applicability_domain"),
-    )
-    bad = df.where(~F.coalesce(usable, F.lit(False))).select(
-        key,
-        F.lit(False).alias("success"),
-        F.lit("Invalid input").alias("error"),
-        F.lit(None).cast("double").alias("prediction"),
-        F.lit(None).cast("string").alias("label"),
-        F.lit(None).cast("double").alias("probability"),
-        F.lit(None).cast(good.schema["applicability_domain"].dataType).alias("applicability_domain"),
-    )
-    return good.unionByName(bad).withColumns(
-        {
-            "endpoint": F.lit(em.endpoint),
-            "task_type": F.lit(em.task),
-            "unit": F.lit(em.unit).cast("string"),
-            "model": F.lit(em.name),
-        }
+    good = F.col("_ok")
+    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    result = F.struct(
+        F.lit(em.endpoint).alias("endpoint"),
+        F.lit(em.task).alias("task_type"),
+        good.alias("success"),
+        F.when(~good, F.lit("Invalid input")).alias("error"),
+        F.when(good, F.col("prediction").cast("double")).alias("prediction"),
+        F.when(good, label_text(F.col("prediction"), em.endpoint) if classified else no_text).alias("label"),
+        F.when(good, vector_to_array("probability")[1] if classified else no_number).alias("probability"),
+        F.lit(em.unit).cast("string").alias("unit"),
+        F.when(good, domain_flag(within)).alias("applicability_domain"),
+        F.lit(em.name).alias("model"),
     )
+    return out.select(*before, result.alias(name))
 
 
 def score_all(df: DataFrame, key: str, vec: str, models: Sequence[EndpointModel]) -> DataFrame:
-    """Long table (key, endpoint, ...) over all endpoint models: one transform per endpoint, no loop over rows."""
-    out = score_endpoint(df, key, vec, models[0])
-    for em in models[1:]:
-        out = out.unionByName(score_endpoint(df, key, vec, em))
-    return out
+    """Long table (key, endpoint, ...) over all endpoint models.
+
+    The feature table is read once: every model adds its result to the row, and the row is unfolded at the
+    end. Rows without usable features keep success=false and an error text.
+    """
+    rows = df.select(key, vec)
+    names = [f"_r{i}" for i in range(len(models))]
+    for name, em in zip(names, models):
+        rows = _with_result(rows, vec, em, name)
+    return rows.select(key, F.inline(F.array(*names)))
+
+
+def score_endpoint(df: DataFrame, key: str, vec: str, em: EndpointModel) -> DataFrame:
+    return score_all(df, key, vec, [em])
 
 
 def multi_endpoint_map(scored: DataFrame, key: str, endpoints: Sequence[str] = ENDPOINTS) -> DataFrame:
