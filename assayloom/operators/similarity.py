@@ -95,31 +95,32 @@ def _scan_search(library, queries, key, query_key, bits, min_sim, n_bits):
 
 
 def _prefix_search(library, queries, key, query_key, bits, min_sim, n_bits):
+    # copies share one fingerprint row, so a large group of copies is looked at once and unfolded last
+    name = F.sha2(F.array_join(F.transform(F.col(bits), lambda b: b.cast("string")), ","), 256)
+    named = library.select(F.col(key).alias("_key"), name.alias("_k"), bits)
+    prints = named.groupBy("_k").agg(F.any_value(bits).alias(bits))
     # one count per bit: at most n_bits numbers on the driver
-    usage = library.select(F.explode(bits).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()
     uses = [0] * n_bits
-    for r in usage:
+    for r in prints.select(F.explode(bits).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect():
         uses[r.b] = r.n
     rarity = F.lit(uses)
 
-    def prefix(df, ident, name):
-        by_rarity = F.array_sort(
-            F.transform(F.col(bits), lambda b: F.struct(F.get(rarity, b).alias("n"), b.alias("b")))
-        )
+    def prefix(df, ident):
+        by_rarity = F.array_sort(F.transform(F.col(bits), lambda b: F.struct(F.get(rarity, b).alias("n"), b.alias("b"))))
         keep = F.size(bits) - F.ceil(F.size(bits) * F.lit(min_sim) - F.lit(1e-9)) + 1
-        return df.select(
-            F.col(ident).alias(name), F.explode(F.slice(F.transform(by_rarity, lambda e: e["b"]), 1, keep.cast("int"))).alias("b")
-        )
-
-    pairs = prefix(library, key, "_k").join(prefix(queries, query_key, "_q"), "b").select("_q", "_k").distinct()
-    left = queries.select(F.col(query_key).alias("_q"), F.col(bits).alias("_qb"))
-    right = library.select(F.col(key).alias("_k"), F.col(bits).alias("_kb"))
-    return (
-        pairs.join(left, "_q")
-        .join(right, "_k")
-        .select(F.col("_q").alias(query_key), F.col("_k").alias(key), tanimoto(F.col("_qb"), F.col("_kb")).alias("similarity"))
+        return df.select(ident, F.explode(F.slice(F.transform(by_rarity, lambda e: e["b"]), 1, keep.cast("int"))).alias("b"))
+
+    asked = queries.select(F.col(query_key).alias("_q"), bits)
+    pairs = prefix(prints, "_k").join(prefix(asked, "_q"), "b").select("_q", "_k").distinct()
+    checked = (
+        pairs.join(asked.withColumnRenamed(bits, "_qb"), "_q")
+        .join(prints.withColumnRenamed(bits, "_kb"), "_k")
+        .select("_q", "_k", tanimoto(F.col("_qb"), F.col("_kb")).alias("similarity"))
         .where(F.col("similarity") >= min_sim - 1e-12)
     )
+    return checked.join(named.select("_key", "_k"), "_k").select(
+        F.col("_q").alias(query_key), F.col("_key").alias(key), "similarity"
+    )
 
 
 def tanimoto_pairs(pairs: DataFrame, rows: DataFrame, key: str, bits: str, left: str, right: str) -> DataFrame:
