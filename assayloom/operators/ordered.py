@@ -66,11 +66,11 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, measures: dic
     rows = rows.withColumn("_bin", value_bin(F.col(value))).withColumn("_cell", value_cell(F.col(value), F.col("_bin")))
     distinct = rows.groupBy(*keys, "_bin", "_cell", value).agg(*[F.sum(n).alias(n) for n in names])
 
-    cells = distinct.groupBy(*keys, "_bin", "_cell").agg(*[F.sum(n).alias(n) for n in names])
+    sums = distinct.groupBy(*keys, "_bin", "_cell").agg(*[F.sum(n).alias(n) for n in names])
     in_bin = _by([*keys, "_bin"]).orderBy("_cell")
-    cells = cells.select(*keys, "_bin", "_cell", *[_before(n, in_bin).alias(f"_c_{n}") for n in names])
+    cells = sums.select(*keys, "_bin", "_cell", *[_before(n, in_bin).alias(f"_c_{n}") for n in names])
 
-    bins = distinct.groupBy(*keys, "_bin").agg(*[F.sum(n).alias(n) for n in names])
+    bins = sums.groupBy(*keys, "_bin").agg(*[F.sum(n).alias(n) for n in names])
     in_group = _by(keys).orderBy("_bin")
     bins = bins.select(
         *keys,
