@@ -169,7 +169,15 @@ def score_integrated(spark, d):
     return out.select("key", "overall_risk_score", "overall_risk_level", "critical_endpoint", "recommendation", "error")
 
 
-@register("explain_all_endpoints")
+@register("explain_all_endpoints", """
+    WITH e AS (SELECT label, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS idx, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+      m AS (SELECT label, idx, avg(x) AS m FROM e GROUP BY ALL), o AS (SELECT idx, avg(x) AS mu FROM e GROUP BY 1),
+      t AS (SELECT label, 'f' || m.idx AS feature, m.m - mu AS v, row_number() OVER (PARTITION BY label ORDER BY abs(m.m - mu) DESC, 'f' || m.idx) AS rk FROM m JOIN o ON m.idx = o.idx),
+      c AS (SELECT feature, count(*) AS n FROM t WHERE rk <= 10 GROUP BY 1 HAVING count(*) >= 2),
+      w AS (SELECT feature, list_sort(list(DISTINCT label)) AS l FROM t WHERE rk <= 5 GROUP BY 1 HAVING min(sign(v)) <> max(sign(v)))
+    SELECT 'common' AS kind, feature, CAST(n AS VARCHAR) AS detail FROM (SELECT *, row_number() OVER (ORDER BY n DESC, feature) AS pl FROM c) WHERE pl <= 10
+    UNION ALL SELECT 'opposite', feature, '''' || feature || ''' has opposite effects on ' || l[1] || ' vs ' || l[2]
+    FROM (SELECT *, row_number() OVER (ORDER BY feature) AS pl FROM w) WHERE pl <= 5""")
 def explain_all_endpoints(spark, d):
     """Linear attributions of every label against the rest, then the features they share or dispute."""
     rows = labelled(spark, d).join(Tables(spark, d).embeddings.select(F.col("vec_id").alias("key"), "label"), "key")
@@ -197,14 +205,15 @@ def aligned_predictions(spark, d):
 
 @register("predict_lines", """
     SELECT endpoint, success, error, count(*) AS n FROM (
-      SELECT endpoint, endpoint <> 'herg' AND vec_id > 9 AS success, CASE WHEN endpoint = 'herg' THEN 'Model not available for endpoint: herg' WHEN vec_id <= 9 THEN 'Invalid input' END AS error
+      SELECT endpoint, endpoint <> 'herg' AND label <> 3 AS success, CASE WHEN endpoint = 'herg' THEN 'Model not available for endpoint: herg' WHEN label = 3 THEN 'Invalid input' END AS error
       FROM embeddings, (VALUES ('herg'), ('ames')) v(endpoint)) GROUP BY ALL""")
 def predict_lines(spark, d):
     """Lines of a text file (vector ids) through one endpoint model; the other endpoint has none."""
     path = stage_path(spark, "ids")
     e = Tables(spark, d).embeddings
     e.select(F.col("vec_id").cast("string")).write.text(path)
-    known = e.where(F.col("vec_id") > 9).select(F.col("vec_id").cast("string").alias("smiles"), F.col("embedding").cast("array<double>").alias("features"))
+    usable = F.when(F.col("label") != 3, F.col("embedding").cast("array<double>"))
+    known = e.select(F.col("vec_id").cast("string").alias("smiles"), usable.alias("features"))
     featurise = lambda lines: lines.join(known, "smiles", "left")
     ames = [m for m in endpoint_models(spark, d) if m.endpoint == "ames"]
     out = predict_file(spark, path, featurise, ames, endpoints=["herg", "ames"])
