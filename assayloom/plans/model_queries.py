@@ -1,7 +1,8 @@
-"""Queries over training, tuning, cross-validation, scoring and resampling (no SQL counterpart).
+"""Queries over training, tuning, cross-validation, scoring and resampling.
 
-Features are the whole embeddings table, the target is its label cut at five; the second feature set is
-the first half of the vector. Model sizes are parameters; these queries use small ones.
+Results of fitted models have no SQL counterpart; counts and linear explanations do. Features are the
+whole embeddings table, the target is its label cut at five; the second feature set is the first sixteen
+entries of the vector. Model sizes are parameters; these queries use small ones.
 """
 
 from __future__ import annotations
