@@ -1,7 +1,7 @@
 """Token ids of whole texts with the public tokenizers, and a memo of space-separated parts.
 
-Both vocabularies split text before merging, and no split crosses a space that stands between two
-characters that are not white space. Parts between such spaces are therefore encoded on their own and
+Both vocabularies split text before merging, and no split crosses a space or line end that stands between
+two characters that are not white space. Parts between such places are therefore encoded on their own and
 remembered; the ids are those of the whole text. Texts with other runs of white space that touch a space
 go to the tokenizer whole.
 """
@@ -9,10 +9,21 @@ go to the tokenizer whole.
 from __future__ import annotations
 
 import os
+import re
+import string
+from array import array
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
-MEMO_PARTS = 300_000
+import numpy as np
+
+#: A word of Latin letters and its trailing punctuation, the usual part.
+_EASY = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Byte-level vocabularies write a byte as the character of that number if it prints, else as one from 256 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+MEMO_PARTS, MEMO_CORES = 700_000, 500_000
 
 
 @lru_cache(maxsize=4)
@@ -33,54 +44,83 @@ def public_file(name: str) -> str:
 
 
 class Encoder:
-    """Encodes texts to the bytes of their ids, little-endian unsigned 32-bit."""
+    """Encodes texts to the bytes of their ids, little-endian unsigned 32-bit.
+
+    Parts between spaces are remembered, and so are their cores: a part is cut before its trailing ASCII
+    punctuation, where both vocabularies cut as well. A core of Latin letters is one word to either
+    vocabulary, and no normalisation but lower case changes it, so it goes to the tokenizer's model directly.
+    """
 
     def __init__(self, path: str, spaces_matter: bool):
         self.path, self.spaces_matter = path, spaces_matter
         self.first: dict[str, bytes | None] = {}
         self.rest: dict[str, bytes | None] = {} if spaces_matter else self.first
+        self.cores: dict[str, bytes] = {}
+        self.line_end = self._whole(["\n"])[0]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         texts = list(texts)
-        if self.spaces_matter:
-            parts = [t.split(" ") for t in texts]
-        else:
-            parts = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.first) + len(self.rest) > MEMO_PARTS:
             self.first.clear()
             self.rest.clear()
-        if self.spaces_matter:
-            self._learn(self.first, {p[0] for p in parts}, "")
-            self._learn(self.rest, set().union(*(p[1:] for p in parts)), " ")
-        else:
+        if not self.spaces_matter:
+            parts = [t.replace("\n", " ").split(" ") for t in texts]
             self._learn(self.first, set().union(*parts), "")
+            return [b"".join(map(self.first.__getitem__, p)) for p in parts]
+        lines = [[line.split(" ") for line in t.split("\n")] for t in texts]
+        self._learn(self.first, {p[0] for text in lines for p in text}, "")
+        self._learn(self.rest, set().union(*(p[1:] for text in lines for p in text)), " ")
         out = []
-        for text, part in zip(texts, parts):
-            found = [self.first[part[0]], *map(self.rest.__getitem__, part[1:])]
-            out.append(self._whole([text])[0] if None in found else b"".join(found))
+        for text, whole in zip(lines, texts):
+            found = []
+            for p in text:
+                found += (self.first[p[0]], *map(self.rest.__getitem__, p[1:]), self.line_end)
+            found.pop()
+            out.append(self._whole([whole])[0] if None in found else b"".join(found))
         return out
 
     def _learn(self, memo: dict[str, bytes | None], parts: set[str], before: str) -> None:
-        missing = list(parts.difference(memo))
-        whole = [before + p for p in missing if self._apart(p, before)]
-        coded = iter(self._whole(whole))
-        for p in missing:
-            memo[p] = next(coded) if self._apart(p, before) else None
-
-    def _apart(self, part: str, before: str) -> bool:
-        """Whether the spaces around the part stand between characters that are not white space."""
+        if len(self.cores) > MEMO_CORES:
+            self.cores.clear()
+        missing, cores = {}, self.cores
+        for p in parts.difference(memo):
+            easy = _EASY.fullmatch(p)
+            if not easy:
+                missing[p] = self._pieces(p, before)
+            elif self.spaces_matter:
+                missing[p] = (before + easy[1], easy[2]) if easy[2] else (before + easy[1],)
+            else:
+                missing[p] = (easy[1].lower(), easy[2]) if easy[2] else (easy[1].lower(),)
+        self._learn_cores({c for pieces in missing.values() if pieces for c in pieces}.difference(cores))
+        for p, pieces in missing.items():
+            memo[p] = None if pieces is None else cores[pieces[0]] if len(pieces) == 1 else b"".join([cores[c] for c in pieces])
+
+    def _pieces(self, part: str, before: str) -> list[str] | None:
+        """The part as pieces that are encoded apart; None if its spaces do not stand between other characters."""
         if not self.spaces_matter:
-            return True
-        if part == "":
-            return False
-        return not part[-1].isspace() and (not before or not part[0].isspace())
+            return _core_and_tail(part.lower() if part.isascii() else part) if part else []
+        if part == "" or part[0].isspace() or part[-1].isspace():
+            return None
+        return _core_and_tail(before + part)
+
+    def _learn_cores(self, cores: set[str]) -> None:
+        merge, rest = tokenizer(self.path).model.tokenize, []
+        for c in cores:
+            if _LETTERS.fullmatch(c):
+                self.cores[c] = array("I", [t.id for t in merge(c.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+            else:
+                rest.append(c)
+        self.cores.update(zip(rest, self._whole(rest)))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer(self.path).encode_batch(texts, add_special_tokens=False)]
 
 
+def _core_and_tail(part: str) -> list[str]:
+    core = part.rstrip(string.punctuation)
+    return [core, part[len(core):]] if 0 < len(core) < len(part) and core[-1].lower()[-1].isalnum() else [part]
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, spaces_matter: bool) -> Encoder:
     return Encoder(path, spaces_matter)
