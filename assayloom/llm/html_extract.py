@@ -152,9 +152,11 @@ def path_scores(found: list[Block]) -> np.ndarray:
         total[2] += len(PUNCTUATION.findall(text))
         total[3] += min(b.linked, len(text))
     ratio = {p: length / n * (punctuation / n) * (1 - linked / length) for p, (n, length, punctuation, linked) in sums.items()}
+    if not found:
+        return np.zeros(0)
     raw = np.log1p([ratio[b.path] for b in found])
     wide = np.pad(raw, 1, mode="edge")
-    return 0.25 * wide[:-2] + 0.5 * raw + 0.25 * wide[2:] if len(raw) else raw
+    return 0.25 * wide[:-2] + 0.5 * raw + 0.25 * wide[2:]
 
 
 def extract(page: str) -> str:
