@@ -89,8 +89,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encode
     def first_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, facts = [], []
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at:at + 256]
+            for at in range(0, len(batch), 1024):
+                part = batch.iloc[at:at + 1024]
                 for doc, coded in zip(part["id"], encode(part["text"])):
                     coded += end
                     for piece, start in enumerate(range(0, len(coded), 4 * capacity)):

@@ -27,7 +27,7 @@ STRIPE_BYTES, ROW_GROUP, FALSE_POSITIVES = 32 << 20, 1000, 0.01
 
 
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", encode: Callable[[Iterable[str]], list[bytes]] | None = None, end_id: int = END_ID) -> str:
-    """Writes (id, part, part_start, ids) as ORC under ``path`` and returns it.
+    """Writes (id, part, part_start, n_tokens, ids) as ORC under ``path`` and returns it.
 
     Rows are dealt out by ranges of the id, so file after file holds ascending ids; ``part`` numbers the
     files and ``part_start`` counts the ids before the document in its file. Null texts count as empty and
@@ -45,18 +45,18 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                piece = batch.slice(at, 1024)
                 coded = [ids + end for ids in encode(piece.column(1).to_pylist())]
                 ends = np.cumsum([0, *(len(c) // 4 for c in coded)])
                 ids = pa.array(np.frombuffer(b"".join(coded), "<i4"))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array([part] * len(coded), pa.int32()), pa.array(before + ends[:-1], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)],
-                    names=[id_col, "part", "part_start", "ids"],
+                    [piece.column(0), pa.array([part] * len(coded), pa.int32()), pa.array(before + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)],
+                    names=[id_col, "part", "part_start", "n_tokens", "ids"],
                 )
                 before += int(ends[-1])
 
-    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("part", T.IntegerType()), T.StructField("part_start", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("part", T.IntegerType()), T.StructField("part_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     (
         ordered.mapInArrow(run, schema)
         .write.mode("overwrite")
@@ -77,8 +77,9 @@ def read_token_files(spark: SparkSession, path: str, schema: T.StructType | None
 
 
 def file_starts(stored: DataFrame) -> DataFrame:
-    """(part, file_start): ids in all files before. One row per file is numbered in one window."""
-    totals = stored.groupBy("part").agg(F.sum(F.size("ids")).alias("n"))
+    """(part, file_start): ids in all files before. One row per file is numbered in one window; the id lists
+    themselves are not read."""
+    totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     return totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("file_start"))
 

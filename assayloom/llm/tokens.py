@@ -70,11 +70,13 @@ class Encoder:
         lines = [[line.split(" ") for line in t.split("\n")] for t in texts]
         self._learn(self.first, {p[0] for text in lines for p in text}, "")
         self._learn(self.rest, set().union(*(p[1:] for text in lines for p in text)), " ")
-        out = []
+        out, first, rest = [], self.first.__getitem__, self.rest.__getitem__
         for text, whole in zip(lines, texts):
             found = []
             for p in text:
-                found += (self.first[p[0]], *map(self.rest.__getitem__, p[1:]), self.line_end)
+                found.append(first(p[0]))
+                found.extend(map(rest, p[1:]))
+                found.append(self.line_end)
             found.pop()
             out.append(self._whole([whole])[0] if None in found else b"".join(found))
         return out
