@@ -24,9 +24,9 @@ def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def coerce_numeric(df: DataFrame, column: str) -> DataFrame:
-    """Text to double; what cannot be read, and NaN, becomes null."""
+    """Text to double; what cannot be read, NaN and infinite values become null."""
     number = F.col(column).try_cast("double")
-    return df.withColumn(column, F.when(~F.isnan(number), number))
+    return df.withColumn(column, F.when(F.abs(number) < float("inf"), number))
 
 
 def keep_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
@@ -102,11 +102,11 @@ def encode_binary(df: DataFrame, column: str, order: Sequence[str] = (), name: s
 
 
 def dedup_median(
-    df: DataFrame, key: str, value: str, firsts: Sequence[str], order: Sequence[str], hot_rows: int = 1_000_000
+    df: DataFrame, key: str, value: str, firsts: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
     """One row per key: exact median of the value and the first non-null of the other columns."""
     rows = df.where(F.col(key).isNotNull())
-    return median_by_key(rows, [key], value, value, hot_rows, [first_present(c, order) for c in firsts])
+    return median_by_key(rows, [key], value, value, [first_present(c, order) for c in firsts])
 
 
 def dedup_majority(df: DataFrame, key: str, label: str, firsts: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:

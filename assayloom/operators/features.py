@@ -7,6 +7,7 @@ table with one row per feature, so it is bounded by the number of features.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -280,7 +281,8 @@ def featurize_once(
 
     def one(value):
         try:
-            return [float(x) for x in fn(value)]
+            out = [float(x) for x in fn(value)]
+            return out if all(map(math.isfinite, out)) else None
         except Exception:  # noqa: BLE001 - any failure of the user's function marks the row
             return None
 

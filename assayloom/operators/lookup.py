@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from assayloom.operators.ordered import first_by, null_safe_join
+from assayloom.session import stage_table
 
 # Endpoints, and the targets screened for each of them in order.
 ENDPOINTS = ("herg", "hepatotox", "nephrotox", "ames", "skin_sens", "cytotox", "reproductive_tox")
@@ -154,13 +158,22 @@ def score_missing(
     scorer: Callable[[DataFrame], DataFrame],
     success: str = "success",
 ) -> tuple[DataFrame, DataFrame]:
-    """(results, new cache): only keys without a cached success are scored, each once."""
-    good = cache.where(F.col(success))
-    todo = requests.dropDuplicates(list(keys)).join(good.select(*keys), list(keys), "left_anti")
-    fresh = scorer(todo)
-    new_cache = good.unionByName(fresh.where(F.col(success)).select(*good.columns))
-    results = requests.select(*keys).join(good.unionByName(fresh.select(*good.columns)), list(keys))
-    return results, new_cache
+    """(results, new cache): only keys without a cached success are scored, each once.
+
+    One result per request row. Null keys are keys like others. Of cached successes, or requests, that share
+    a key the row that comes first by its other columns counts. Fresh rows are staged, so the scorer runs once.
+    """
+    keys = list(keys)
+    good = _one_per_key(cache.where(F.col(success)), keys)
+    todo = null_safe_join(_one_per_key(requests, keys), good.select(*keys), keys, "left_anti")
+    fresh = stage_table(scorer(todo), "scored").select(*good.columns)
+    new_cache = good.unionByName(fresh.where(F.col(success)))
+    return null_safe_join(requests.select(*keys), good.unionByName(fresh), keys), new_cache
+
+
+def _one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
+    return first_by(df, keys, rest) if rest else df.distinct()
 
 
 def python_scorer(
@@ -170,7 +183,7 @@ def python_scorer(
 
     ``fn`` returns one tuple of result columns per row, in the order of ``schema``.
     """
-    names = [part.split()[0] for part in schema.split(",")]
+    names = T.StructType.fromDDL(schema).names
 
     def score(todo: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -91,8 +91,9 @@ def ccc_sample(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFra
 
 
 def confusion(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
+    """Counts of a 2x2 table over rows that have both a truth and a prediction."""
     t, q = F.col(y), F.col(p)
-    return df.groupBy(*by).agg(
+    return df.where(t.isNotNull() & q.isNotNull()).groupBy(*by).agg(
         F.count_if((t == 0) & (q == 0)).alias("tn"),
         F.count_if((t == 0) & (q == 1)).alias("fp"),
         F.count_if((t == 1) & (q == 0)).alias("fn"),

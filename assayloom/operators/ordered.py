@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 BINS_PER_E = 4096
 CELLS = 4096
 SMALLEST = 1e-290
+# infinite values share the bin and cell of the largest ones and are ordered there
+LARGEST = 1.7e308
 
 
 def _log_bin(value: Column) -> Column:
     """1-based place of the magnitude on a logarithmic scale; 0 for (nearly) nothing."""
-    size = F.abs(value)
+    size = F.least(F.abs(value), F.lit(LARGEST))
     place = F.floor((F.log(F.greatest(size, F.lit(SMALLEST))) - F.log(F.lit(SMALLEST))) * F.lit(BINS_PER_E))
     return F.when(size > SMALLEST, place + F.lit(1)).otherwise(F.lit(0))
 
@@ -40,10 +42,15 @@ def value_cell(value: Column, bin_: Column) -> Column:
     """Monotone cell of a value inside its bin: linear between the edges of the bin."""
     edge = lambda b: F.exp(b / F.lit(float(BINS_PER_E)) + F.log(F.lit(SMALLEST)))
     low, high = edge(F.abs(bin_) - 1), edge(F.abs(bin_))
-    place = F.least(F.greatest(F.floor((F.abs(value) - low) / (high - low) * CELLS), F.lit(0)), F.lit(CELLS - 1))
+    place = F.least(F.greatest(F.floor((F.least(F.abs(value), F.lit(LARGEST)) - low) / (high - low) * CELLS), F.lit(0)), F.lit(CELLS - 1))
     return F.when(value < 0, -place).otherwise(place).cast("int")
 
 
+def present(value: Column) -> Column:
+    """Neither null nor NaN: what the order statistics of this module count."""
+    return value.isNotNull() & ~F.isnan(value.cast("double"))
+
+
 def _by(keys: Sequence[str]):
     return W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
 
@@ -55,12 +62,12 @@ def _before(name: str, window) -> Column:
 
 def running_totals(df: DataFrame, keys: Sequence[str], value: str, measures: dict[str, Column]) -> DataFrame:
     """One row per (keys, distinct value): each measure summed there, ``*_before`` over smaller values in
-    the group and ``*_total`` over the group. Null values are left out.
+    the group and ``*_total`` over the group. Null and NaN values are left out.
 
     The input is read once: bins and cells are totals of the per-value counts, whose shuffle is reused.
     """
     keys, names = list(keys), list(measures)
-    rows = df.where(F.col(value).isNotNull()).select(
+    rows = df.where(present(F.col(value))).select(
         *keys, F.col(value).cast("double").alias(value), *[c.alias(n) for n, c in measures.items()]
     )
     rows = rows.withColumn("_bin", value_bin(F.col(value))).withColumn("_cell", value_cell(F.col(value), F.col("_bin")))
@@ -96,20 +103,20 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     for k in keys:
         same = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         on = same if on is None else on & same
-    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+    return left.join(renamed, on, how).select(*left.columns, *([] if how in ("left_anti", "left_semi") else [c for c in right.columns if c not in keys]))
 
 
 def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str], few_groups: bool = True
 ) -> DataFrame:
-    """Linearly interpolated percentiles per group, exact for any group size.
+    """Linearly interpolated percentiles per group, exact for any group size. Null and NaN values are left out.
 
     A first aggregation finds the bins that hold the wanted ranks: at most two per percentile and group.
     Only rows of those bins are counted by value and ordered, cell by cell. With ``few_groups`` (features,
     hot keys) that list of bins is broadcast; it has at most 2 x percentiles rows per group.
     """
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(
+    rows = df.where(present(F.col(value))).select(
         *keys, F.col(value).cast("double").alias("_v"), F.lit(1).cast("long").alias("_n")
     )
     rows = rows.withColumn("_bin", value_bin(F.col("_v")))
@@ -151,29 +158,21 @@ def exact_percentiles(
         lo = F.max(F.when(mine & here(F.col("_r.lo")), F.col("_v")))
         hi = F.max(F.when(mine & here(F.col("_r.lo") + 1), F.col("_v")))
         part = F.max(F.when(mine, F.col("_r.at") - F.col("_r.lo")))
-        out.append((lo + F.greatest(part, F.lit(0.0)) * (F.coalesce(hi, lo) - lo)).alias(name))
+        part = F.greatest(part, F.lit(0.0))
+        out.append(F.when((part == 0) | hi.isNull() | (hi == lo), lo).otherwise(lo + part * (hi - lo)).alias(name))
     return placed.groupBy(*keys).agg(*out)
 
 
-def median_by_key(
-    df: DataFrame, keys: Sequence[str], value: str, name: str, hot_rows: int = 1_000_000, others: Sequence[Column] = ()
-) -> DataFrame:
-    """Exact median per key, with further aggregates of the same rows, for many keys.
+def median_by_key(df: DataFrame, keys: Sequence[str], value: str, name: str, others: Sequence[Column] = ()) -> DataFrame:
+    """Exact median per key, with further aggregates of the same rows; a key without any value has a null one.
 
-    Ordinary keys take everything in one shuffle. A key with more than ``hot_rows`` rows would hold all
-    its values in one task, so its median goes through the binned path. Such keys are found by a map-side
-    combined count; there are at most rows / hot_rows of them, which bounds what is broadcast.
+    All keys take the same way, whatever their size: counts by bin find the bins that hold the middle, and
+    only their rows are ordered, cell by cell.
     """
     keys = list(keys)
-    rows = df.withColumn(value, F.col(value).cast("double"))
-    hot = rows.groupBy(*keys).agg(F.count(value).alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
-    hot = F.broadcast(hot)
-    cold_part = rows.join(hot, keys, "left_anti").groupBy(*keys).agg(F.median(value).alias(name), *others)
-    hot_rows_only = rows.join(hot, keys, "left_semi")
-    hot_part = exact_percentiles(hot_rows_only, keys, value, [0.5], [name])
-    if others:
-        hot_part = hot_part.join(hot_rows_only.groupBy(*keys).agg(*others), keys)
-    return cold_part.unionByName(hot_part)
+    medians = exact_percentiles(df, keys, value, [0.5], [name], few_groups=False)
+    every = df.groupBy(*keys).agg(*others) if others else df.select(*keys).distinct()
+    return null_safe_join(every, medians, keys, "left").select(*keys, name, *[c for c in every.columns if c not in keys])
 
 
 def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:

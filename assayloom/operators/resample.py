@@ -15,8 +15,6 @@ from assayloom.operators.splits import hash_cuts, key_hash
 
 # Imbalance from which rows are added, and neighbours considered.
 MIN_RATIO, NEIGHBOURS = 2.0, 5
-# at most 5 million doubles (40 MB) are shipped to the tasks
-EXACT_ENTRIES = 5_000_000
 BLOCK_ROWS = 5_000
 
 
@@ -63,14 +61,13 @@ def bounded_blocks(rows: DataFrame, block: int, width: int, seed: int) -> DataFr
 
 def smote(
     df: DataFrame, key: str, vec: str, label: str, seed: int = 42, neighbours: int = NEIGHBOURS,
-    exact_entries: int = EXACT_ENTRIES, block: int = BLOCK_ROWS,
+    block: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(key, vec, label) with synthetic minority rows (null key) up to the majority count.
 
     Nothing is added unless there are two classes, their ratio exceeds 2 and the minority has two rows.
-    Neighbours are exact while the minority matrix has at most ``exact_entries`` numbers, a size checked
-    before it is shipped to the tasks. A larger minority is cut into blocks of near rows and neighbours
-    are looked for inside the block, so no task ever holds more than a block.
+    The minority is cut into blocks of near rows, and neighbours are looked for inside the block, so no task
+    ever holds more than a block; a minority of up to ``block`` rows is one block, with exact neighbours.
     """
     rows = df.select(F.col(key).cast("string").alias("k"), F.col(vec).cast("array<double>").alias("v"), F.col(label).cast("double").alias("y"))
     original = rows.select(F.col("k").alias(key), F.col("v").alias(vec), F.col("y").alias(label))
@@ -88,30 +85,18 @@ def smote(
     n_new = F.lit(each)
     if extra:
         cut = hash_cuts(minority.select("_h"), [], [F.lit(extra).cast("long")]).select("cut_0").scalar()
-        n_new = n_new + (F.col("_h") <= cut).cast("int")
+        n_new = n_new + F.coalesce(F.col("_h") <= cut, F.lit(False)).cast("int")
     minority = minority.select("k", "v", n_new.cast("int").alias("n_new"))
     width = len(minority.select("v").first().v)
 
-    if counts[small] * width <= exact_entries:
-        pool_rows = np.array([r.v for r in minority.select("v").collect()], dtype=float)
-        pool = df.sparkSession.sparkContext.broadcast(pool_rows)
+    def run_block(batch: pd.DataFrame) -> pd.DataFrame:
+        own = np.stack(batch["v"].to_numpy()).astype(float)
+        if len(own) == 1:
+            return pd.DataFrame({"v": [own[0]] * int(batch["n_new"].iloc[0])})
+        made = list(_synthesise(batch, own, min(k, len(own) - 1), seed))
+        return pd.DataFrame({"v": list(np.concatenate(made)) if made else []})
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for made in _synthesise(batch, pool.value, k, seed):
-                    yield pd.DataFrame({"v": list(made)})
-
-        made = minority.mapInPandas(run, "v array<double>")
-    else:
-
-        def run_block(batch: pd.DataFrame) -> pd.DataFrame:
-            own = np.stack(batch["v"].to_numpy()).astype(float)
-            if len(own) == 1:
-                return pd.DataFrame({"v": [own[0]] * int(batch["n_new"].iloc[0])})
-            made = list(_synthesise(batch, own, min(k, len(own) - 1), seed))
-            return pd.DataFrame({"v": list(np.concatenate(made)) if made else []})
-
-        made = bounded_blocks(minority, block, width, seed).groupBy("block_id").applyInPandas(run_block, "v array<double>")
+    made = bounded_blocks(minority, block, width, seed).groupBy("block_id").applyInPandas(run_block, "v array<double>")
 
     synthetic = made.select(F.lit(None).cast("string").alias(key), F.col("v").alias(vec), F.lit(float(small)).alias(label))
     return original.unionByName(synthetic)

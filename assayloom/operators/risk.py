@@ -71,27 +71,19 @@ def endpoint_scores(preds: DataFrame) -> DataFrame:
     return preds.withColumn("score", score).withColumn("level", risk_level(F.col("score")))
 
 
-def _ranked_endpoints(endpoints: Sequence[str]) -> Column:
-    """Array of struct(neg, pos, endpoint) from the ``_s_<i>`` columns, highest score first, then by place."""
-    entries = [
-        F.when(
-            F.col(f"_s_{i}").isNotNull(),
-            F.struct((-F.col(f"_s_{i}")).alias("neg"), F.lit(i).alias("pos"), F.lit(e).alias("endpoint")),
-        )
-        for i, e in enumerate(endpoints)
-    ]
-    return F.array_sort(F.array_compact(F.array(*entries)))
-
+def _ranked(scores: DataFrame, key: str, endpoints: Sequence[str], ok: Column) -> DataFrame:
+    """One row per key with ``_r``: array of struct(neg, pos, endpoint), highest score first, then by place.
 
-def _score_columns(scores: DataFrame, key: str, endpoints: Sequence[str], ok: Column) -> DataFrame:
-    """One row per key with the score of each endpoint in its own column.
-
-    A maximum per endpoint combines map-side in a plain hash aggregation, so a key with very many rows is
-    no burden; an endpoint scored twice counts with its higher score.
+    Scores are first combined per key and endpoint, so a key with very many rows is no burden and the array
+    has one entry per endpoint that occurs. Endpoints outside the list come behind it, by name; an endpoint
+    scored twice counts with its higher score; a null endpoint has no entry.
     """
-    return scores.groupBy(key).agg(
-        *[F.max(F.when(ok & (F.col("endpoint") == e), F.col("score"))).alias(f"_s_{i}") for i, e in enumerate(endpoints)]
-    )
+    one = scores.groupBy(key, "endpoint").agg(F.max(F.when(ok, F.col("score"))).alias("_s"))
+    place = F.array_position(F.array(*map(F.lit, endpoints)), F.col("endpoint"))
+    pos = F.when(place > 0, place - 1).otherwise(F.lit(len(endpoints))).cast("int")
+    known = F.col("endpoint").isNotNull() & F.col("_s").isNotNull()
+    entry = F.when(known, F.struct((-F.col("_s")).alias("neg"), pos.alias("pos"), F.col("endpoint").alias("endpoint")))
+    return one.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_r"))
 
 
 def integrated_assessment(
@@ -99,11 +91,11 @@ def integrated_assessment(
 ) -> DataFrame:
     """One row per key: overall risk (maximum), critical endpoint, ranking, maps, recommendation.
 
-    The endpoint list gives the order that decides ties. Keys whose predictions all failed keep a row
+    All endpoints of the rows count; the endpoint list gives the order that decides ties. Keys whose predictions all failed keep a row
     with an error text.
     """
     good = F.coalesce(F.col(ok), F.lit(False))
-    rows = _score_columns(endpoint_scores(preds), key, endpoints, good).withColumn("_r", _ranked_endpoints(endpoints))
+    rows = _ranked(endpoint_scores(preds), key, endpoints, good)
     ranked = F.col("_r")
     top = F.get(ranked, F.lit(0))
     overall = -top["neg"]
@@ -125,8 +117,8 @@ def integrated_assessment(
 
 def endpoint_ranking(scores: DataFrame, key: str, endpoints: Sequence[str] = ENDPOINTS) -> DataFrame:
     """Endpoints of each key by falling score; endpoint order decides ties."""
-    rows = _score_columns(scores, key, endpoints, F.lit(True))
-    return rows.select(key, F.transform(_ranked_endpoints(endpoints), lambda e: e["endpoint"]).alias("endpoint_ranking"))
+    rows = _ranked(scores, key, endpoints, F.lit(True))
+    return rows.select(key, F.transform("_r", lambda e: e["endpoint"]).alias("endpoint_ranking"))
 
 
 def ensemble_columns(ml_weight: float = ML_WEIGHT, docking_weight: float = DOCKING_WEIGHT) -> dict[str, Column]:

@@ -86,13 +86,12 @@ def score_endpoint(df: DataFrame, key: str, vec: str, em: EndpointModel) -> Data
     return score_all(df, key, vec, [em])
 
 
-def multi_endpoint_map(scored: DataFrame, key: str, endpoints: Sequence[str] = ENDPOINTS) -> DataFrame:
-    """One row per key with a map endpoint -> result, for the sink."""
+def multi_endpoint_map(scored: DataFrame, key: str) -> DataFrame:
+    """One row per key with a map endpoint -> result over all endpoints that occur, for the sink."""
     rest = [c for c in scored.columns if c not in (key, "endpoint")]
-    one = lambda e: F.any_value(F.when(F.col("endpoint") == e, F.struct(F.lit(e).alias("endpoint"), F.struct(*rest).alias("result"))), F.lit(True))
-    rows = scored.groupBy(key).agg(*[one(e).alias(f"_e_{i}") for i, e in enumerate(endpoints)])
-    entries = F.array_compact(F.array(*[F.col(f"_e_{i}") for i in range(len(endpoints))]))
-    return rows.select(key, F.map_from_entries(entries).alias("results"))
+    one = scored.where(F.col("endpoint").isNotNull()).groupBy(key, "endpoint").agg(F.any_value(F.struct(*rest)).alias("result"))
+    entries = one.groupBy(key).agg(F.collect_list(F.struct("endpoint", "result")).alias("e"))
+    return entries.select(key, F.map_from_entries("e").alias("results"))
 
 
 def prediction_column(df: DataFrame, target: str) -> str:

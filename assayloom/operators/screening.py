@@ -87,13 +87,13 @@ def batch_totals(results: DataFrame) -> DataFrame:
 def endpoint_summary(results: DataFrame, keys: Sequence[str], targets: Sequence[str] = ALL_TARGETS) -> DataFrame:
     """Per compound and endpoint: targets, docked, best / mean affinity, enhanced scores, high-risk targets, verdict.
 
-    High-risk targets are one flag per listed target, so nothing is collected; they come in list order.
+    High-risk targets are a set per group, as large as there are targets; listed ones come first, in list
+    order, others behind them by name.
     """
     a = F.when(_docked(), F.col("affinity"))
-    flags = [
-        F.max(F.when((F.col("target") == t) & (F.col("enhanced_risk") == "high"), F.lit(t))).alias(f"_t_{i}")
-        for i, t in enumerate(targets)
-    ]
+    place = F.array_position(F.array(*map(F.lit, targets)), F.col("target"))
+    listed = F.struct(F.when(place > 0, place).otherwise(F.lit(len(targets) + 1)).alias("place"), F.col("target").alias("target"))
+    high = F.collect_set(F.when((F.col("enhanced_risk") == "high") & F.col("target").isNotNull(), listed))
     out = results.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_targets"),
         F.count(a).alias("successful_docks"),
@@ -101,14 +101,11 @@ def endpoint_summary(results: DataFrame, keys: Sequence[str], targets: Sequence[
         F.round(F.avg(a), 2).alias("avg_affinity"),
         F.round(F.max("enhanced_score"), 4).alias("max_enhanced_score"),
         F.round(F.avg("enhanced_score"), 4).alias("avg_enhanced_score"),
-        *flags,
+        F.transform(F.array_sort(high), lambda t: t["target"]).alias("high_risk_targets"),
     )
     top = F.coalesce(F.col("max_enhanced_score"), F.lit(0.0))
-    return (
-        out.withColumn("high_risk_targets", F.array_compact(F.array(*[F.col(f"_t_{i}") for i in range(len(targets))])))
-        .withColumn("overall_risk", F.when(top >= 0.7, "high").when(top >= 0.4, "moderate").otherwise("low"))
-        .drop(*[f"_t_{i}" for i in range(len(targets))])
-    )
+    verdict = F.when(top >= 0.7, "high").when(top >= 0.4, "moderate").otherwise("low")
+    return out.withColumn("overall_risk", verdict)
 
 
 def docking_features(results: DataFrame, key: str, targets: Sequence[str]) -> DataFrame:

@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: width of a fingerprint.
 N_BITS = 2048
-# at most 4,000 x 2,048 single-precision numbers (33 MB) are shipped to the tasks
-MAX_QUERIES = 4_000
 
 
 def tokens(text: Column, ngram: int = 1) -> Column:
@@ -48,53 +42,16 @@ def tanimoto(a: Column, b: Column) -> Column:
 
 
 def tanimoto_search(
-    library: DataFrame, queries: DataFrame, key: str, query_key: str, bits: str, min_sim: float,
-    n_bits: int = N_BITS, max_queries: int = MAX_QUERIES,
+    library: DataFrame, queries: DataFrame, key: str, query_key: str, bits: str, min_sim: float, n_bits: int = N_BITS
 ) -> DataFrame:
-    """(query, key, similarity) for library rows at or above ``min_sim``, exact.
+    """(query, key, similarity) for library rows at or above ``min_sim``, exact; ``min_sim`` must be positive.
 
-    The query side is counted first. Up to ``max_queries`` it is shipped to the tasks as a bit matrix and
-    the library is scanned once without a shuffle. Beyond that the two sides meet on the bits that can
-    decide the threshold: with the rarest bits first, two sets that reach it share one of the first
-    n - ceil(min_sim * n) + 1 bits, and every candidate is checked exactly.
+    The two sides meet on the bits that can decide the threshold: with the rarest bits first, two sets that
+    reach it share one of the first n - ceil(min_sim * n) + 1 bits, and neither is smaller than ``min_sim``
+    times the other. Every candidate is checked exactly. Null and empty sets match nothing.
     """
-    if queries.limit(max_queries + 1).count() <= max_queries:
-        return _scan_search(library, queries, key, query_key, bits, min_sim, n_bits)
-    return _prefix_search(library, queries, key, query_key, bits, min_sim, n_bits)
-
-
-def _scan_search(library, queries, key, query_key, bits, min_sim, n_bits):
-    rows = queries.select(query_key, bits).collect()
-    ids = [r[0] for r in rows]
-    matrix = np.zeros((len(rows), n_bits), dtype=np.float32)
-    for i, r in enumerate(rows):
-        matrix[i, list(r[1] or [])] = 1.0
-    sizes = matrix.sum(axis=1, dtype=float)
-    shared_state = library.sparkSession.sparkContext.broadcast((ids, matrix, sizes))
-    key_type = library.schema[key].dataType.simpleString()
-    query_type = queries.schema[query_key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, m, n = shared_state.value
-        for batch in batches:
-            for start in range(0, len(batch), 1024):
-                part = batch.iloc[start : start + 1024]
-                x = np.zeros((len(part), m.shape[1]), dtype=np.float32)
-                for i, b in enumerate(part[bits]):
-                    if b is not None and len(b):
-                        x[i, np.asarray(b)] = 1.0
-                both = (x @ m.T).astype(float)
-                union = x.sum(axis=1, dtype=float)[:, None] + n[None, :] - both
-                sim = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
-                r, c = np.nonzero(sim >= min_sim - 1e-12)
-                yield pd.DataFrame(
-                    {query_key: [names[j] for j in c], key: part[key].to_numpy()[r], "similarity": sim[r, c]}
-                )
-
-    return library.select(key, bits).mapInPandas(run, f"{query_key} {query_type}, {key} {key_type}, similarity double")
-
-
-def _prefix_search(library, queries, key, query_key, bits, min_sim, n_bits):
+    if min_sim <= 0:
+        raise ValueError("min_sim must be positive")
     # copies share one fingerprint row, so a large group of copies is looked at once and unfolded last
     name = F.sha2(F.array_join(F.transform(F.col(bits), lambda b: b.cast("string")), ","), 256)
     named = library.select(F.col(key).alias("_key"), name.alias("_k"), bits)
@@ -108,10 +65,12 @@ def _prefix_search(library, queries, key, query_key, bits, min_sim, n_bits):
     def prefix(df, ident):
         by_rarity = F.array_sort(F.transform(F.col(bits), lambda b: F.struct(F.get(rarity, b).alias("n"), b.alias("b"))))
         keep = F.size(bits) - F.ceil(F.size(bits) * F.lit(min_sim) - F.lit(1e-9)) + 1
-        return df.select(ident, F.explode(F.slice(F.transform(by_rarity, lambda e: e["b"]), 1, keep.cast("int"))).alias("b"))
+        return df.select(ident, F.size(bits).alias(f"_n{ident}"), F.explode(F.slice(F.transform(by_rarity, lambda e: e["b"]), 1, keep.cast("int"))).alias("b"))
 
     asked = queries.select(F.col(query_key).alias("_q"), bits)
-    pairs = prefix(prints, "_k").join(prefix(asked, "_q"), "b").select("_q", "_k").distinct()
+    pairs = prefix(prints, "_k").join(prefix(asked, "_q"), "b")
+    sizes = (F.col("_n_k") >= F.col("_n_q") * min_sim - 1e-9) & (F.col("_n_q") >= F.col("_n_k") * min_sim - 1e-9)
+    pairs = pairs.where(sizes).select("_q", "_k").distinct()
     checked = (
         pairs.join(asked.withColumnRenamed(bits, "_qb"), "_q")
         .join(prints.withColumnRenamed(bits, "_kb"), "_k")

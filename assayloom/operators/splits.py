@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assayloom.operators.ordered import null_safe_join
+
 # Share of the test part, and of validation in the whole table.
 TEST_SHARE, VALIDATION_SHARE = 0.2, 0.1
 PREFIX = 4
@@ -33,12 +35,12 @@ def hash_cuts(hashed: DataFrame, groups: Sequence[str], ranks: list[Column]) ->
     """Per group the hash at each wanted 1-based rank, as columns cut_0, cut_1, ...
 
     ``ranks`` are expressions over the group size ``n``; rank 0 gives an empty text (before all hashes).
-    Counts by hash prefix (at most 65,536 per group) locate the prefix that holds a rank; only rows with
+    Rows without a hash (null keys) have no rank and do not count in ``n``. Counts by hash prefix (at most 65,536 per group) locate the prefix that holds a rank; only rows with
     such a prefix are ordered, one prefix at a time. The table of holders is broadcast: it has at most
     len(ranks) rows per group, and groups are classes or repeats.
     """
     groups = list(groups)
-    prefix = hashed.select(*groups, "_h", F.substring("_h", 1, PREFIX).alias("_p"))
+    prefix = hashed.where(F.col("_h").isNotNull()).select(*groups, "_h", F.substring("_h", 1, PREFIX).alias("_p"))
     counts = prefix.groupBy(*groups, "_p").agg(F.count(F.lit(1)).alias("_c"))
     group_window = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
     upto = group_window.orderBy("_p").rowsBetween(W.unboundedPreceding, 0)
@@ -52,7 +54,7 @@ def hash_cuts(hashed: DataFrame, groups: Sequence[str], ranks: list[Column]) ->
     holders = holders.select(*groups, "_p", "_from", "_wanted")
     place = W.partitionBy(*groups, "_p").orderBy("_h")
     picked = (
-        prefix.join(F.broadcast(holders), groups + ["_p"])
+        null_safe_join(prefix, F.broadcast(holders), groups + ["_p"])
         .withColumn("_rank", F.row_number().over(place) + F.col("_from"))
         .select(*groups, "_h", "_rank", F.explode("_wanted").alias("_w"))
         .where(F.col("_rank") == F.col("_w.r"))
@@ -88,7 +90,8 @@ def split(
     """Adds ``split`` = train / val / test; keys are unique.
 
     Exact sizes follow the ceiling rule. ``exact=False`` compares the hash with fixed shares: no counting
-    pass, sizes right on average, and old keys keep their part when the table grows.
+    pass, sizes right on average, and old keys keep their part when the table grows. Rows with a null key
+    are train and leave the sizes of the others alone.
     """
     hashed = df.withColumn("_h", key_hash(key, seed))
     if not exact:
@@ -104,10 +107,10 @@ def split(
 def stratified_split(
     df: DataFrame, key: str, label: str, test: float = TEST_SHARE, validation: float = VALIDATION_SHARE, seed: int = 42
 ) -> DataFrame:
-    """As the exact split, inside every class. The cut table has one row per class."""
+    """As the exact split, inside every class; null is a class. The cut table has one row per class."""
     hashed = df.withColumn("_h", key_hash(key, seed))
     cuts = hash_cuts(hashed.select(label, "_h"), [label], _test_then_validation(test, validation))
-    named = hashed.join(F.broadcast(cuts), label)
+    named = null_safe_join(hashed, F.broadcast(cuts), [label], "left")
     return named.withColumn("split", _split_name(F.col("_h"), F.col("cut_0"), F.col("cut_1"))).select(*df.columns, "split")
 
 
@@ -116,7 +119,8 @@ def repeated_kfold(
 ) -> DataFrame:
     """One row per (row, repeat) with ``fold`` in 0..k-1; with ``label`` the folds are cut inside classes.
 
-    The first n mod k folds hold one row more than the others.
+    The first n mod k folds hold one row more than the others. Null labels are a class; rows with a null key
+    are in fold 0 and do not count in n.
     """
     columns = [F.struct(F.lit(r).alias("repeat"), key_hash(key, f"{seed}|{r}").alias("_h")) for r in range(repeats)]
     hashed = df.select("*", F.inline(F.array(*columns)))
@@ -125,7 +129,8 @@ def repeated_kfold(
     ends = [(F.lit(i) * F.floor(n / k) + F.least(F.lit(i), n % k)).cast("long") for i in range(1, k)]
     cuts = hash_cuts(hashed.select(*groups, "_h"), groups, ends)
     fold = sum((F.col("_h") > F.col(f"cut_{i}")).cast("int") for i in range(k - 1))
-    return hashed.join(F.broadcast(cuts), groups).withColumn("fold", fold).select(*df.columns, "repeat", "fold")
+    fold = F.coalesce(fold, F.lit(0))
+    return null_safe_join(hashed, F.broadcast(cuts), groups, "left").withColumn("fold", fold).select(*df.columns, "repeat", "fold")
 
 
 def repeated_stratified_kfold(
@@ -141,8 +146,8 @@ def fold_sides(folds: DataFrame, k: int = 5) -> DataFrame:
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Class weights n / (classes * n_class); the class table has one row per class."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
+    """Class weights n / (classes * n_class) over labelled rows; a null label has a null weight."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     total = counts.agg(F.struct(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
     weight = total["n"] / (total["k"] * F.col("_c"))
-    return df.join(F.broadcast(counts.select(label, weight.alias(name))), label)
+    return df.join(F.broadcast(counts.select(label, weight.alias(name))), label, "left")

@@ -305,7 +305,7 @@ def dedup_median_first(spark, d):
 @register("dedup_median_hot_keys", """
     SELECT l_returnflag, round(median(l_extendedprice), 4) AS price FROM lineitem GROUP BY 1""")
 def dedup_median_hot_keys(spark, d):
-    rows = C.dedup_median(Tables(spark, d).lineitem, "l_returnflag", "l_extendedprice", [], LINE_ORDER, hot_rows=1000)
+    rows = C.dedup_median(Tables(spark, d).lineitem, "l_returnflag", "l_extendedprice", [], LINE_ORDER)
     return rows.select("l_returnflag", F.round("l_extendedprice", 4).alias("price"))
 
 

@@ -60,7 +60,7 @@ def smote_rows(spark, d):
 @register("smote_blocks", """
     SELECT count(*) FILTER (WHERE label < 8) AS n FROM embeddings""")
 def smote_blocks(spark, d):
-    out = smote(labelled(spark, d, positive_from=8), "key", "features", "y", exact_entries=0, block=20)
+    out = smote(labelled(spark, d, positive_from=8), "key", "features", "y", block=20)
     return out.where(F.col("y") == 1).agg(F.count(F.lit(1)).alias("n"))
 
 

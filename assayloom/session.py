@@ -29,12 +29,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def work_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and stage tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) is a
-    local folder made, once per application, and registered as the checkpoint folder.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the
+    master is local (tests, a laptop) is a local folder made, once per application, and registered as the
+    checkpoint folder; on a cluster it is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_WORK:
         _LOCAL_WORK[app] = tempfile.mkdtemp(prefix="assayloom-")

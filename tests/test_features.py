@@ -119,7 +119,7 @@ def imbalanced(spark, small=30, large=100):
     return spark.createDataFrame(rows, "key long, features array<double>, y double")
 
 
-@pytest.mark.parametrize("how", [{}, {"exact_entries": 0, "block": 10}])
+@pytest.mark.parametrize("how", [{}, {"block": 10}])
 def test_smote_fills_between_minority_rows(spark, how):
     df = imbalanced(spark)
     out = Z.smote(df, "key", "features", "y", **how).collect()
