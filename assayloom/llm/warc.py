@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayloom.llm.rows import quoted, whole_text
+from assayloom.session import stage_table
 
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Every record bears this date, so that archives made again are equal byte by byte.
 DATE = "2024-01-01T00:00:00Z"
 LEAST_BYTES = 0
+FILE_RECORDS = 10_000
 RECORDS = (
     "file string, at long, end long, kind string, page_id string, url string, record_type string, payload_bytes long, "
     "payload_digest string, refers_to string, payload binary"
@@ -66,9 +68,12 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One text per row of ``pages``: a whole WARC record but for its last line end.
 
     Null html is the empty payload, a null url an empty one; rows with a null id get no id header. Rows that
-    repeat an id and a payload are written each; those with the largest id are all responses.
+    repeat an id and a payload are written each; those with the largest id are all responses. The revisits are
+    staged, so Spark knows their size when it plans the join: a small table is broadcast and no html moves, a
+    large one is joined by a shuffle.
     """
     others = decide(pages, id_col, html_col, least_bytes).where(F.col("refers_to").isNotNull()).select("id", "digest", "refers_to").distinct()
+    others = stage_table(others, "revisits")
     body = whole_text(html_col)
     rows = pages.select(
         quoted(id_col).alias("id"), _line(whole_text(url_col)).alias("url"), body.alias("body"), base32_sha1(body.cast("binary")).alias("digest")
@@ -94,8 +99,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES) -> str:
-    """Writes the archives under ``path``, one file per task. Tasks are the shuffle partitions of the id join."""
-    records(pages, id_col, url_col, html_col, least_bytes).write.mode("overwrite").option("lineSep", "\r\n").option("compression", "none").text(path)
+    """Writes the archives under ``path``, at most ``FILE_RECORDS`` records a file, so a reader can hold one."""
+    records(pages, id_col, url_col, html_col, least_bytes).write.mode("overwrite").option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", "\r\n").option("compression", "none").text(path)
     return path
 
 
@@ -160,7 +165,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records and gaps of all files under ``path`` (columns as in ``RECORDS``; kind is record or gap).
 
-    Files are read whole, one at a time in a task; the writer's tasks bound their size. A revisit has no
+    Files are read whole, one at a time in a task; the writer bounds their records. A revisit has no
     payload of its own. Gaps bear their byte range alone. ``payloads=False`` leaves that column null.
     """
     names = [c.split()[0] for c in RECORDS.split(", ")]
