@@ -26,7 +26,7 @@ HASH_BITS, PREFIXES = 30, (4, 5)
 TRAIN_ROWS = 30_000
 #: Likelihood-ratio statistic and number of documents from which a term is selected.
 LEAST_G2, LEAST_DOCUMENTS = 20.0, 3
-RANK, STEPS, RATE, DECAY, SEED = 8, 300, 0.1, 1e-5, 11
+RANK, STEPS, RATE, DECAY, SEED = 4, 120, 0.1, 1e-5, 11
 
 
 def word_terms(word: str) -> list[int]:
