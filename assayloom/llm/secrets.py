@@ -84,11 +84,12 @@ def address(text: Column) -> Column:
 def unseen_blobs(versions: DataFrame, known: DataFrame, text_col: str = "text", version: str = RULE_VERSION) -> DataFrame:
     """(blob, text), one row for every blob not yet scanned under ``version``.
 
-    Copies of a blob collapse before the shuffle, so a blob that many rows hold is sent once per task.
+    Copies of a blob collapse inside each task and then over tasks before the ledger is asked, so a blob that
+    many rows hold is sent once per task, and the ledger's join sees every blob once.
     """
     blobs = versions.select(whole_text(text_col).alias("text")).select(address(F.col("text")).alias("blob"), "text")
-    fresh = blobs.join(known.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    return fresh.groupBy("blob").agg(F.first("text").alias("text"))
+    single = blobs.groupBy("blob").agg(F.first("text").alias("text"))
+    return single.join(known.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
 
 
 def update_ledger(versions: DataFrame, ledger: str, text_col: str = "text", version: str = RULE_VERSION) -> int:
