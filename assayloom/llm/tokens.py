@@ -17,13 +17,11 @@ from functools import lru_cache
 
 import numpy as np
 
-#: A word of Latin letters and its trailing punctuation, the usual part.
-_EASY = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Byte-level vocabularies write a byte as the character of that number if it prints, else as one from 256 on.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-MEMO_PARTS, MEMO_CORES = 700_000, 500_000
+MEMO_PARTS, MEMO_CORES = 1_000_000, 100_000
 
 
 @lru_cache(maxsize=4)
@@ -48,7 +46,8 @@ class Encoder:
 
     Parts between spaces are remembered, and so are their cores: a part is cut before its trailing ASCII
     punctuation, where both vocabularies cut as well. A core of Latin letters is one word to either
-    vocabulary, and no normalisation but lower case changes it, so it goes to the tokenizer's model directly.
+    vocabulary, and no normalisation but lower case changes it, so it goes to the tokenizer's model directly
+    and is remembered as the part that it is without punctuation.
     """
 
     def __init__(self, path: str, spaces_matter: bool):
@@ -84,18 +83,24 @@ class Encoder:
     def _learn(self, memo: dict[str, bytes | None], parts: set[str], before: str) -> None:
         if len(self.cores) > MEMO_CORES:
             self.cores.clear()
-        missing, cores = {}, self.cores
+        words, cut, other = set(), [], {}
         for p in parts.difference(memo):
-            easy = _EASY.fullmatch(p)
-            if not easy:
-                missing[p] = self._pieces(p, before)
-            elif self.spaces_matter:
-                missing[p] = (before + easy[1], easy[2]) if easy[2] else (before + easy[1],)
+            core = p.rstrip(string.punctuation)
+            if core.isalpha() and (core.isascii() or _LATIN.fullmatch(core)):
+                word = core if self.spaces_matter else core.lower()
+                words.add(word)
+                if word != p:
+                    cut.append((p, word, p[len(core):]))
             else:
-                missing[p] = (easy[1].lower(), easy[2]) if easy[2] else (easy[1].lower(),)
-        self._learn_cores({c for pieces in missing.values() if pieces for c in pieces}.difference(cores))
-        for p, pieces in missing.items():
-            memo[p] = None if pieces is None else cores[pieces[0]] if len(pieces) == 1 else b"".join([cores[c] for c in pieces])
+                other[p] = self._pieces(p, before)
+        self._learn_words(memo, words.difference(memo), before)
+        wanted = {tail for _, _, tail in cut if tail}.union(*filter(None, other.values()))
+        new = list(wanted.difference(self.cores))
+        self.cores.update(zip(new, self._whole(new)))
+        for p, word, tail in cut:
+            memo[p] = memo[word] + self.cores[tail] if tail else memo[word]
+        for p, pieces in other.items():
+            memo[p] = None if pieces is None else b"".join([self.cores[c] for c in pieces])
 
     def _pieces(self, part: str, before: str) -> list[str] | None:
         """The part as pieces that are encoded apart; None if its spaces do not stand between other characters."""
@@ -105,14 +110,12 @@ class Encoder:
             return None
         return _core_and_tail(before + part)
 
-    def _learn_cores(self, cores: set[str]) -> None:
-        merge, rest = tokenizer(self.path).model.tokenize, []
-        for c in cores:
-            if _LETTERS.fullmatch(c):
-                self.cores[c] = array("I", [t.id for t in merge(c.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
-            else:
-                rest.append(c)
-        self.cores.update(zip(rest, self._whole(rest)))
+    def _learn_words(self, memo: dict[str, bytes | None], words: set[str], before: str) -> None:
+        """Ids of words of Latin letters, from the model alone; the space before them is part of the word."""
+        merge, space = tokenizer(self.path).model.tokenize, before and chr(_BYTE_LETTERS[ord(before)])
+        for w in words:
+            spelled = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            memo[w] = array("I", [t.id for t in merge(space + spelled)]).tobytes()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer(self.path).encode_batch(texts, add_special_tokens=False)]
