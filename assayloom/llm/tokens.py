@@ -41,66 +41,65 @@ def public_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Memo(dict):
+    """Values by key, each made by ``make`` when it is first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes | None]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes | None:
+        value = self[key] = self.make(key)
+        return value
+
+
 class Encoder:
     """Encodes texts to the bytes of their ids, little-endian unsigned 32-bit.
 
     Parts between spaces are remembered, and so are their cores: a part is cut before its trailing ASCII
     punctuation, where both vocabularies cut as well. A core of Latin letters is one word to either
     vocabulary, and no normalisation but lower case changes it, so it goes to the tokenizer's model directly
-    and is remembered as the part that it is without punctuation.
+    and is remembered as the part that it is without punctuation. Where spaces matter, a line end belongs to
+    the part behind it, and the parts at the start of a text or line are remembered apart from those behind a
+    space.
     """
 
     def __init__(self, path: str, spaces_matter: bool):
         self.path, self.spaces_matter = path, spaces_matter
-        self.first: dict[str, bytes | None] = {}
-        self.rest: dict[str, bytes | None] = {} if spaces_matter else self.first
-        self.cores: dict[str, bytes] = {}
+        self.first = _Memo(lambda part: self._learn(part, self.first, ""))
+        self.rest = _Memo(lambda part: self._learn(part, self.rest, " ")) if spaces_matter else self.first
+        self.cores = _Memo(lambda core: self._whole([core])[0])
+        self.merge = tokenizer(path).model.tokenize
         self.line_end = self._whole(["\n"])[0]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        texts = list(texts)
         if len(self.first) + len(self.rest) > MEMO_PARTS:
             self.first.clear()
             self.rest.clear()
+        if len(self.cores) > MEMO_CORES:
+            self.cores.clear()
         if not self.spaces_matter:
-            parts = [t.replace("\n", " ").split(" ") for t in texts]
-            self._learn(self.first, set().union(*parts), "")
-            return [b"".join(map(self.first.__getitem__, p)) for p in parts]
-        lines = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        self._learn(self.first, {p[0] for text in lines for p in text}, "")
-        self._learn(self.rest, set().union(*(p[1:] for text in lines for p in text)), " ")
-        out, first, rest = [], self.first.__getitem__, self.rest.__getitem__
-        for text, whole in zip(lines, texts):
-            found = []
-            for p in text:
-                found.append(first(p[0]))
-                found.extend(map(rest, p[1:]))
-                found.append(self.line_end)
-            found.pop()
-            out.append(self._whole([whole])[0] if None in found else b"".join(found))
+            return [b"".join(map(self.first.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
+        out, rest = [], self.rest.__getitem__
+        for text in texts:
+            start, *parts = text.replace("\n", " \n").split(" ")
+            found = [self.first[start], *map(rest, parts)]
+            out.append(self._whole([text])[0] if None in found else b"".join(found))
         return out
 
-    def _learn(self, memo: dict[str, bytes | None], parts: set[str], before: str) -> None:
-        if len(self.cores) > MEMO_CORES:
-            self.cores.clear()
-        words, cut, other = set(), [], {}
-        for p in parts.difference(memo):
-            core = p.rstrip(string.punctuation)
-            if core.isalpha() and (core.isascii() or _LATIN.fullmatch(core)):
-                word = core if self.spaces_matter else core.lower()
-                words.add(word)
-                if word != p:
-                    cut.append((p, word, p[len(core):]))
-            else:
-                other[p] = self._pieces(p, before)
-        self._learn_words(memo, words.difference(memo), before)
-        wanted = {tail for _, _, tail in cut if tail}.union(*filter(None, other.values()))
-        new = list(wanted.difference(self.cores))
-        self.cores.update(zip(new, self._whole(new)))
-        for p, word, tail in cut:
-            memo[p] = memo[word] + self.cores[tail] if tail else memo[word]
-        for p, pieces in other.items():
-            memo[p] = None if pieces is None else b"".join([self.cores[c] for c in pieces])
+    def _learn(self, part: str, memo: _Memo, before: str) -> bytes | None:
+        """Ids of a part; None if its spaces do not stand between other characters."""
+        if before and part[:1] == "\n":
+            ids = self.first[part[1:]]
+            return None if ids is None else self.line_end + ids
+        core = part.rstrip(string.punctuation)
+        if core.isalpha() and (core.isascii() or _LATIN.fullmatch(core)):
+            word, tail = core if self.spaces_matter else core.lower(), part[len(core):]
+            if word != part:
+                return memo[word] + self.cores[tail] if tail else memo[word]
+            return self._word(word, before)
+        pieces = self._pieces(part, before)
+        return None if pieces is None else b"".join([self.cores[c] for c in pieces])
 
     def _pieces(self, part: str, before: str) -> list[str] | None:
         """The part as pieces that are encoded apart; None if its spaces do not stand between other characters."""
@@ -110,12 +109,11 @@ class Encoder:
             return None
         return _core_and_tail(before + part)
 
-    def _learn_words(self, memo: dict[str, bytes | None], words: set[str], before: str) -> None:
-        """Ids of words of Latin letters, from the model alone; the space before them is part of the word."""
-        merge, space = tokenizer(self.path).model.tokenize, before and chr(_BYTE_LETTERS[ord(before)])
-        for w in words:
-            spelled = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            memo[w] = array("I", [t.id for t in merge(space + spelled)]).tobytes()
+    def _word(self, word: str, before: str) -> bytes:
+        """Ids of a word of Latin letters, from the model alone; the space before it is part of the word."""
+        space = before and chr(_BYTE_LETTERS[ord(before)])
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.merge(space + spelled)]).tobytes()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer(self.path).encode_batch(texts, add_special_tokens=False)]
