@@ -176,6 +176,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = marked.distinct().join(_roots(marked), "fp")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first")
     kept = rows.groupBy("root").agg(first).select(F.col("first.id").alias("kept_id"), F.col("first.fp").alias("kept_fp"))
-    single = staged.dropDuplicates([id_col, fp])
     same = quoted(id_col).eqNullSafe(F.col("kept_id")) & (F.col(fp) == F.col("kept_fp"))
-    return single.join(kept, same, "left_semi").select(*near)
+    return staged.join(kept, same, "left_semi").dropDuplicates([id_col, fp]).select(*near)

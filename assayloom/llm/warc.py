@@ -26,7 +26,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Every record bears this date, so that archives made again are equal byte by byte.
 DATE = "2024-01-01T00:00:00Z"
 LEAST_BYTES = 0
-FILE_RECORDS = 10_000
+FILE_RECORDS = 2_000
 RECORDS = (
     "file string, at long, end long, kind string, page_id string, url string, record_type string, payload_bytes long, "
     "payload_digest string, refers_to string, payload binary"
