@@ -282,6 +282,16 @@ def domain_flag(spark, d):
     return flagged.groupBy("f.in_domain", "f.confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("ad_leverage_total", """
+    SELECT count(*) AS n, CAST(max(len(embedding)) AS DOUBLE) AS total FROM embeddings""")
+def ad_leverage_total(spark, d):
+    """Leverages over all dimensions add up to the rank of the features, here their number."""
+    rows = embedding_features(spark, d)
+    scaled = X.scale(rows, "features", X.fit_standard(rows, "features"))
+    found = D.assess(scaled, "features", D.fit_domain(scaled, "features"))
+    return found.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("h"), 4).alias("total"))
+
+
 @register("ad_leverage_wide")
 def ad_leverage_wide(spark, d):
     """Leverage over all 64 dimensions; the pseudo-inverse has no SQL counterpart."""

@@ -1,6 +1,6 @@
 """Queries over training, tuning, cross-validation, scoring and resampling.
 
-Results of fitted models have no SQL counterpart; counts and linear explanations do. Features are the
+Results of fitted models have no SQL counterpart, unless the features decide the label; counts and linear explanations do. Features are the
 whole embeddings table, the target is its label cut at five; the second feature set is the first sixteen
 entries of the vector. Model sizes are parameters; these queries use small ones.
 """
@@ -15,6 +15,7 @@ from assayloom.operators import models as M
 from assayloom.operators import risk as R
 from assayloom.operators import scoring as Z
 from assayloom.operators.explain import common_features, opposite_effects
+from assayloom.operators.metrics import confusion
 from assayloom.operators.resample import smote
 from assayloom.operators.splits import repeated_kfold, repeated_stratified_kfold, stratified_split
 from assayloom.operators.validation import compare_folds, cv_summary, sort_summary, unpivot_metrics
@@ -78,6 +79,19 @@ register("train_kernel")(_train("classification", ["KernelSVC"]))
 register("train_regression")(_train("regression", ["RandomForest", "BoostedTrees", "KernelSVR"]))
 
 
+@register("train_decided", """
+    WITH e AS (SELECT vec_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y FROM embeddings),
+      r AS (SELECT y, row_number() OVER (PARTITION BY y ORDER BY md5('42|' || vec_id)) AS rn, count(*) OVER (PARTITION BY y) AS n FROM e),
+      t AS (SELECT y FROM r WHERE rn <= ceil(n * 0.2 - 1e-9))
+    SELECT model, count(*) FILTER (WHERE y = 0) AS tn, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, count(*) FILTER (WHERE y = 1) AS tp, count(*) AS n
+    FROM t, (VALUES ('RandomForest'), ('KernelSVC')) v(model) GROUP BY model""")
+def train_decided(spark, d):
+    """Full model settings on features that decide the label: every test row must come out right."""
+    decides = split_table(spark, d).withColumn("features", F.array(F.col("y"), 1 - F.col("y")))
+    _, preds = M.train_all(decides, "classification", M.BASELINE, ["RandomForest", "KernelSVC"])
+    return confusion(preds, "y", "prediction", ["model"])
+
+
 @register("cross_validate")
 def cross_validate(spark, d):
     table = labelled(spark, d)
