@@ -1,8 +1,9 @@
 """Queries over training, tuning, cross-validation, scoring and resampling.
 
-Results of fitted models have no SQL counterpart, unless the features decide the label; counts and linear explanations do. Features are the
-whole embeddings table, the target is its label cut at five; the second feature set is the first sixteen
-entries of the vector. Model sizes are parameters; these queries use small ones.
+Results of fitted models have no SQL counterpart unless the features decide the label; counts and linear
+explanations do. Features are the whole embeddings table, the target is its label cut at five; the second
+feature set is the first sixteen entries of the vector. Model sizes are parameters; these queries use small
+ones, but for ``train_decided``.
 """
 
 from __future__ import annotations
