@@ -46,7 +46,7 @@ OUTSIDE_NAMES = frozenset(
 )
 #: A block starting with one of these ends an open element of the listed names.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
-PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟]")
+PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟؛،।॥]")
 #: Share of the spread of the fused ratios at which a path outside of articles is selected.
 SPREAD_SHARE = 0.5
 
@@ -151,7 +151,8 @@ def path_scores(found: list[Block]) -> np.ndarray:
         total[1] += len(text)
         total[2] += len(PUNCTUATION.findall(text))
         total[3] += min(b.linked, len(text))
-    ratio = {p: length / n * (punctuation / n) * (1 - linked / length) for p, (n, length, punctuation, linked) in sums.items()}
+    # One more than the punctuation: text without any (lists, verse, code, scripts without such marks) has its length alone.
+    ratio = {p: length / n * (1 + punctuation / n) * (1 - linked / length) for p, (n, length, punctuation, linked) in sums.items()}
     if not found:
         return np.zeros(0)
     raw = np.log1p([ratio[b.path] for b in found])

@@ -186,6 +186,16 @@ def test_extract_articles_and_plain_pages():
     assert html_extract.extract("<article><p>cut off, here <a href='x") == "cut off, here"
 
 
+def test_text_without_punctuation_is_kept():
+    lines = [f"line {i} of a verse that ends without a mark" for i in range(8)]
+    assert html_extract.extract("<body>" + "".join(f"<p>{x}</p>" for x in lines)) == "\n".join(lines)
+    assert html_extract.extract("<div>ข้อความภาษาไทย</div>") == "ข้อความภาษาไทย"
+    # Cells with no punctuated direct neighbour, between two paragraphs.
+    cells = [f"cell {i}" for i in range(6)]
+    page = "<p>Before, with marks.</p><table><tr>" + "".join(f"<td>{x}</td>" for x in cells) + "</tr></table><p>After, with marks.</p>"
+    assert html_extract.extract(page).split("\n")[1:-1] == cells
+
+
 def test_extract_on_tables(spark, data):
     rows = query(spark, data, 5)
     assert len(rows) == spark.read.parquet(f"{data}/pages.parquet").count() and all(r.n_chars == len(r.text) > 0 for r in rows)
