@@ -1,21 +1,22 @@
 """Main text of web pages by tag-path ratios.
 
 A page becomes a list of blocks (text between block-level tags), each with the path of tags from the root to
-the element that holds it. Per path, text length and punctuation are summed over its blocks, and the share
-of link text; their product is the path's ratio. Ratios are smoothed over neighbouring blocks in page order,
-fused with what the tags and class names of the path say (menus, adverts, comments and the like are out,
-articles are in), and paths above a threshold are selected. Pages are independent of each other.
+the element that holds it. Blocks in elements or under class names that are never content (menus, adverts,
+comments and the like) are out. For the paths of all others, on every page, text length and punctuation are
+summed over the blocks, and the share of link text; they give the path's ratio. Ratios are smoothed over
+neighbouring blocks in page order, fused with what the tags of the path say (text elements, inside an article),
+and paths above a threshold, relative to the page, are selected. Pages are independent of each other.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +48,12 @@ OUTSIDE_NAMES = frozenset(
 #: A block starting with one of these ends an open element of the listed names.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟؛،।॥]")
-#: Share of the spread of the fused ratios at which a path outside of articles is selected.
-SPREAD_SHARE = 0.5
+#: Elements that are made to hold text; all other block elements are containers.
+TEXT_ELEMENTS = HEADINGS | frozenset("p li dt dd td th pre blockquote caption figcaption summary".split())
+#: A path is selected from this share of the mean ratio of the page's plain text (by length). Added to a path's
+#: ratio: for a text element (the limit is never higher, so short cells and items without links stay), and inside
+#: an article.
+LEVEL_SHARE, TEXT_TERM, INSIDE_TERM = 0.5, 5.0, 1.0
 
 
 @dataclass
@@ -142,37 +147,45 @@ def blocks(page: str) -> list[Block]:
     return [b for b in found if b.text()]
 
 
-def path_scores(found: list[Block]) -> np.ndarray:
-    """Smoothed ratio of every block's path: mean length, mean punctuation and share of plain text, fused."""
-    sums: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
-    for b in found:
-        text, total = b.text(), sums[b.path]
+def path_scores(found: list[Block]) -> tuple[dict[str, float], float]:
+    """Fused score of every path, and the score from which a path is selected.
+
+    A block's ratio is the logarithm of its path's mean length times one more than its mean punctuation (text
+    without any marks, as in lists, verse and code, has its length alone). Ratios are smoothed over neighbours of
+    the same kind (text elements or containers), so a container between paragraphs does not borrow from them.
+    Tag and place are terms beside it, and the share of plain text is a factor on the sum.
+    """
+    sums: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    texts = [b.text() for b in found]
+    for b, text in zip(found, texts):
+        total = sums[b.path]
         total[0] += 1
         total[1] += len(text)
         total[2] += len(PUNCTUATION.findall(text))
-        total[3] += min(b.linked, len(text))
-    # One more than the punctuation: text without any (lists, verse, code, scripts without such marks) has its length alone.
-    ratio = {p: length / n * (1 + punctuation / n) * (1 - linked / length) for p, (n, length, punctuation, linked) in sums.items()}
-    if not found:
-        return np.zeros(0)
-    raw = np.log1p([ratio[b.path] for b in found])
-    wide = np.pad(raw, 1, mode="edge")
-    return 0.25 * wide[:-2] + 0.5 * raw + 0.25 * wide[2:]
+        title = b.inside and b.path.rpartition("/")[2] in HEADINGS  # titles of articles are often links
+        total[3] += 0 if title else min(b.linked, len(text))
+    # Where an article is nothing but link text, that text is all there is to select from.
+    linked_only = any(b.inside for b in found) and all(total[1] == total[3] for total in sums.values())
+    ratio = {p: math.log1p(length / n * (1 + punctuation / n)) for p, (n, length, punctuation, _) in sums.items()}
+    kind = {p: p.rpartition("/")[2] in TEXT_ELEMENTS for p in sums}
+    best: dict[str, float] = {}
+    level = 0.0
+    for i, (b, text) in enumerate(zip(found, texts)):
+        own = ratio[b.path]
+        near = [found[j].path if 0 <= j < len(found) else b.path for j in (i - 1, i + 1)]
+        smooth = 0.5 * own + 0.25 * sum(ratio[p] if kind[p] == kind[b.path] else own for p in near)
+        length, linked = sums[b.path][1], 0 if linked_only else sums[b.path][3]
+        plain = 1 - linked / length
+        level += own * plain * len(text)
+        score = (smooth + TEXT_TERM * kind[b.path] + INSIDE_TERM * b.inside) * plain
+        best[b.path] = max(best.get(b.path, 0.0), score)
+    return best, min(TEXT_TERM, LEVEL_SHARE * level / max(1, sum(map(len, texts))))
 
 
 def extract(page: str) -> str:
     """Selected blocks of a page, one per line; empty if there are none."""
-    found = blocks(page)
-    usable = [b for b in found if not b.outside]
-    if any(b.inside for b in usable):
-        return "\n".join(b.text() for b in usable if b.inside)
-    scores = path_scores(usable)
-    if not len(scores):
-        return ""
-    limit = SPREAD_SHARE * float(scores.std())
-    best: dict[str, float] = {}
-    for b, score in zip(usable, scores):
-        best[b.path] = max(best.get(b.path, 0.0), float(score))
+    usable = [b for b in blocks(page) if not b.outside]
+    best, limit = path_scores(usable)
     return "\n".join(b.text() for b in usable if best[b.path] > 0 and best[b.path] >= limit)
 
 

@@ -186,6 +186,18 @@ def test_extract_articles_and_plain_pages():
     assert html_extract.extract("<article><p>cut off, here <a href='x") == "cut off, here"
 
 
+def test_paths_are_scored_inside_and_outside_of_articles():
+    text = "A sentence of the article, with some words and marks; it goes on for a while. " * 4
+    body = f"<h1><a href=x>Title</a></h1><p>{text}<p>{text}<table><tr><td>a<td>12</table><ul><li>one<li>two</ul>"
+    want = ["Title", text.strip(), text.strip(), "a", "12", "one", "two"]
+    for inside in ("<div>Buy cheap now</div>", "<div><a href=x>Tweet</a> <a href=y>Mail this</a></div>", "<ul class=x><div><li><a href=x>More, of this</a></div></ul>"):
+        assert html_extract.extract(f"<article>{body}{inside}<p>{text}</article>").split("\n") == [*want, text.strip()]
+    # Text beside an article counts, a line beside it does not.
+    page = f"<body><article>{body}</article><div><div><p>{text}</div>{text}</div><center>All of us</center>"
+    assert html_extract.extract(page).split("\n") == [*want, text.strip(), text.strip()]
+    assert html_extract.extract("<article><p><a href=x>All is a link</a></p></article>") == "All is a link"
+
+
 def test_text_without_punctuation_is_kept():
     lines = [f"line {i} of a verse that ends without a mark" for i in range(8)]
     assert html_extract.extract("<body>" + "".join(f"<p>{x}</p>" for x in lines)) == "\n".join(lines)
