@@ -2,8 +2,8 @@
 
 Two multinomials over hashed word n-grams (n = 1, 2) are counted: one over all documents, one over trusted
 documents. A document's score is the mean of log(p_trusted / p_raw) over its n-grams, so long and short
-texts compare; documents under a fixed threshold are rejected. All counts cover every document; the
-trusted multinomial is fitted on at most about ``TRUSTED_ROWS`` labelled documents.
+texts compare; documents under a fixed threshold are rejected. All counts cover every document, and the
+trusted multinomial every trusted one.
 """
 
 from __future__ import annotations
@@ -17,13 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.rows import bounded_ids, quoted, whole_text
+from assayloom.llm.rows import quoted, whole_text
 
 BUCKETS = 8192
 BIGRAM_FACTOR = 31
 #: Mean log-likelihood ratio per n-gram, in nats, under which a document is rejected.
 THRESHOLD = -0.25
-TRUSTED_ROWS = 20_000
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -87,25 +86,24 @@ def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int,
 def gram_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket, raw, trusted) counts over all documents; ``trusted`` has the ids (column ``id``) of trusted ones.
 
-    Each task sends one row per bucket at most. The id table is broadcast; ``bounded_ids`` bounds it.
+    Two passes: all texts, where they lie; and the texts with a trusted id, which meet the ids in a merge join at
+    every size, as both sides grow with the input. Each task sends one row per bucket at most.
     """
-    flagged = docs.select(quoted(id_col).alias("id"), whole_text(text_col).alias("text")).join(
-        F.broadcast(trusted.select("id", F.lit(1).alias("t"))), "id", "left"
-    )
+    texts = docs.select(quoted(id_col).alias("id"), whole_text(text_col).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = np.zeros((2, BUCKETS), np.int64)
+        totals = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for text, flag in zip(batch["text"], batch["t"].eq(1)):
-                found = np.bincount(gram_buckets(text.encode().split()), minlength=BUCKETS)
-                totals[0] += found
-                if flag:
-                    totals[1] += found
-        used = np.flatnonzero(totals[0])
-        yield pd.DataFrame({"bucket": used, "raw": totals[0][used], "trusted": totals[1][used]})
+            for text in batch["text"]:
+                totals += np.bincount(gram_buckets(text.encode().split()), minlength=BUCKETS)
+        used = np.flatnonzero(totals)
+        yield pd.DataFrame({"bucket": used, "n": totals[used]})
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias(name))
 
-    parts = flagged.select("text", "t").mapInPandas(count, "bucket long, raw long, trusted long")
-    return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
+    raw, good = counted(texts, "raw"), counted(texts.join(trusted.where("id IS NOT NULL").hint("merge"), "id", "left_semi"), "trusted")
+    return raw.join(good, "bucket", "left").select("bucket", "raw", F.coalesce("trusted", F.lit(0).cast("long")).alias("trusted"))
 
 
 def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
@@ -137,25 +135,25 @@ def verdict(weights: np.ndarray, text: Column, threshold: float = THRESHOLD) ->
     return judge.asNondeterministic()(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, base counts, n_grams, score, kept) of every row of ``docs``.
 
     Null and empty texts have no words: all counts 0, base failed, not kept. Repeated rows are each scored
     and counted. Null ids are kept and never trusted. An empty ``labels`` gives score 0 to all. Further
     columns of ``docs``, whatever their names, are not read.
     """
-    weights = _weights(docs, labels, id_col, text_col, label_col, trusted_rows)
+    weights = _weights(docs, labels, id_col, text_col, label_col)
     judged = docs.select(quoted(id_col).alias("id"), verdict(weights, quoted(text_col), threshold).alias("v"))
     return judged.select(F.col("id").alias(id_col), "v.*")
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    weights = _weights(docs, labels, id_col, text_col, label_col, trusted_rows)
+    weights = _weights(docs, labels, id_col, text_col, label_col)
     whole = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), verdict(weights, quoted(text_col), threshold).alias("v"))
     return whole.where("v.kept").select("row.*")
 
 
-def _weights(docs, labels, id_col, text_col, label_col, trusted_rows) -> np.ndarray:
-    trusted = bounded_ids(labels.where(quoted(label_col) == 1), id_col, trusted_rows, "trusted")
+def _weights(docs, labels, id_col, text_col, label_col) -> np.ndarray:
+    trusted = labels.where(quoted(label_col) == 1).select(quoted(id_col).alias("id"))
     return fit(docs, trusted, id_col, text_col)

@@ -71,6 +71,21 @@ def test_quality_on_odd_rows(odd, none):
     assert {r.score for r in unlabelled} == {0.0}
 
 
+def test_all_trusted_documents_count(spark):
+    """More trusted ids than any bound: every one of their words is counted, repeated and missing ids as in the SQL."""
+    n = 41_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")).union(spark.createDataFrame([(0, "a b"), (None, "a b"), (n + 5, "a b")], "doc_id long, text string"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")).union(spark.createDataFrame([(1, 1), (1, 0), (None, 1), (n + 5, 0)], "doc_id long, quality int"))
+    seen = {}
+    fit = quality.fit
+    try:
+        quality.fit = lambda *a: seen.update(rows=quality.gram_counts(*a).collect()) or fit(*a)
+        quality.quality_scores(docs, labels)
+    finally:
+        quality.fit = fit
+    assert len(seen["rows"]) == 3 and {(r.raw, r.trusted) for r in seen["rows"]} == {(n + 3, n + 1)}
+
+
 # 2 token files
 
 @pytest.mark.parametrize("name, spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
