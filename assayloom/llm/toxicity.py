@@ -26,7 +26,7 @@ HASH_BITS, PREFIXES = 30, (4, 5)
 TRAIN_ROWS = 30_000
 #: Likelihood-ratio statistic and number of documents from which a term is selected.
 LEAST_G2, LEAST_DOCUMENTS = 20.0, 3
-RANK, STEPS, RATE, DECAY, SEED = 4, 120, 0.1, 1e-5, 11
+RANK, STEPS, RATE, DECAY, SEED = 8, 300, 0.1, 1e-5, 11
 
 
 def word_terms(word: str) -> list[int]:
@@ -71,23 +71,23 @@ def train(rows: list[list[int]], labels: np.ndarray, n_terms: int, rank: int = R
     """Bias, weights and vectors by Adam on the logistic loss over all rows, with weight decay."""
     draw = np.random.default_rng(SEED)
     share = min(max(labels.mean(), 1e-6), 1 - 1e-6) if len(labels) else 0.5
-    values = [np.array([np.log(share / (1 - share))]), np.zeros(n_terms), draw.normal(0, 0.01, (n_terms, rank))]
+    values = [np.array([np.log(share / (1 - share))]), np.zeros(n_terms), draw.normal(0, 0.01, (n_terms, rank)).T.copy()]
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
-    lengths = np.array([len(r) for r in rows], np.int64)
-    row, term = np.repeat(np.arange(len(rows)), lengths), np.array([t for r in rows for t in r], np.int64)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    term = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64)
     for step in range(1, steps + 1 if len(rows) and n_terms else 1):
         bias, weights, vectors = values
-        score, total = _interactions(row, term, len(rows), weights, vectors)
-        error = 1 / (1 + np.exp(-np.clip(score + bias[0], -30, 30))) - labels
-        each = error[row]
-        slope = np.column_stack([np.bincount(term, weights=each * (total[row, f] - vectors[term, f]), minlength=n_terms) for f in range(rank)])
-        slopes = [np.array([error.sum()]), np.bincount(term, weights=each, minlength=n_terms), slope]
-        for i, (value, change) in enumerate(zip(values, slopes)):
+        total = np.stack([np.bincount(row, weights=v[term], minlength=len(rows)) for v in vectors])
+        own = np.bincount(row, weights=(weights - 0.5 * (vectors * vectors).sum(axis=0))[term], minlength=len(rows))
+        error = 1 / (1 + np.exp(-np.clip(own + 0.5 * (total * total).sum(axis=0) + bias[0], -30, 30))) - labels
+        linear = np.bincount(term, weights=error[row], minlength=n_terms)
+        slope = np.stack([np.bincount(term, weights=(error * t)[row], minlength=n_terms) for t in total]) - vectors * linear
+        for i, (value, change) in enumerate(zip(values, [np.array([error.sum()]), linear, slope])):
             change = change / len(rows) + (DECAY * value if i else 0)
             first[i] = 0.9 * first[i] + 0.1 * change
             second[i] = 0.999 * second[i] + 0.001 * change * change
             values[i] = value - RATE * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-9)
-    return float(values[0][0]), values[1], values[2]
+    return float(values[0][0]), values[1], np.ascontiguousarray(values[2].T)
 
 
 def _g2(n: Column, toxic: Column, rows: int, positives: int) -> Column:

@@ -376,6 +376,27 @@ def test_interactions_are_learned(spark):
     assert all(scored[i] == t for i, _, t in rows)
 
 
+def test_training_in_full():
+    """Rank 8 and 300 steps over all rows, against a plain dense version of the same steps."""
+    draw = np.random.default_rng(3)
+    x = (draw.random((40, 9)) < 0.4).astype(float)
+    x[5] = 0
+    y = ((x[:, 0] * x[:, 1] + x[:, 2]) > 0).astype(float)
+    bias, weights, vectors = toxicity.train([np.flatnonzero(r).tolist() for r in x], y, 9)
+    share = y.mean()
+    v = [np.array([np.log(share / (1 - share))]), np.zeros(9), np.random.default_rng(toxicity.SEED).normal(0, 0.01, (9, 8))]
+    m, s = [np.zeros_like(a) for a in v], [np.zeros_like(a) for a in v]
+    for step in range(1, 301):
+        total = x @ v[2]
+        error = 1 / (1 + np.exp(-(v[0] + x @ v[1] + 0.5 * (total**2 - x @ v[2] ** 2).sum(axis=1)))) - y
+        slopes = [np.array([error.sum()]), x.T @ error, x.T @ (error[:, None] * total) - v[2] * (x.T @ error)[:, None]]
+        for i, g in enumerate(slopes):
+            g = g / 40 + (1e-5 * v[i] if i else 0)
+            m[i], s[i] = 0.9 * m[i] + 0.1 * g, 0.999 * s[i] + 0.001 * g * g
+            v[i] = v[i] - 0.1 * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.999**step)) + 1e-9)
+    assert vectors.shape == (9, 8) and np.allclose(bias, v[0], atol=1e-3) and np.allclose(weights, v[1], atol=1e-3) and np.allclose(vectors, v[2], atol=1e-3)
+
+
 def test_toxicity_held_out(spark):
     big = "/root/testdata/sf0.1"
     rows = {r.doc_id: r for r in query(spark, big, 9)}
