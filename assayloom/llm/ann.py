@@ -149,11 +149,12 @@ def _search(rows: pd.DataFrame, queries: pd.DataFrame, k: int, dimensions: int,
         order = np.argsort(near, kind="stable")
         best, at, take = np.zeros(0), 0, 1
         found = np.zeros(0, np.int64)
-        while at < len(order) and near[order[at]] <= bound * factor:
+        # The slack is that of rounding: distances of equal vectors may be a little over or under 0.
+        while at < len(order) and near[order[at]] <= (max(bound, 0) + 1e-9) * factor:
             chosen = np.concatenate([leaves[i] for i in order[at:at + take]])
             at, take = at + take, 2 * take
             away = points[chosen] - point
-            chosen = chosen[((away * away).sum(axis=1) <= bound * factor) & (ids[chosen] != name)]
+            chosen = chosen[((away * away).sum(axis=1) <= (max(bound, 0) + 1e-9) * factor) & (ids[chosen] != name)]
             distance = 2 - 2 * (units[chosen] @ goal)
             close = distance <= bound + 1e-9
             found, best = np.r_[found, chosen[close]], np.r_[best, distance[close]]

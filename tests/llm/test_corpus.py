@@ -184,6 +184,17 @@ def test_neighbours_on_odd_vectors(spark):
     assert ann.nearest(table.limit(0), table).count() == 0 == ann.nearest(table, table.limit(0)).count()
 
 
+def test_many_copies_of_a_query(spark):
+    """More copies than a leaf holds: the smallest ids are found, wherever they lie."""
+    draw = np.random.default_rng(4)
+    for vec in draw.normal(size=(6, 64)).tolist():
+        ids = draw.permutation(np.arange(1, 3001))
+        rows = ann.pd.DataFrame({"id": ids, "vec": [vec] * 3000})
+        ask = ann.pd.DataFrame({"id": [5000], "vec": [vec], "bound": [4.0]})
+        found = ann._search(rows, ask, 5, ann.DIMENSIONS, ann.chi_square_quantile(ann.CONFIDENCE, ann.DIMENSIONS))
+        assert found["vec_id"].tolist() == [1, 2, 3, 4, 5]
+
+
 # 5 html
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
