@@ -26,6 +26,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Every record bears this date, so that archives made again are equal byte by byte.
 DATE = "2024-01-01T00:00:00Z"
 LEAST_BYTES = 0
+DIGESTS = ("sha1", "sha256", "sha512", "md5")
 FILE_RECORDS = 2_000
 RECORDS = (
     "file string, at long, end long, kind string, page_id string, url string, record_type string, payload_bytes long, "
@@ -114,6 +115,19 @@ def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
     return (content, len(data) - len(inflate.unused_data)) if inflate.eof else None
 
 
+def _agrees(digest: str, content: bytes) -> bool:
+    """Whether a digest, "algorithm:value" in base 32 or hex, is that of the content; true if it is of no known kind."""
+    kind, _, value = digest.rpartition(":")
+    kind = kind.lower().replace("-", "") or "sha1"
+    if kind not in DIGESTS:
+        return True
+    own = hashlib.new(kind, content).digest()
+    if len(value) == 2 * len(own):
+        return value.lower() == own.hex()
+    wanted = base64.b32encode(own).decode().rstrip("=")
+    return len(value.rstrip("=")) != len(wanted) or value.rstrip("=").upper() == wanted
+
+
 def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
     """(headers, block, end) of the record at ``at``; None if any check fails."""
     stop = data.find(b"\r\n\r\n", at)
@@ -131,8 +145,13 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]
     start, end = stop + 4, stop + 4 + int(length)
     if data[end:end + 4] != b"\r\n\r\n":
         return None
-    block, digest = data[start:end], fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if digest and fields.get("warc-type") != "revisit" and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
+    block = payload = data[start:end]
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        payload = block.partition(b"\r\n\r\n")[2]
+    if not _agrees(fields.get("warc-block-digest", ""), block):
+        return None
+    # The payload of a revisit or of a part of a record is not in the block.
+    if fields.get("warc-type") != "revisit" and "warc-segment-number" not in fields and not _agrees(fields.get("warc-payload-digest", ""), payload):
         return None
     return fields, block, end + 4
 

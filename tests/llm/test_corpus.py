@@ -452,6 +452,22 @@ def record(name, body):
     return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%s>\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (name, digest.encode(), len(body), body)
 
 
+def test_records_of_ordinary_crawls():
+    body = b"<p>x</p>\r\n\r\ny"
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    b32 = lambda data: __import__("base64").b32encode(hashlib.sha1(data).digest())
+
+    def crawled(block, *lines):
+        head = b"\r\n".join((b"WARC/1.0", b"WARC-Type: response", b"WARC-Record-ID: <urn:uuid:1>", b"Content-Type: application/http; msgtype=response", b"Content-Length: %d" % len(block), *lines))
+        return head + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    payload, whole = b"WARC-Payload-Digest: sha1:", b"WARC-Block-Digest: sha1:"
+    for lines in ((payload + b32(body), whole + b32(block)), (payload + hashlib.sha1(body).hexdigest().encode(),), (b"WARC-Payload-Digest: sha256:" + hashlib.sha256(body).hexdigest().encode(),), (b"WARC-Payload-Digest: md9:zz",), ()):
+        assert [part[0] for part in warc.salvage(crawled(block, *lines))] == ["record"]
+    for lines in ((payload + b32(body + b"z"),), (payload + b32(body), whole + b32(body)), (b"WARC-Payload-Digest: sha256:" + b"0" * 64,)):
+        assert [part[0] for part in warc.salvage(crawled(block, *lines))] == ["gap"]
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_salvage(packed):
     import gzip
