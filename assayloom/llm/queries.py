@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from assayloom.llm import ann, html_extract, mixing, packing, quality, secrets, simhash, token_files, toxicity, warc
+from assayloom.llm import ann, audit, html_extract, mixing, packing, quality, runs, secrets, simhash, substrings, token_files, toxicity, warc
 from assayloom.plans.catalogue import Tables, register
 from assayloom.session import stage_path
 
@@ -154,3 +156,104 @@ def op10(spark, d):
     path = warc.write_warc(Tables(spark, d).pages, stage_path(spark, "warc"))
     kept = warc.read_warc(spark, path, payloads=False).where("kind = 'record'")
     return kept.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
+
+
+OP11_SQL = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part FROM documents),
+facts AS (
+  SELECT *, regexp_extract_all(text, '{_WORD}') AS ws, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals, regexp_matches(text, '[#$%&*|]') AS marked,
+    min(doc_id) OVER (PARTITION BY text) AS least FROM docs),
+masks AS (
+  SELECT doc_id, part, (len(ws) < 200)::INT + 2 * (100 * list_unique(ws) < 50 * len(ws))::INT + 4 * (100 * capitals > 2 * length(text))::INT + 8 * marked::INT
+    + 16 * coalesce(doc_id > least, false)::INT AS mask FROM facts),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+counts AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM masks LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS b),
+orders AS (
+  SELECT p.c || q.c || r.c || s.c || t.c AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits FROM f p, f q, f r, f s, f t
+  WHERE len(list_distinct([p.b, q.b, r.b, s.b, t.b])) = 5),
+steps AS (SELECT filter_order, step::INT AS step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+rows AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN mask & own <> 0 AND mask & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY ALL)
+SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM rows"""
+
+
+@register("op11_filter_audit", OP11_SQL)
+def op11(spark, d):
+    t = Tables(spark, d)
+    return audit.filter_audit(t.documents, t.labels)
+
+
+_LOOPED = f"regexp_extract_all(coalesce(text, ''), '{_WORD}', 0)".replace(chr(92), chr(92) * 2)
+
+
+def looped(docs):
+    """One text in ten, by the id's crc32, with its words from some place on replaced by a loop."""
+    words, tail = F.expr(_LOOPED), F.expr("n - a")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    sized = chosen.select("*", F.size("w").alias("n")).select("*", F.when(F.col("n") > 0, F.col("g") % F.col("n")).alias("a"))
+    timed = sized.select("*", (1 + F.floor(tail / (3 + F.col("g") % 8))).cast("int").alias("p"))
+    loop = F.flatten(F.array_repeat(F.slice("w", (F.col("a") + 1).cast("int"), F.col("p")), F.ceil(tail / F.col("p")).cast("int")))
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), F.slice(loop, F.lit(1), tail.cast("int"))), " ")
+    return timed.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+OP12_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+coded AS (
+  SELECT rid, doc_id, ws, len(ws) AS n, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(8 * length(doc_id::VARCHAR)), lambda k: (ascii(substr(doc_id::VARCHAR, (k // 8 + 1)::INT, 1)) >> (k % 8)::INT & 1)::UBIGINT)),
+    lambda c, b: CASE WHEN xor(c & 1, b) = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM docs),
+picked AS (SELECT *, xor(c, 4294967295::UBIGINT)::BIGINT AS h FROM coded),
+placed AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM picked),
+timed AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed),
+texts AS (SELECT rid, doc_id, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: ws[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1)::INT]) END AS ws FROM timed),
+tok AS (SELECT rid, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM texts),
+pairs AS (SELECT x.rid, y.i - x.i AS q, x.i FROM tok x JOIN tok y ON x.rid = y.rid AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+marked AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM pairs),
+runs AS (SELECT rid, q, min(i) AS s, count(*) + q AS len FROM marked GROUP BY rid, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+least AS (SELECT * FROM runs r WHERE NOT EXISTS (FROM runs o WHERE o.rid = r.rid AND o.q < r.q AND o.s <= r.s AND o.s + o.len >= r.s + r.len)),
+joined AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM least GROUP BY rid),
+best AS (SELECT * FROM least r WHERE NOT EXISTS (FROM least o WHERE o.rid = r.rid AND (o.len * r.q > r.len * o.q OR o.len * r.q = r.len * o.q AND (o.s < r.s OR o.s = r.s AND o.q < r.q)))),
+gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + len)) AS i FROM least),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS text FROM tok ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, len::BIGINT AS length, q::BIGINT AS period, (1000 * len // q)::BIGINT AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM docs LEFT JOIN joined USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)"""
+
+
+def _sha256(text: bytes) -> bytes:
+    return hashlib.sha256(text).digest()
+
+
+@register("op12_periodic_runs", OP12_SQL)
+def op12(spark, d):
+    found = runs.find_runs(looped(Tables(spark, d).documents), digest=_sha256).withColumn("best", runs.strongest_run())
+    listed = F.expr("concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, char(10))))")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.lower(F.hex("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+OP13_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+tok AS (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM docs),
+win AS (SELECT rid, doc_id, i, array_to_string(ws[i + 1:i + 20], ' ') AS w FROM (SELECT rid, doc_id, ws, unnest(range(len(ws) - 19)) AS i FROM docs)),
+judged AS (SELECT rid, i, row(coalesce(doc_id, 9223372036854775807), i) > min(row(coalesce(doc_id, 9223372036854775807), i)) OVER (PARTITION BY w) AS later FROM win),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 20)) AS i FROM judged WHERE later),
+removed AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS text FROM tok ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN removed USING (rid) LEFT JOIN kept USING (rid)"""
+
+
+@register("op13_substring_dedup", OP13_SQL)
+def op13(spark, d):
+    left = substrings.drop_repeated_passages(Tables(spark, d).documents, digest=_sha256)
+    return left.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept")).alias("kept_sha256"))
