@@ -208,13 +208,11 @@ def order_table(counts: DataFrame) -> DataFrame:
     each filter comes first in the same number.
     """
     orders = ["".join(p) for p in permutations(FILTERS)]
-    bit = {f: 1 << i for i, f in enumerate(FILTERS)}
-    steps = [
-        F.struct(F.lit(order).alias("filter_order"), F.lit(i + 1).alias("step"), F.lit(bit[f]).alias("own"), F.lit(sum(bit[x] for x in order[:i])).alias("before"))
-        for order in orders for i, f in enumerate(order)
-    ]
     by_part = counts.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("m"))
-    rows = by_part.select("part", "m", F.explode(F.array(*steps)).alias("s")).select("part", "m", "s.*")
+    ordered = by_part.select("part", "m", F.explode(F.lit(orders)).alias("filter_order"))
+    stepped = ordered.select("*", F.explode(F.lit(list(range(1, len(FILTERS) + 1)))).alias("step"))
+    bits = f"aggregate(split({{}}, ''), 0, (b, c) -> b | IF(c = '', 0, shiftleft(1, ascii(c) - ascii('{FILTERS[0]}'))))"
+    rows = stepped.select("*", F.expr(bits.format("substring(filter_order, step, 1)")).alias("own"), F.expr(bits.format("substring(filter_order, 1, step - 1)")).alias("before"))
 
     def total(name: str, value: str, test: str):
         return F.expr(f"aggregate(m, 0L, (a, x) -> a + IF({test}, {value}, 0L))").alias(name)

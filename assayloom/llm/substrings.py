@@ -238,7 +238,7 @@ def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]
             yield int(shard[mine[0]]), mine
 
 
-def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
     """(chunk, n_words, blob): the documents in compressed pieces of some MB of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +257,7 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             start = 0
             for i, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
                 size += n
-                if size >= CHUNK_BYTES:
+                if size >= chunk_bytes:
                     yield row([*held, batch.slice(start, i + 1 - start)])
                     held, size, start, turn = [], 0, i + 1, turn + 1
             if start < batch.num_rows:
@@ -273,13 +273,13 @@ def _batch(columns: list[tuple[str, list, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, kind) for _, v, kind in columns], names=[name for name, _, _ in columns])
 
 
-def _answers(table: pa.Table) -> pa.Table:
+def _answers(table: pa.Table, common: int) -> pa.Table:
     """One shard: per chunk a byte for each of its anchors; 1: the corpus has it again, 2: at very many places."""
     blobs = [np.frombuffer(a, np.uint64) for a in table.column("anchors").to_pylist()]
     counts = np.concatenate([np.frombuffer(c, np.uint32) for c in table.column("counts").to_pylist()])
     _, inverse = np.unique(np.concatenate(blobs), return_inverse=True)
     total = np.bincount(inverse, weights=counts)[inverse]
-    marks = (total > 1).astype(np.uint8) + (total > COMMON).astype(np.uint8)
+    marks = (total > 1).astype(np.uint8) + (total > common).astype(np.uint8)
     parts = np.split(marks, np.cumsum([len(b) for b in blobs])[:-1])
     return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"), "marks": pa.array([p.tobytes() for p in parts], pa.binary())})
 
@@ -305,7 +305,7 @@ def _shard_masks(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"), "masks": pa.array(found, pa.binary())})
 
 
-def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], bytes] | None = None) -> DataFrame:
+def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], bytes] | None = None, chunk_bytes: int = CHUNK_BYTES, shard_words: int = SHARD_WORDS, common: int = COMMON) -> DataFrame:
     """(id, n_words, n_removed, kept) of every row of ``docs``; words are ``[^\\x20\\x09-\\x0D]+``.
 
     ``kept`` is the words left, joined by one space, or ``digest`` of their UTF-8. Null and empty texts have no
@@ -313,8 +313,8 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     share an id are ordered by the start alone, so of two equal rows neither is earlier. An empty table gives no
     rows; texts are read whole, one chunk at a time; extra columns are not read.
     """
-    chunks = _chunked(docs, id_col, text_col)
-    shards = 1 + (chunks.agg(F.sum("n_words")).first()[0] or 0) // SHARD_WORDS
+    chunks = _chunked(docs, id_col, text_col, chunk_bytes)
+    shards = 1 + (chunks.agg(F.sum("n_words")).first()[0] or 0) // shard_words
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,7 +326,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 ])
 
     counted = chunks.select("chunk", "blob").mapInArrow(count, "shard long, chunk long, anchors binary, counts binary")
-    answers = stage_table(counted.groupBy("shard").applyInArrow(_answers, "chunk long, shard long, marks binary"), "anchors")
+    answers = stage_table(counted.groupBy("shard").applyInArrow(lambda table: _answers(table, common), "chunk long, shard long, marks binary"), "anchors")
     answered = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "marks")).alias("marks"))
     whole = chunks.select("chunk", "blob").hint("merge").join(answered, "chunk", "left")
 
