@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,10 @@ from assayloom.llm.rows import quoted, whole_text
 from assayloom.session import stage_table
 
 WINDOW, ANCHOR = 20, 10
-CHUNK_BYTES, SHARD_WORDS = 4 << 20, 1 << 20
-#: Windows of a stretch at most (bits of a mask), and places from which the windows of an anchor go on their own.
-STRETCH, COMMON = 32, 20_000
+CHUNK_BYTES, SHARD_BYTES = 4 << 20, 6 << 20
+#: Windows of a stretch at most (bits of a mask; the first and the last one hold all its words), and places from
+#: which the windows of an anchor go on their own.
+STRETCH, COMMON = WINDOW, 20_000
 ALL = 0xFFFFFFFF
 NO_ID = np.iinfo(np.int64).max
 
@@ -155,7 +157,7 @@ class Chunk:
         texts = [t.as_py().split() for t in self.rows.column(1).cast(pa.binary())]
         self.lengths = np.array([len(t) for t in texts], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
-        self.words = [w for t in texts for w in t]
+        self.words = list(chain.from_iterable(texts))
         ids = self.rows.column(0).cast(pa.int64()).fill_null(NO_ID)
         self.ids = np.repeat(ids.to_numpy(), self.lengths)
         self.places = np.arange(len(self.words)) - np.repeat(self.begins, self.lengths)
@@ -204,8 +206,8 @@ class Chunk:
         before = np.cumsum(near)
         return before[self.starts + self.counts + WINDOW - ANCHOR] > before[self.starts]
 
-    def repeated(self, shards: int, answers: dict[int, bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, dict[bytes, list[int]], np.ndarray]]:
-        """By shard the distinct stretches that may match: (shard, starts, counts, numbers of each text, keys)."""
+    def repeated(self, shards: int, answers: dict[int, bytes]) -> Iterator[Stretches]:
+        """The stretches that may match, by shard."""
         anchors = np.unique(self.anchors)
         marks = np.empty(len(anchors), np.uint8)
         for shard, mine in _by_shard(anchors, shards):
@@ -217,15 +219,35 @@ class Chunk:
         starts, counts = np.r_[self.starts[some], alone], np.r_[self.counts[some], np.ones(len(alone), np.int64)]
         keys = np.r_[self.anchors[some], self.windows[alone]] if len(starts) else np.empty(0, np.uint64)
         for shard, mine in _by_shard(keys, shards):
-            texts: dict[bytes, list[int]] = defaultdict(list)
-            for number, (start, count) in enumerate(zip(starts[mine].tolist(), counts[mine].tolist())):
-                texts[b" ".join(self.words[start:start + count + WINDOW - 1])].append(number)
-            yield shard, starts[mine], counts[mine], texts, keys[mine]
+            yield Stretches(self, shard, starts[mine], counts[mine], keys[mine])
 
-    def first_places(self, starts: np.ndarray, texts: dict[bytes, list[int]]) -> list[int]:
-        """Of each distinct text the number of its earliest place."""
-        ids, at = self.ids[starts].tolist(), self.places[starts].tolist()
-        return [min(numbers, key=lambda i: (ids[i], at[i])) if len(numbers) > 1 else numbers[0] for numbers in texts.values()]
+    def text(self, start: int, count: int) -> bytes:
+        return b" ".join(self.words[start:start + count + WINDOW - 1])
+
+
+class Stretches:
+    """Stretches of a chunk for one shard: equal ones have one number, and its first place is the earliest.
+
+    Two stretches are equal if their first and last windows have equal hashes (128 bits, of all their words).
+    """
+
+    def __init__(self, chunk: Chunk, shard: int, starts: np.ndarray, counts: np.ndarray, keys: np.ndarray):
+        first, last = chunk.windows[starts], chunk.windows[starts + counts - 1]
+        ids, places = chunk.ids[starts], chunk.places[starts]
+        order = np.lexsort((places, ids, counts, last, first))
+        new = np.ones(len(order), bool)
+        new[1:] = False
+        for values in (first, last, counts):
+            new[1:] |= values[order[1:]] != values[order[:-1]]
+        self.shard, self.starts, self.counts = shard, starts[order], counts[order]
+        self.heads = np.flatnonzero(new)
+        self.keys, self.ids, self.places = (v[order][self.heads] for v in (keys, ids, places))
+        self.number = np.cumsum(new) - 1
+        #: Whether a stretch stands at the earliest place of its equals.
+        self.earliest = (ids[order] == self.ids[self.number]) & (places[order] == self.places[self.number])
+
+    def texts(self, chunk: Chunk) -> list[bytes]:
+        return [chunk.text(start, count) for start, count in zip(self.starts[self.heads].tolist(), self.counts[self.heads].tolist())]
 
 
 def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -239,7 +261,7 @@ def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 def _chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
-    """(chunk, n_words, blob): the documents in compressed pieces of some MB of text."""
+    """(chunk, n_bytes, blob): the documents in compressed pieces of some MB of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, turn = TaskContext.get().partitionId(), 0
@@ -249,8 +271,7 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> D
             with pa.ipc.new_stream(sink, pieces[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 for piece in pieces:
                     out.write_batch(piece)
-            words = sum(len(t.as_py().split()) for p in pieces for t in p.column(1).cast(pa.binary()))
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + turn], pa.int64()), pa.array([words], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "n_words", "blob"])
+            return _batch([("chunk", [(part << 32) + turn], pa.int64()), ("n_bytes", [size], pa.int64()), ("blob", [sink.getvalue().to_pybytes()], pa.binary())])
 
         held, size = [], 0
         for batch in batches:
@@ -266,7 +287,7 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> D
             yield row(held)
 
     rows = docs.select(quoted(id_col).alias("id"), whole_text(text_col).alias("text"))
-    return stage_table(rows.mapInArrow(run, "chunk long, n_words long, blob binary"), "chunks")
+    return stage_table(rows.mapInArrow(run, "chunk long, n_bytes long, blob binary"), "chunks")
 
 
 def _batch(columns: list[tuple[str, list, pa.DataType]]) -> pa.RecordBatch:
@@ -305,7 +326,7 @@ def _shard_masks(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"), "masks": pa.array(found, pa.binary())})
 
 
-def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], bytes] | None = None, chunk_bytes: int = CHUNK_BYTES, shard_words: int = SHARD_WORDS, common: int = COMMON) -> DataFrame:
+def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], bytes] | None = None, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, common: int = COMMON) -> DataFrame:
     """(id, n_words, n_removed, kept) of every row of ``docs``; words are ``[^\\x20\\x09-\\x0D]+``.
 
     ``kept`` is the words left, joined by one space, or ``digest`` of their UTF-8. Null and empty texts have no
@@ -314,7 +335,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows; texts are read whole, one chunk at a time; extra columns are not read.
     """
     chunks = _chunked(docs, id_col, text_col, chunk_bytes)
-    shards = 1 + (chunks.agg(F.sum("n_words")).first()[0] or 0) // shard_words
+    shards = 1 + (chunks.agg(F.sum("n_bytes")).first()[0] or 0) // shard_bytes
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,10 +356,9 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
             for chunk, blob, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 own = Chunk(blob.as_py())
                 out = []
-                for shard, starts, _, texts, keys in own.repeated(shards, _by_number(marks, "marks")):
-                    least = own.first_places(starts, texts)
-                    at = starts[least]
-                    out.append((shard, chunk, keys[least].tobytes(), own.ids[at].tobytes(), own.places[at].tobytes(), zstandard.compress(b"\n".join(texts), 1)))
+                for some in own.repeated(shards, _by_number(marks, "marks")):
+                    texts = zstandard.compress(b"\n".join(some.texts(own)), 1)
+                    out.append((some.shard, chunk, some.keys.tobytes(), some.ids.tobytes(), some.places.tobytes(), texts))
                 kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
                 names = ("shard", "chunk", "keys", "ids", "places", "blob")
                 yield _batch([(name, [r[i] for r in out], kind) for i, (name, kind) in enumerate(zip(names, kinds))])
@@ -351,18 +371,13 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for blob, marks, found in zip(batch.column(1), batch.column(2), batch.column(3)):
                 own, found = Chunk(blob.as_py()), _by_number(found, "masks")
-                gone = np.zeros(len(own.words) + 1, np.int64)
-                for shard, starts, counts, texts, _ in own.repeated(shards, _by_number(marks, "marks")):
-                    mask = np.full(len(starts), ALL, np.uint32)
-                    ids, at = own.ids[starts], own.places[starts]
-                    for numbers, least, bits in zip(texts.values(), own.first_places(starts, texts), np.frombuffer(found[shard], np.uint32)):
-                        numbers = np.array(numbers)
-                        mask[numbers[(ids[numbers] == ids[least]) & (at[numbers] == at[least])]] = bits
+                later = np.zeros(len(own.words) + WINDOW, np.int64)  # per window, behind WINDOW places without any
+                for some in own.repeated(shards, _by_number(marks, "marks")):
+                    mask = np.where(some.earliest, np.frombuffer(found[some.shard], np.uint32)[some.number], np.uint32(ALL))
                     for bit in range(STRETCH):
-                        hit = starts[(counts > bit) & (mask >> np.uint32(bit) & 1 > 0)] + bit
-                        np.add.at(gone, hit, 1)
-                        np.add.at(gone, hit + WINDOW, -1)
-                out = np.cumsum(gone[:-1]) > 0
+                        later[some.starts[(some.counts > bit) & (mask >> np.uint32(bit) & 1 > 0)] + bit + WINDOW] = 1
+                upto = np.cumsum(later)
+                out = upto[WINDOW:] > upto[:-WINDOW]
                 before = np.r_[0, np.cumsum(out)]
                 texts = []
                 for start, n in zip(own.begins.tolist(), own.lengths.tolist()):
