@@ -10,13 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayloom.functions.scores import finite_or_null
+from assayloom.operators.correlation import pairwise_correlations
 from assayloom.operators.ordered import exact_percentiles
 
 # Limits of the filters.
@@ -162,12 +162,11 @@ def scale(df: DataFrame, vec: str, state: DataFrame, inverse: bool = False) -> D
 def correlated_places(df: DataFrame, vec: str, most: float = MAX_CORRELATION) -> set[int]:
     """Places j whose absolute correlation with any earlier place exceeds the limit, dropped or not.
 
-    The matrix is features x features and is built by a tree aggregation; undefined entries are ignored.
+    Every pair is judged on the rows in which both values are present; undefined correlations are ignored. Only
+    the places reach the driver.
     """
-    complete = df.where(~F.exists(vec, lambda x: x.isNull() | F.isnan(x)))
-    matrix = Correlation.corr(complete.select(array_to_vector(F.col(vec)).alias("v")), "v").head()[0].toArray()
-    size = matrix.shape[0]
-    return {j for j in range(size) if any(abs(matrix[i, j]) > most for i in range(j))}
+    over = pairwise_correlations(df, vec).where(F.abs("r") > most)
+    return {row.j for row in over.select("j").distinct().collect()}
 
 
 def fit_descriptor_cleaning(train: DataFrame, vec: str) -> DataFrame:
@@ -272,12 +271,14 @@ def featurize_once(
 ) -> DataFrame:
     """(key, features, failed): a per-row user function, run once per distinct key not in the cache.
 
-    A failing or non-finite row gives null features and failed=true.
+    A failing or non-finite row gives null features and failed=true. Keys pass through unchanged; a null key is
+    a key like any other.
     """
     todo = df.select(key, text).groupBy(key).agg(F.min(text).alias(text))
     if cache is not None:
-        todo = todo.join(cache.select(key), key, "left_anti")
-    schema = f"{todo.select(key).schema.simpleString()[7:-1].replace(':', ' ')}, features array<double>, failed boolean"
+        known = cache.select(F.col(key).alias("_known"))
+        todo = todo.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
+    schema = T.StructType([todo.schema[key], T.StructField("features", T.ArrayType(T.DoubleType())), T.StructField("failed", T.BooleanType())])
 
     def one(value):
         try:
@@ -286,12 +287,13 @@ def featurize_once(
         except Exception:  # noqa: BLE001 - any failure of the user's function marks the row
             return None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [one(v) for v in batch[text]]
-            yield pd.DataFrame({key: batch[key], "features": out, "failed": [o is None for o in out]})
+            out = [one(v) for v in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array(out, pa.list_(pa.float64())), pa.array([o is None for o in out])]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "features", "failed"])
 
-    fresh = todo.mapInPandas(run, schema)
+    fresh = todo.mapInArrow(run, schema)
     return fresh if cache is None else cache.unionByName(fresh)
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from assayloom.operators.ordered import first_by, null_safe_join
 from assayloom.session import stage_table
@@ -181,18 +183,20 @@ def python_scorer(
 ) -> Callable[[DataFrame], DataFrame]:
     """A scorer for :func:`score_missing` from a Python function over batches of request rows.
 
-    ``fn`` returns one tuple of result columns per row, in the order of ``schema``.
+    ``fn`` returns one tuple of result columns per row, in the order of ``schema``. The request columns pass
+    through unchanged; where an integer column has nulls, ``fn`` sees its values as Python integers.
     """
-    names = T.StructType.fromDDL(schema).names
+    made = T.StructType.fromDDL(schema)
 
     def score(todo: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kinds = [f.type for f in to_arrow_schema(made)]
             for batch in batches:
-                made = pd.DataFrame(list(fn(batch)), columns=names, index=batch.index)
-                yield pd.concat([batch, made], axis=1)
+                rows = list(fn(batch.to_pandas(integer_object_nulls=True)))
+                columns = [pa.array([r[i] for r in rows], kind, from_pandas=True) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *made.names])
 
-        given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in todo.schema)
-        return todo.mapInPandas(run, f"{given}, {schema}")
+        return todo.mapInArrow(run, T.StructType([*todo.schema.fields, *made.fields]))
 
     return score
 

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from tests.oracle import compare, connect
 
 # At this size these results are legitimately empty.
-MAY_BE_EMPTY = {"ad_outliers", "correlation_filter", "tanimoto_search", "tanimoto_search_prefix", "all_targets_met"}
+MAY_BE_EMPTY = {"ad_outliers", "correlation_filter", "correlation_filter_gaps", "tanimoto_search", "tanimoto_search_prefix", "all_targets_met"}
 
 
 @pytest.fixture(scope="module")
