@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from assayloom.operators.features import fit_standard, scale
 from assayloom.operators.metrics import average_precision, classification_metrics, cv_q2, regression_metrics, roc_auc
 from assayloom.operators.resample import smote
+from assayloom.operators.search import Trial, best, draw, search
 from assayloom.operators.splits import balanced_weights
 from assayloom.session import stage_table
 
@@ -229,20 +230,7 @@ def cv_metrics(preds: DataFrame, means: DataFrame, task: str) -> DataFrame:
 
 def draw_settings(family: str, trials: int, seed: int = 42) -> list[dict]:
     """Seeded random draws from the tuning ranges of a family."""
-    draw = np.random.default_rng(seed)
-
-    def one(kind, *arg):
-        if kind == "int":
-            return int(draw.integers(arg[0], arg[1] + 1))
-        if kind == "step":
-            return int(arg[0] + arg[2] * draw.integers(0, (arg[1] - arg[0]) // arg[2] + 1))
-        if kind == "float":
-            return float(draw.uniform(arg[0], arg[1]))
-        if kind == "log":
-            return float(math.exp(draw.uniform(math.log(arg[0]), math.log(arg[1]))))
-        return arg[int(draw.integers(0, len(arg)))]
-
-    return [{name: one(*spec) for name, spec in TUNING[family].items()} for _ in range(trials)]
+    return [draw(TUNING[family], np.random.default_rng((seed, n))) for n in range(trials)]
 
 
 def tuned_estimator(task: str, family: str, params: dict, weight: str | None = None, seed: int = 42) -> Estimator:
@@ -254,50 +242,74 @@ def tuned_estimator(task: str, family: str, params: dict, weight: str | None = N
     return makers[(task, family == "forest")](featuresCol="x", labelCol="y", seed=seed, **params, **extra)
 
 
+def weight_space(task: str, family: str, positives: int, negatives: int) -> dict[str, tuple]:
+    """Tuning range of the class weights: balanced or none, or a weight of the positive class around their ratio."""
+    if task != "classification":
+        return {}
+    if family != "boosted":
+        return {"class_weight": ("choice", "balanced", "none")}
+    ratio = negatives / max(1, positives)
+    low, high = (1.0, max(2.0, 2 * ratio)) if negatives > positives else (max(0.1, ratio / 2), 1.0)
+    return {"positive_weight": ("float", low, high)}
+
+
+def with_class_weight(df: DataFrame, params: dict, label: str = "y") -> tuple[DataFrame, dict, str | None]:
+    """(rows with their weight, settings without the weights, weight column) of a trial."""
+    rest = {k: v for k, v in params.items() if k not in ("class_weight", "positive_weight")}
+    if params.get("class_weight") == "balanced":
+        return balanced_weights(df, label), rest, "weight"
+    if "positive_weight" in params:
+        return df.withColumn("weight", F.when(F.col(label) == 1, params["positive_weight"]).otherwise(1.0)), rest, "weight"
+    return df, rest, None
+
+
 def tune(
     table: DataFrame, folds: DataFrame, task: str, trials: int = TRIALS, k: int = TUNING_FOLDS,
     families: Sequence[str] = tuple(TUNING), override: dict | None = None, parallelism: int = 4, seed: int = 42,
+    guided: bool = True, stop: bool = True, weights: bool = True, oversample: bool = False,
 ) -> tuple[DataFrame, dict]:
-    """Random search: (trial table, best trial). Score is mean r2, or mean f1 of the positive class.
+    """Guided search: (trial table, best trial). Score is mean r2, or mean f1 of the positive class.
 
-    Scaling and over-sampling happen inside each fold and are shared by all trials of the fold; trials of
-    a fold are submitted side by side.
+    Folds are rungs: poor trials stop after the first of them. Class weights are settings like the others (unless
+    ``weights`` is off). Scaling, and over-sampling when asked, happen inside each fold and are shared by all its
+    trials; the trials of a batch are submitted side by side.
     """
     joined = stage_table(table.join(folds.where(F.col("repeat") == 0).select("key", "fold"), "key"), "tune")
-    plan = [
-        {"family": f, "trial": i, "params": {**p, **(override or {}).get(f, {})}}
-        for f in families
-        for i, p in enumerate(draw_settings(f, trials, seed))
-    ]
-    metric = "r2" if task == "regression" else "f1"
-    scores: dict[int, list[float]] = {n: [] for n in range(len(plan))}
-    for i in range(k):
-        fit, rest = prepared(
-            joined.where(F.col("fold") != i), joined.where(F.col("fold") == i), task, name=f"tune-{i}"
-        )
-
-        def run(n: int) -> DataFrame:
-            model = tuned_estimator(task, plan[n]["family"], plan[n]["params"], seed=seed).fit(fit)
-            return predictions(model, rest, task, ["key"]).withColumn("draw", F.lit(n))
-
-        with ThreadPool(parallelism) as pool:
-            parts = pool.map(run, range(len(plan)))
-        measure = regression_metrics if task == "regression" else classification_metrics
-        for row in measure(_union(parts), "y", "prediction", ["draw"]).select("draw", metric).collect():
-            scores[row.draw].append(row[metric])
-    rows = [
-        (p["family"], p["trial"], float(np.mean(scores[n])), str(sorted(p["params"].items()))) for n, p in enumerate(plan)
-    ]
-    best = max(range(len(plan)), key=lambda n: rows[n][2])
+    parts = [prepared(joined.where(F.col("fold") != i), joined.where(F.col("fold") == i), task, oversample, name=f"tune-{i}") for i in range(k)]
+    classes = {r.y: r["count"] for r in joined.groupBy("y").count().collect()} if task == "classification" else {}
+    metric, measure = ("r2", regression_metrics) if task == "regression" else ("f1", classification_metrics)
+    rows, winners = [], []
+    for family in families:
+        fixed = (override or {}).get(family, {})
+
+        def evaluate(now: list[Trial], rung: int, family: str = family, fixed: dict = fixed) -> list[float]:
+            fit, rest = parts[rung]
+
+            def run(trial: Trial) -> DataFrame:
+                weighed, params, weight = with_class_weight(fit, {**trial.params, **fixed})
+                model = tuned_estimator(task, family, params, weight, seed).fit(weighed)
+                return predictions(model, rest, task, ["key"]).withColumn("trial", F.lit(trial.number))
+
+            with ThreadPool(parallelism) as pool:
+                preds = pool.map(run, now)
+            got = {r.trial: r[metric] for r in measure(_union(preds), "y", "prediction", ["trial"]).select("trial", metric).collect()}
+            return [got[t.number] for t in now]
+
+        space = {**TUNING[family], **(weight_space(task, family, classes.get(1.0, 0), classes.get(0.0, 0)) if weights else {})}
+        found = search(space, evaluate, trials, k, parallelism, seed, guided, stop)
+        rows += [(family, t.number, t.value, len(t.scores), str(sorted({**t.params, **fixed}.items()))) for t in found]
+        top = best(found)
+        winners.append({"family": family, "trial": top.number, "params": {**top.params, **fixed}, "score": top.value})
     spark = table.sparkSession
-    return spark.createDataFrame(rows, "family string, trial int, score double, params string"), {**plan[best], "score": rows[best][2]}
+    return spark.createDataFrame(rows, "family string, trial int, score double, folds int, params string"), max(winners, key=lambda w: w["score"])
 
 
 def refit_best(table: DataFrame, task: str, best: dict, seed: int = 42) -> tuple[Transformer, DataFrame]:
     """The best trial fitted on the original training rows, with its test predictions."""
     train, test = table.where(F.col("split") == "train"), table.where(F.col("split") == "test")
     fit, rest = prepared(train, test, task, oversample=False, name="refit")
-    model = tuned_estimator(task, best["family"], best["params"], seed=seed).fit(fit)
+    weighed, params, weight = with_class_weight(fit, best["params"])
+    model = tuned_estimator(task, best["family"], params, weight, seed).fit(weighed)
     return model, predictions(model, rest, task, ["key"]).withColumn("model", F.lit(f"{best['family']}_optimized"))
 
 

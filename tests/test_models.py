@@ -77,8 +77,10 @@ def test_tuning_draws_stay_in_range_and_best_is_refitted(ring):
     assert M.draw_settings("forest", 3) == M.draw_settings("forest", 3)
     folds = repeated_stratified_kfold(ring.select("key", "y"), "key", "y", 2, 1)
     small = {"forest": {"numTrees": 5, "maxDepth": 4}}
-    trials, best = M.tune(ring, folds, "classification", 2, 2, ("forest",), small)
-    assert trials.count() == 2 and best["score"] == max(r.score for r in trials.collect())
+    trials, best = M.tune(ring, folds, "classification", 6, 2, ("forest",), small)
+    rows = trials.collect()
+    assert len(rows) == 6 and best["score"] == max(r.score for r in rows if r.folds == 2)
+    assert any("'class_weight', 'balanced'" in r.params for r in rows) and any("'class_weight', 'none'" in r.params for r in rows)
     _, preds = M.refit_best(stratified_split(ring, "key", "y"), "classification", best)
     assert {r.model for r in preds.select("model").distinct().collect()} == {"forest_optimized"}
 
