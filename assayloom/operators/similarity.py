@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: width of a fingerprint.
 N_BITS = 2048
+#: Queries that are sent to every task at most (8 KB each or less), and rows of a block of a comparison.
+MOST_ASKED, BLOCK = 4096, 512
 
 
 def tokens(text: Column, ngram: int = 1) -> Column:
@@ -41,45 +48,104 @@ def tanimoto(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.nullif(union, F.lit(0))), F.lit(0.0))
 
 
+def packed(bits: Column, n_bits: int = N_BITS) -> Column:
+    """Bit array as n_bits / 64 longs."""
+    words = F.sequence(F.lit(0), F.lit((n_bits - 1) // 64))
+    one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))
+    return F.transform(words, lambda w: F.aggregate(F.filter(bits, lambda b: F.floor(b / 64) == w), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(one(b))))
+
+
+def shared_bits(a: Column, b: Column) -> Column:
+    """Common bits of two packed arrays."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, x: n + x)
+
+
 def tanimoto_search(
-    library: DataFrame, queries: DataFrame, key: str, query_key: str, bits: str, min_sim: float, n_bits: int = N_BITS
+    library: DataFrame, queries: DataFrame, key: str, query_key: str, bits: str, min_sim: float, n_bits: int = N_BITS,
+    route: str | None = None,
 ) -> DataFrame:
     """(query, key, similarity) for library rows at or above ``min_sim``, exact; ``min_sim`` must be positive.
 
-    The two sides meet on the bits that can decide the threshold: with the rarest bits first, two sets that
-    reach it share one of the first n - ceil(min_sim * n) + 1 bits, and neither is smaller than ``min_sim``
-    times the other. Every candidate is checked exactly. Null and empty sets match nothing.
+    Up to MOST_ASKED queries are sent to every task, and the library streams past them without a shuffle
+    (``route="blocks"``); more queries meet the library in a prefix index (``route="index"``). Both are exact.
+    Null and empty sets match nothing.
     """
     if min_sim <= 0:
         raise ValueError("min_sim must be positive")
-    # copies share one fingerprint row, so a large group of copies is looked at once and unfolded last
-    name = F.sha2(F.array_join(F.transform(F.col(bits), lambda b: b.cast("string")), ","), 256)
-    named = library.select(F.col(key).alias("_key"), name.alias("_k"), bits)
-    prints = named.groupBy("_k").agg(F.any_value(bits).alias(bits))
+    asked, rows = queries.select(query_key, bits), library.select(key, bits)
+    route = route or ("blocks" if queries.select(query_key).limit(MOST_ASKED + 1).count() <= MOST_ASKED else "index")
+    search = _by_blocks if route == "blocks" else _by_index
+    return search(rows, asked, key, query_key, bits, min_sim, n_bits)
+
+
+def _bit_matrix(column: pa.ListArray, n_bits: int) -> np.ndarray:
+    out = np.zeros((len(column), n_bits), np.float32)
+    sizes = np.diff(column.offsets.to_numpy())
+    first, last = column.offsets[0].as_py(), column.offsets[-1].as_py()
+    out[np.repeat(np.arange(len(column)), sizes), column.values.to_numpy()[first:last]] = 1
+    return out
+
+
+def _by_blocks(library: DataFrame, asked: DataFrame, key: str, query_key: str, bits: str, min_sim: float, n_bits: int) -> DataFrame:
+    """Every library row against all queries, which are few, by products of 0/1 matrices in blocks."""
+    rows = asked.toArrow().combine_chunks()  # at most MOST_ASKED rows
+    sent = asked.sparkSession.sparkContext.broadcast((rows.column(0).combine_chunks(), rows.column(1).combine_chunks()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, lists = sent.value
+        blocks = [(at, _bit_matrix(lists.slice(at, BLOCK), n_bits)) for at in range(0, len(lists), BLOCK)]
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                piece = batch.slice(start, BLOCK)
+                mine = _bit_matrix(piece.column(1), n_bits)
+                for at, other in blocks:
+                    common = (mine @ other.T).astype(np.float64)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        similar = common / (mine.sum(axis=1, dtype=np.float64)[:, None] + other.sum(axis=1, dtype=np.float64) - common)
+                    i, j = np.nonzero((similar >= min_sim - 1e-12) & (common > 0))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(j + at)), piece.column(0).take(pa.array(i)), pa.array(similar[i, j])], names=["q", "k", "s"])
+
+    schema = T.StructType([T.StructField(query_key, asked.schema[query_key].dataType), T.StructField(key, library.schema[key].dataType), T.StructField("similarity", T.DoubleType())])
+    return library.mapInArrow(run, schema)
+
+
+def candidates(library: DataFrame, asked: DataFrame, bits: str, min_sim: float, n_bits: int) -> DataFrame:
+    """(left columns..., right columns...) of every pair that may reach ``min_sim``, each pair once.
+
+    With the rarest bits first, two sets that reach it share one of the first n - ceil(min_sim * n) + 1 bits, and
+    neither is smaller than ``min_sim`` times the other. A pair comes out at its first common prefix bit only, and
+    only if the bits behind that place in both sets can still reach the threshold.
+    """
     # one count per bit: at most n_bits numbers on the driver
     uses = [0] * n_bits
-    for r in prints.select(F.explode(bits).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect():
+    for r in library.select(F.explode(bits).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect():
         uses[r.b] = r.n
     rarity = F.lit(uses)
 
-    def prefix(df, ident):
+    def prefix(df, side):
         by_rarity = F.array_sort(F.transform(F.col(bits), lambda b: F.struct(F.get(rarity, b).alias("n"), b.alias("b"))))
         keep = F.size(bits) - F.ceil(F.size(bits) * F.lit(min_sim) - F.lit(1e-9)) + 1
-        return df.select(ident, F.size(bits).alias(f"_n{ident}"), F.explode(F.slice(F.transform(by_rarity, lambda e: e["b"]), 1, keep.cast("int"))).alias("b"))
-
-    asked = queries.select(F.col(query_key).alias("_q"), bits)
-    pairs = prefix(prints, "_k").join(prefix(asked, "_q"), "b")
-    sizes = (F.col("_n_k") >= F.col("_n_q") * min_sim - 1e-9) & (F.col("_n_q") >= F.col("_n_k") * min_sim - 1e-9)
-    pairs = pairs.where(sizes).select("_q", "_k").distinct()
-    checked = (
-        pairs.join(asked.withColumnRenamed(bits, "_qb"), "_q")
-        .join(prints.withColumnRenamed(bits, "_kb"), "_k")
-        .select("_q", "_k", tanimoto(F.col("_qb"), F.col("_kb")).alias("similarity"))
-        .where(F.col("similarity") >= min_sim - 1e-12)
-    )
-    return checked.join(named.select("_key", "_k"), "_k").select(
-        F.col("_q").alias(query_key), F.col("_key").alias(key), "similarity"
-    )
+        cut = df.withColumn(f"p{side}", F.slice(F.transform(by_rarity, lambda e: e["b"]), 1, keep.cast("int")))
+        whole = cut.withColumns({f"n{side}": F.size(bits), f"w{side}": packed(F.col(bits), n_bits)}).drop(bits)
+        return whole.select("*", F.posexplode(f"p{side}").alias(f"i{side}", "b"))
+
+    pairs = prefix(library, "l").join(prefix(asked, "r"), "b")
+    most = F.least(F.col("nl") - F.col("il"), F.col("nr") - F.col("ir"))
+    need = F.lit(min_sim / (1 + min_sim)) * (F.col("nl") + F.col("nr")) - 1e-9
+    first = F.get(F.array_intersect("pl", "pr"), F.lit(0)) == F.col("b")
+    return pairs.where((most >= need) & first)
+
+
+def _by_index(library: DataFrame, asked: DataFrame, key: str, query_key: str, bits: str, min_sim: float, n_bits: int) -> DataFrame:
+    library, asked = library.where(F.size(bits) > 0), asked.where(F.size(bits) > 0)
+    # copies share one fingerprint row, so a large group of copies is looked at once and unfolded last
+    name = F.sha2(F.array_join(F.transform(F.col(bits), lambda b: b.cast("string")), ","), 256)
+    named = library.select(F.col(key).alias("_key"), name.alias("_k"), bits)
+    prints = named.groupBy("_k").agg(F.any_value(bits).alias(bits))
+    pairs = candidates(prints, asked.withColumnRenamed(query_key, "_q"), bits, min_sim, n_bits)
+    common = shared_bits(F.col("wl"), F.col("wr"))
+    checked = pairs.select("_q", "_k", (common / (F.col("nl") + F.col("nr") - common)).alias("similarity")).where(F.col("similarity") >= min_sim - 1e-12)
+    return checked.join(named.select("_key", "_k"), "_k").select(F.col("_q").alias(query_key), F.col("_key").alias(key), "similarity")
 
 
 def tanimoto_pairs(pairs: DataFrame, rows: DataFrame, key: str, bits: str, left: str, right: str) -> DataFrame:

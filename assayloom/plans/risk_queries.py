@@ -520,10 +520,10 @@ _SEARCH_SQL = f"""
     SELECT item_id, page_id, s AS similarity FROM (SELECT item_id, page_id, len(list_intersect(q.b, f.b)) / CAST(len(list_distinct(list_concat(q.b, f.b))) AS DOUBLE) AS s FROM q, f) WHERE s >= 0.05"""
 
 
-def _search(spark, d):
+def _search(spark, d, route=None):
     t = Tables(spark, d)
     library, queries = fingerprints(t.pages, "page_id", "html"), fingerprints(t.benchmark, "item_id")
-    return Y.tanimoto_search(library, queries, "page_id", "item_id", "bits", 0.05)
+    return Y.tanimoto_search(library, queries, "page_id", "item_id", "bits", 0.05, route=route)
 
 
 @register("tanimoto_search", _SEARCH_SQL)
@@ -533,4 +533,5 @@ def tanimoto_search(spark, d):
 
 @register("tanimoto_search_prefix", _SEARCH_SQL)
 def tanimoto_search_prefix(spark, d):
-    return _search(spark, d)
+    """The same search through the prefix index."""
+    return _search(spark, d, "index")

@@ -112,8 +112,29 @@ def test_search_agrees_with_brute_force(spark):
     queries = spark.createDataFrame([(i, sets[i]) for i in range(30)], "q long, bits array<int>")
     for least in (0.2, 0.5, 1.0):
         want = {(q, k) for q in range(30) for k in sets if len(set(sets[q]) & set(sets[k])) / len(set(sets[q]) | set(sets[k])) >= least}
-        got = Y.tanimoto_search(lib, queries, "key", "q", "bits", least, 64).collect()
-        assert {(r.q, r.key) for r in got} == want and len(got) == len(want)
+        for route in ("blocks", "index", None):
+            got = Y.tanimoto_search(lib, queries, "key", "q", "bits", least, 64, route).collect()
+            assert {(r.q, r.key) for r in got} == want and len(got) == len(want)
+            assert all(r.similarity == pytest.approx(len(set(sets[r.q]) & set(sets[r.key])) / len(set(sets[r.q]) | set(sets[r.key]))) for r in got)
+
+
+def test_index_meets_each_pair_once_and_few_of_them(spark):
+    import random
+
+    draw = random.Random(5)
+    sets = {i: sorted(draw.sample(range(2048), 40)) for i in range(300)}
+    sets.update({300 + i: sorted({*sets[i][:38], 2047 - i, 1000 + i}) for i in range(20)})
+    rows = spark.createDataFrame(list(sets.items()), "key long, bits array<int>")
+    pairs = Y.candidates(rows, rows.selectExpr("key AS q", "bits"), "bits", 0.8, 2048)
+    met = [(r.key, r.q) for r in pairs.select("key", "q").collect()]
+    near = {(a, b) for a in sets for b in sets if len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
+    assert len(met) == len(set(met)) and near <= set(met) and len(near) >= 360 and len(met) < 0.05 * len(sets) ** 2
+    odd = spark.createDataFrame([(None, [1, 2]), (1, None), (2, []), (3, [1, 2])], "key long, bits array<int>")
+    for route in ("blocks", "index"):
+        got = Y.tanimoto_search(odd, odd.withColumnRenamed("key", "q"), "key", "q", "bits", 0.5, 64, route).collect()
+        assert sorted((r.q is None, r.key is None, r.similarity) for r in got) == sorted((a, b, 1.0) for a in (True, False) for b in (True, False))
+    none = odd.limit(0)
+    assert Y.tanimoto_search(odd, none.withColumnRenamed("key", "q"), "key", "q", "bits", 0.5, 64).count() == 0
 
 
 def test_word_ngrams(spark):
