@@ -116,15 +116,16 @@ def _arrays(column: pd.Series) -> np.ndarray:
 
 
 def valid_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec): rows with an id and a finite, non-zero vector. Of rows with one id the smallest vector counts,
-    and of vectors of several lengths the most frequent length (the smaller, if as frequent)."""
+    """(id, vec): rows with an id and a finite, non-zero vector; equal rows count once."""
     rows = table.where(quoted(id_col).isNotNull()).select(quoted(id_col).alias("id"), quoted(vec_col).cast("array<double>").alias("vec"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where(F.col("vec").isNotNull() & ~bad & F.exists("vec", lambda x: x != 0))
-    rows = rows.groupBy("id").agg(F.min("vec").alias("vec"))
+    return rows.where(F.col("vec").isNotNull() & ~bad & F.exists("vec", lambda x: x != 0)).distinct()
+
+
+def usual_length(rows: DataFrame) -> int:
+    """The most frequent length of the vectors (the smaller, if as frequent); 0 without rows."""
     sizes = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    length = sizes.agg(F.max_by("d", F.struct("n", -F.col("d"))).alias("d"))
-    return stage_table(rows, "vectors").where(F.size("vec") == length.scalar())
+    return sizes.agg(F.max_by("d", F.struct("n", -F.col("d")))).first()[0] or 0
 
 
 def _projection(dimensions: int, width: int) -> np.ndarray:
@@ -173,19 +174,22 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
 
     The candidates of a query are all rows but those with its own id; queries need not be in ``table``. Ids
     are integers. Ties in the score go to the smaller id. Vectors that are null, zero, or hold null or
-    non-finite components take no part, nor do null ids; ``valid_vectors`` says what repeated ids and mixed
-    lengths do. Fewer than k candidates are all returned. Empty tables give no rows.
+    non-finite components take no part, nor do null ids. Vectors and queries whose length is not the usual one
+    of ``table`` take no part either. Rows that share an id but not the vector are candidates each; a query that
+    has several vectors asks with the smallest. Fewer than k candidates are all returned. Empty tables give no rows.
     """
     spark = table.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, asked = valid_vectors(table, id_col, vec_col), valid_vectors(queries, id_col, vec_col)
+    rows = stage_table(valid_vectors(table, id_col, vec_col), "vectors")
+    width = usual_length(rows)
+    rows = rows.where(F.size("vec") == width)
+    asked = valid_vectors(queries, id_col, vec_col).where(F.size("vec") == width).groupBy("id").agg(F.min("vec").alias("vec"))
+    asked = stage_table(asked, "vectors")
     total, n_queries = rows.count(), asked.count()
     if not total or not n_queries:
         return empty
     drawn = F.xxhash64(F.lit(SEED), "id")
     sample = rows.where(F.pmod(drawn, F.lit(1 << 20)) < math.ceil(min(1, SAMPLE_ROWS / total) * (1 << 20))).toPandas()  # about SAMPLE_ROWS rows
-    width = len(rows.first().vec)
-    asked = asked.where(F.size("vec") == width)
     factor = chi_square_quantile(confidence, dimensions)
     known = unit(_arrays(sample["vec"])) if len(sample) else np.zeros((0, width))
     known_ids = sample["id"].to_numpy()

@@ -17,7 +17,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,16 +192,19 @@ def extract(page: str) -> str:
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``.
 
-    Null and empty html give the empty text. Null ids and urls and repeated rows are kept; extra columns are
+    Null and empty html give the empty text. Null ids and urls and repeated rows are kept, ids unchanged; extra columns are
     not read; an empty table gives no rows. Broken html (open tags, cut pages, stray ends) is read as far as
     it goes; a page is never cut.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.drop(columns="html").assign(text=[extract(page) for page in batch["html"]])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                texts = pa.array([extract(page.as_py()) for page in part.column(2)], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], names=["id", "url", "text"])
 
     schema = T.StructType([T.StructField("id", pages.schema[id_col].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
     rows = pages.select(quoted(id_col).alias("id"), quoted(url_col).cast("string").alias("url"), whole_text(html_col).alias("html"))
-    done = rows.mapInPandas(run, schema)
+    done = rows.mapInArrow(run, schema)
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

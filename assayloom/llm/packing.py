@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encode
 
     A document is its ids and the end id; only documents over the capacity are cut, into full pieces and a
     rest. Null and empty texts are the end id alone. Null ids and repeated rows are packed like any other
-    row, each on its own. An empty table gives no rows. Sequence numbers are unique, not dense.
+    row, each on its own; ids pass through unchanged. An empty table gives no rows. Sequence numbers are unique, not dense.
     """
     encode = encode or encode_with(VOCABULARY, False)
     end = np.array([end_id], "<u4").tobytes()
@@ -86,25 +87,30 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encode
         + [T.StructField(c, T.LongType()) for c in ("piece", "start", "length", "ids_crc32", "bin", "offset", "fill")]
     )
 
-    def first_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [f.name for f in schema.fields[1:]]
+
+    def rows(ids: pa.Array, facts: pd.DataFrame) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(facts[c].to_numpy(np.int64)) for c in names)], names=schema.names)
+
+    def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, facts = [], []
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at:at + 1024]
-                for doc, coded in zip(part["id"], encode(part["text"])):
+            for at in range(0, batch.num_rows, 1024):
+                part, owners = batch.slice(at, 1024), []
+                for doc, coded in enumerate(encode(part.column(1).to_pylist())):
                     coded += end
                     for piece, start in enumerate(range(0, len(coded), 4 * capacity)):
                         cut = coded[start:start + 4 * capacity]
-                        ids.append(doc)
+                        owners.append(doc)
                         facts.append((piece, start // 4, len(cut) // 4, zlib.crc32(cut)))
-        if ids:
+                ids.append(part.column(0).take(pa.array(owners, pa.int32())))
+        if facts:
             table = pd.DataFrame(np.array(facts, np.int64), columns=["piece", "start", "length", "ids_crc32"])
-            table.insert(0, "id", pd.Series(ids, dtype=object))
             table["bin"], table["offset"] = np.arange(len(table)), 0
-            yield _packed(table, capacity, TaskContext.get().partitionId() << 32)
+            yield rows(pa.concat_arrays(ids), _packed(table, capacity, TaskContext.get().partitionId() << 32))
 
     texts = docs.select(quoted(id_col).alias("id"), whole_text(text_col).alias("text"))
-    packed = stage_table(texts.mapInPandas(first_round, schema), "pack")
+    packed = stage_table(texts.mapInArrow(first_round, schema), "pack")
     full = F.col("fill") >= capacity - slack
     done, rest = [packed.where(full)], packed.where(~full)
     tasks, bins = max(1, packed.rdd.getNumPartitions()), rest.select("bin").distinct().count()
@@ -115,13 +121,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encode
         tasks = max(least, -(-tasks // FAN_IN))
         head = turn << 56
 
-        def again(batches: Iterator[pd.DataFrame], head: int = head) -> Iterator[pd.DataFrame]:
-            mine = [b for b in batches if len(b)]
+        def again(batches: Iterator[pa.RecordBatch], head: int = head) -> Iterator[pa.RecordBatch]:
+            mine = [b for b in batches if b.num_rows]
             if mine:
-                yield _packed(pd.concat(mine, ignore_index=True), capacity, head + (TaskContext.get().partitionId() << 32))
+                whole = pa.Table.from_batches(mine).combine_chunks()
+                yield rows(whole.column(0).combine_chunks(), _packed(whole.select(names).to_pandas(), capacity, head + (TaskContext.get().partitionId() << 32)))
 
         dealt = rest.withColumn("deal", F.xxhash64("bin", F.lit(turn))).repartition(tasks, "deal").sortWithinPartitions("bin", "offset").drop("deal")
-        packed = stage_table(dealt.mapInPandas(again, schema), "pack")
+        packed = stage_table(dealt.mapInArrow(again, schema), "pack")
         done.append(packed.where(full))
         rest = packed.where(~full)
         before, bins = bins, rest.select("bin").distinct().count()

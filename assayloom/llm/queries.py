@@ -140,7 +140,7 @@ def held_out(id_col: str = "doc_id"):
 def op9(spark, d):
     t = Tables(spark, d)
     machine = toxicity.fit(t.documents, t.labels.where(~held_out()))
-    return toxicity.toxicity_scores(t.documents, machine).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return toxicity.toxicity_scores(t.documents, machine).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 _HEX_GROUPS = "list_transform(range(8), lambda g: ('0x' || substr(x, (5 * g + 1)::INT, 5))::BIGINT)"
