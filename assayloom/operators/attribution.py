@@ -9,18 +9,18 @@ classification trees, the prediction of boosted regression trees.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayloom.operators.boosting import LeafwiseModel
 from assayloom.operators.explain import common_features, linear_attribution, opposite_effects, top_of_array
 from assayloom.operators.features import scale
 from assayloom.operators.models import final_stage
 from assayloom.operators.scoring import EndpointModel
+from assayloom.operators.trees import FlatTrees
 from assayloom.session import stage_path
 
 NODES = "tree int, node int, left int, right int, feature int, threshold double, value double, weight double"
@@ -28,39 +28,6 @@ NODES = "tree int, node int, left int, right int, feature int, threshold double,
 MOST_NODES = 16_000_000
 
 
-@dataclass(frozen=True)
-class FlatTrees:
-    """Nodes of all trees one after the other; leaves have feature -1 and are their own children."""
-
-    roots: np.ndarray
-    weights: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    feature: np.ndarray
-    threshold: np.ndarray
-    value: np.ndarray
-
-    @property
-    def base(self) -> float:
-        return float((self.weights * self.value[self.roots]).sum())
-
-    def attribute(self, x: np.ndarray) -> np.ndarray:
-        """Attributions (rows x features) of a matrix without gaps."""
-        out = np.zeros(x.shape)
-        for root, weight in zip(self.roots.tolist(), self.weights.tolist()):
-            rows, node = np.arange(len(x)), np.full(len(x), root)
-            while True:
-                inner = self.feature[node] >= 0
-                rows, node = rows[inner], node[inner]
-                if not len(rows):
-                    break
-                feature = self.feature[node]
-                child = np.where(x[rows, feature] <= self.threshold[node], self.left[node], self.right[node])
-                out[rows, feature] += weight * (self.value[child] - self.value[node])
-                node = child
-        return out
-
-
 def tree_nodes(model: Transformer) -> DataFrame:
     """Node table of a fitted forest or boosted model (columns as ``NODES``), read from its saved form.
 
@@ -159,7 +126,9 @@ def explain_models(df: DataFrame, key: str, vec: str, models: Sequence[EndpointM
     parts = []
     for em in models:
         last = final_stage(em.model)
-        if hasattr(last, "treeWeights"):
+        if isinstance(last, LeafwiseModel):
+            made = last.explained
+        elif hasattr(last, "treeWeights"):
             made = flat_trees(tree_nodes(em.model))
         elif hasattr(last, "coefficients") and last is em.model:
             coefficients = last.coefficients.toArray().tolist()

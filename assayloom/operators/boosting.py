@@ -18,12 +18,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.operators.attribution import FlatTrees
 from assayloom.operators.features import unfold
 from assayloom.operators.ordered import exact_percentiles
+from assayloom.operators.trees import FlatTrees
 from assayloom.session import stage_table
 
 BLOCK_ROWS, FEATURE_GROUP, MARGINS_EVERY = 65_536, 16, 10
@@ -132,6 +132,12 @@ class LeafwiseBooster:
         return LeafwiseModel(task, base, flat(trees, cuts, s), self.features, facts.p)
 
 
+def booster(task: str, options: dict, weight: str | None = None, seed: int = 42) -> LeafwiseBooster:
+    """A booster from the option names of the other boosted family, or its own."""
+    own = {"maxIter": "rounds", "maxDepth": "depth", "stepSize": "rate", "subsamplingRate": "rows"}
+    return LeafwiseBooster(task, Settings(**{own.get(k, k): v for k, v in options.items()}, seed=seed), weight)
+
+
 def bin_cuts(rows: DataFrame, vec: str, width: int, bins: int) -> list[np.ndarray]:
     """Ascending cut values per feature, at exact quantiles; a value goes to the first cut that is not below it."""
     probs = [i / bins for i in range(1, bins)]
@@ -299,6 +305,17 @@ def flat(trees: list[Tree], cuts: list[np.ndarray], s: Settings) -> FlatTrees:
     return FlatTrees(np.array(roots, np.int64), np.ones(len(roots)), *arrays)
 
 
+_NODE, _FACTS = "place long, root boolean, lft long, rgt long, feature long, threshold double, value double", "task string, base double, features string, width int"
+
+
+def load_leafwise(spark: SparkSession, path: str) -> LeafwiseModel:
+    facts = spark.read.schema(_FACTS).parquet(f"{path}/facts").first()
+    n = spark.read.schema(_NODE).parquet(f"{path}/nodes").toPandas().sort_values("place")
+    arrays = [n[c].to_numpy() for c in ("lft", "rgt", "feature", "threshold", "value")]
+    roots = np.flatnonzero(n["root"].to_numpy(bool))
+    return LeafwiseModel(facts.task, facts.base, FlatTrees(roots, np.ones(len(roots)), *arrays), facts.features, facts.width)
+
+
 @dataclass(frozen=True)
 class LeafwiseModel:
     """Adds prediction, and for classes probability, to rows with a feature vector."""
@@ -312,6 +329,22 @@ class LeafwiseModel:
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.base + self.trees.base + self.trees.attribute(x).sum(axis=1)
 
+    @property
+    def explained(self) -> FlatTrees:
+        """The trees, and the base as one more tree that is a single leaf: attributions of the margin."""
+        t, n = self.trees, len(self.trees.left)
+        ends = ((t.roots, n), (t.weights, 1.0), (t.left, n), (t.right, n), (t.feature, -1), (t.threshold, math.inf), (t.value, self.base))
+        return FlatTrees(*(np.append(values, end) for values, end in ends))
+
+    def save(self, path: str) -> str:
+        """Two small tables, one row per node and one row of facts; ``load_leafwise`` reads them."""
+        t, spark = self.trees, SparkSession.active()
+        roots = set(t.roots.tolist())
+        nodes = [(i, i in roots, *(v[i].item() for v in (t.left, t.right, t.feature, t.threshold, t.value))) for i in range(len(t.left))]
+        spark.createDataFrame(nodes, _NODE).write.mode("overwrite").parquet(f"{path}/nodes")
+        spark.createDataFrame([(self.task, float(self.base), self.features, self.width)], _FACTS).write.mode("overwrite").parquet(f"{path}/facts")
+        return path
+
     def transform(self, df: DataFrame) -> DataFrame:
         model = self
 

@@ -26,6 +26,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayloom.operators.boosting import LeafwiseBooster, booster
 from assayloom.operators.features import fit_standard, scale
 from assayloom.operators.metrics import average_precision, classification_metrics, cv_q2, regression_metrics, roc_auc
 from assayloom.operators.resample import smote
@@ -53,9 +54,9 @@ TUNING = {
         "maxIter": ("step", 100, 500, 50), "maxDepth": ("int", 3, 10), "stepSize": ("log", 0.01, 0.3),
         "subsamplingRate": ("float", 0.6, 1.0),
     },
-    "boosted_subset": {
-        "maxIter": ("step", 100, 500, 50), "maxDepth": ("int", 3, 12), "stepSize": ("log", 0.01, 0.3),
-        "subsamplingRate": ("float", 0.6, 1.0), "featureSubsetStrategy": ("choice", "0.6", "0.8", "1.0"),
+    "leafwise": {
+        "rounds": ("step", 100, 500, 50), "depth": ("int", 3, 12), "rate": ("log", 0.01, 0.3), "rows": ("float", 0.6, 1.0),
+        "columns": ("float", 0.6, 1.0), "l1": ("log", 1e-8, 10.0), "l2": ("log", 1e-8, 10.0), "leaves": ("int", 20, 150),
     },
 }
 TRIALS, TUNING_FOLDS = 30, 3
@@ -101,12 +102,8 @@ def scale_gamma(train: DataFrame, vec: str = "features") -> float:
 def model_set(
     task: str, settings: dict[str, dict] = BASELINE, gamma: float = 1.0, weight: str | None = None,
     components: int = 256, seed: int = 42,
-) -> dict[str, Estimator]:
-    """Forest, boosted trees (all features / feature subsets) and an approximated kernel machine.
-
-    Options of other boosting libraries without a Spark counterpart (column sampling per tree, leaf
-    limits, L1/L2 terms) are not imitated.
-    """
+) -> dict[str, Estimator | LeafwiseBooster]:
+    """Forest, boosted trees grown level by level, boosted trees grown leaf by leaf, and an approximated kernel machine."""
     common = {"featuresCol": "x", "labelCol": "y", "seed": seed}
     w = {"weightCol": weight} if weight else {}
     fourier = RandomFourier(inputCol="x", outputCol="rff", seed=seed, components=components, gamma=gamma)
@@ -115,7 +112,7 @@ def model_set(
         return {
             "RandomForest": RandomForestRegressor(**common, **settings["forest"], **w),
             "BoostedTrees": GBTRegressor(**common, **settings["boosted"], **w),
-            "BoostedTreesSubset": GBTRegressor(**common, **settings["boosted"], **w, featureSubsetStrategy="onethird"),
+            "LeafwiseTrees": booster(task, settings["boosted"], weight, seed),
             "KernelSVR": Pipeline(stages=[
                 fourier, LinearRegression(featuresCol="rff", labelCol="y", regParam=reg / 1000, **w),
             ]),
@@ -123,7 +120,7 @@ def model_set(
     return {
         "RandomForest": RandomForestClassifier(**common, **settings["forest"], **w),
         "BoostedTrees": GBTClassifier(**common, **settings["boosted"], **w),
-        "BoostedTreesSubset": GBTClassifier(**common, **settings["boosted"], **w, featureSubsetStrategy="sqrt"),
+        "LeafwiseTrees": booster(task, settings["boosted"], weight, seed),
         "KernelSVC": Pipeline(stages=[
             fourier,
             LinearSVC(featuresCol="rff", labelCol="y", regParam=reg / 100, rawPredictionCol="margins", predictionCol="side", **w),
@@ -233,7 +230,9 @@ def draw_settings(family: str, trials: int, seed: int = 42) -> list[dict]:
     return [draw(TUNING[family], np.random.default_rng((seed, n))) for n in range(trials)]
 
 
-def tuned_estimator(task: str, family: str, params: dict, weight: str | None = None, seed: int = 42) -> Estimator:
+def tuned_estimator(task: str, family: str, params: dict, weight: str | None = None, seed: int = 42) -> Estimator | LeafwiseBooster:
+    if family == "leafwise":
+        return booster(task, params, weight, seed)
     makers: dict[tuple[str, bool], Callable] = {
         ("regression", True): RandomForestRegressor, ("regression", False): GBTRegressor,
         ("classification", True): RandomForestClassifier, ("classification", False): GBTClassifier,

@@ -15,6 +15,7 @@ from assayloom.operators import features as X
 from assayloom.operators import models as M
 from assayloom.operators import risk as R
 from assayloom.operators import scoring as Z
+from assayloom.operators.boosting import LeafwiseBooster, Settings
 from assayloom.operators.explain import common_features, opposite_effects
 from assayloom.operators.metrics import confusion
 from assayloom.operators.resample import smote
@@ -75,11 +76,26 @@ def _train(task, models):
 
 
 register("train_forest")(_train("classification", ["RandomForest"]))
-register("train_boosted")(_train("classification", ["BoostedTrees", "BoostedTreesSubset"]))
+register("train_boosted")(_train("classification", ["BoostedTrees", "LeafwiseTrees"]))
 register("train_kernel")(_train("classification", ["KernelSVC"]))
 register("train_regression")(_train("regression", ["RandomForest", "BoostedTrees", "KernelSVR"]))
 
 
+@register("boosted_round", """
+    WITH e AS (SELECT vec_id, CAST(label AS DOUBLE) AS y, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS f, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+      m AS (SELECT avg(y) AS mean, count(*) AS n FROM (SELECT DISTINCT vec_id, y FROM e)),
+      c AS (SELECT f, unnest([quantile_cont(x, 0.25), quantile_cont(x, 0.5), quantile_cont(x, 0.75)]) AS cut FROM e GROUP BY f),
+      s AS (SELECT e.f, cut, sum(mean - y) AS g, count(*) AS h, any_value(n) AS n FROM e JOIN c ON e.f = c.f AND x <= cut, m GROUP BY ALL),
+      b AS (SELECT *, g * g / (h + 1) + g * g / (n - h + 1) AS gain FROM s ORDER BY gain DESC, f, cut LIMIT 1)
+    SELECT f AS feature, round(cut, 6) AS threshold, round(-g / (h + 1), 6) AS left_value, round(g / (n - h + 1), 6) AS right_value FROM b""")
+def boosted_round(spark, d):
+    """The first split of leaf-wise boosting at four bins: a stump on squared loss."""
+    rows = M.with_vector(Tables(spark, d).embeddings.select(F.col("embedding").cast("array<double>").alias("features"), F.col("label").cast("double").alias("y")))
+    t = LeafwiseBooster("regression", Settings(rounds=1, leaves=2, rate=1.0, bins=4, columns=1.0, rows=1.0)).fit(rows).trees
+    stump = [(int(t.feature[0]), round(float(t.threshold[0]), 6), round(float(t.value[1]), 6), round(float(t.value[2]), 6))]
+    return spark.createDataFrame(stump, "feature int, threshold double, left_value double, right_value double")
+
+
 @register("train_decided", """
     WITH e AS (SELECT vec_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y FROM embeddings),
       r AS (SELECT y, row_number() OVER (PARTITION BY y ORDER BY md5('42|' || vec_id)) AS rn, count(*) OVER (PARTITION BY y) AS n FROM e),

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from assayloom.operators.boosting import LeafwiseModel, load_leafwise
+
 
 def save_state(state: DataFrame, path: str) -> str:
     """Persist a fitted state table (selected columns, scaler parameters, domain, cut points)."""
@@ -21,12 +23,19 @@ def load_state(spark: SparkSession, path: str) -> DataFrame:
         raise FileNotFoundError(f"no saved state at {path}; fit the step first") from missing
 
 
-def save_model(model: PipelineModel, path: str) -> str:
+def save_model(model: PipelineModel | LeafwiseModel, path: str) -> str:
+    if isinstance(model, LeafwiseModel):
+        return model.save(path)
     model.write().overwrite().save(path)
     return path
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str) -> PipelineModel | LeafwiseModel:
+    """A saved model of either kind; a missing one is an error that names the path."""
+    try:
+        return load_leafwise(SparkSession.active(), path)
+    except AnalysisException:
+        pass  # no leaf-wise trees there
     try:
         return PipelineModel.load(path)
     except Exception as missing:

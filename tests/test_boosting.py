@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assayloom.operators import boosting as B
 from assayloom.operators import models as M
+from assayloom.sources.state import load_model, save_model
 
 ONE = B.Settings(rounds=1, leaves=2, rate=1.0, bins=4, l2=1.0, columns=1.0, rows=1.0)
 
@@ -65,6 +66,15 @@ def test_a_split_by_hand(spark):
     assert model.trees.value[1:].tolist() == pytest.approx([-1.5 / 7, 1.5 / 3])
 
 
+def test_models_reload(table, tmp_path):
+    df, x, _ = table
+    model = B.LeafwiseBooster("regression", B.Settings(rounds=2, leaves=4, bins=8)).fit(df)
+    again = load_model(save_model(model, str(tmp_path / "m")))
+    assert (again.margin(x) == model.margin(x)).all() and again.task == "regression"
+    with pytest.raises(FileNotFoundError):
+        load_model(str(tmp_path / "none"))
+
+
 def test_regularisation_stops_splits(table):
     df, _, y = table
     model = B.LeafwiseBooster("regression", B.Settings(rounds=3, l1=1e6, bins=4)).fit(df)
@@ -76,6 +86,7 @@ def test_classes_are_learned_and_runs_agree(spark):
     df = M.with_vector(spark.createDataFrame([(i, v.tolist(), float(np.hypot(*v) > 1.2)) for i, v in enumerate(x)], "key long, features array<double>, y double").coalesce(2))
     s = B.Settings(rounds=12, leaves=8, rate=0.3, bins=16, columns=0.5, rows=0.8)
     first, second = (B.LeafwiseBooster("classification", s).fit(df) for _ in range(2))
+    assert np.allclose(first.explained.base + first.explained.attribute(x).sum(axis=1), first.margin(x))
     assert (first.margin(x) == second.margin(x)).all() and len(first.trees.roots) == 12
     preds = M.predictions(first, df, "classification", ["key"])
     assert M.roc_auc(preds, "score", "y", []).first().auc > 0.95
