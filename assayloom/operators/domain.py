@@ -1,6 +1,6 @@
 """Applicability domain of a training table: leverage and distance.
 
-The only thing that leaves the executors is features x features (Gram matrix) or one number per feature.
+The only thing that leaves the executors is features x features (a triangular factor) or one number per feature.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +21,8 @@ from assayloom.operators.ordered import exact_percentiles
 # Leverage multiple, distance percentile, confidences of the domain flag.
 LEVERAGE_MULTIPLE, DISTANCE_PERCENTILE = 3.0, 95.0
 IN_DOMAIN_CONFIDENCE, OUT_OF_DOMAIN_CONFIDENCE = 1.0, 0.5
-MAX_WIDTH = 4096
+#: Features at most, rows folded into a triangle at once, and triangles merged into one per round.
+MAX_WIDTH, FOLD_ROWS, FAN_IN = 4096, 8192, 8
 
 
 @dataclass(frozen=True)
@@ -32,30 +33,55 @@ class Domain:
     threshold: float
     n_train: int
     n_features: int
-    inverse: tuple[tuple[float, ...], ...] | None = None
+    whitening: tuple[tuple[float, ...], ...] | None = None
     centre: tuple[float, ...] | None = None
 
 
-def gram_matrix(df: DataFrame, vec: str) -> np.ndarray:
-    """X'X of an array column. Tasks add up their batches; rows of the sums meet in a vector sum."""
+def triangular_factor(df: DataFrame, vec: str) -> tuple[np.ndarray, int]:
+    """(R, rows) with R'R = X'X: a tall-skinny QR, without forming X'X and squaring its condition.
+
+    Every task folds its rows into one triangle; triangles are merged eight by eight, in as many rounds as the
+    logarithm of the number of tasks, and the last one reaches the driver.
+    """
     width = df.select(F.size(vec).alias("w")).first().w
     if width > MAX_WIDTH:
-        raise ValueError(f"{width} features; select at most {MAX_WIDTH} before the Gram matrix")
+        raise ValueError(f"{width} features; select at most {MAX_WIDTH} before the triangular factor")
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((width, width))
-        for batch in batches:
-            if len(batch):
-                x = np.stack(batch["v"].to_numpy()).astype(float)
-                total += x.T @ x
-        yield pd.DataFrame({"i": np.arange(width), "row": list(total)})
+    def fold(r: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.linalg.qr(np.vstack([r, x]), mode="r")
 
-    rows = df.select(F.col(vec).cast("array<double>").alias("v")).mapInPandas(partial, "i int, row array<double>")
-    sums = rows.groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("row")).collect()
-    out = np.zeros((width, width))
-    for r in sums:
-        out[r.i] = r.row.toArray()
-    return out
+    def packed(grp: int, n: int, r: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([grp], pa.int32()), pa.array([n], pa.int64()), pa.array([r.tobytes()], pa.binary())], names=["grp", "n", "r"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, n = np.zeros((0, width)), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, FOLD_ROWS):
+                column = batch.column(0).slice(at, FOLD_ROWS)
+                r, n = fold(r, column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)), n + len(column)
+        if n:
+            yield packed(TaskContext.get().partitionId(), n, r)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for grp, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                r = np.frombuffer(blob.as_buffer(), np.float64).reshape(-1, width)
+                before, old = held.get(grp, (0, np.zeros((0, width))))
+                held[grp] = before + n, fold(old, r)
+        for grp, (n, r) in held.items():
+            yield packed(grp, n, r)
+
+    kind = "grp int, n long, r binary"
+    rows = df.select(F.col(vec).cast("array<double>").alias("v"))
+    parts, tasks = rows.mapInArrow(first, kind), rows.rdd.getNumPartitions()
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        parts = parts.withColumn("grp", F.floor(F.col("grp") / FAN_IN).cast("int")).repartition(tasks, "grp").mapInArrow(merge, kind)
+    found = parts.collect()  # one triangle
+    if not found:
+        return np.zeros((0, width)), 0
+    return np.frombuffer(found[0].r, np.float64).reshape(-1, width), found[0].n
 
 
 def leverage_threshold(n: int, p: int, multiple: float = LEVERAGE_MULTIPLE) -> float:
@@ -63,17 +89,23 @@ def leverage_threshold(n: int, p: int, multiple: float = LEVERAGE_MULTIPLE) -> f
 
 
 def fit_leverage(train: DataFrame, vec: str, multiple: float = LEVERAGE_MULTIPLE) -> Domain:
-    """Leverage domain on a scaled table; a pseudo-inverse copes with fewer rows than features.
+    """Leverage domain on a scaled table: h = x (X'X)^+ x', from the singular values of the triangular factor.
 
-    Falls back to the distance domain when the matrix cannot be decomposed.
+    Directions whose singular value is rounding beside the greatest one count as absent, so fewer rows than
+    features and repeated features do no harm. Falls back to the distance domain when nothing is left or the
+    factor cannot be decomposed.
     """
-    gram = gram_matrix(train, vec)
-    n, p = train.count(), gram.shape[0]
+    r, n = triangular_factor(train, vec)
+    p = r.shape[1]
     try:
-        inverse = np.linalg.pinv(gram, hermitian=True)
+        _, sizes, directions = np.linalg.svd(r, full_matrices=False)
     except np.linalg.LinAlgError:
         return fit_distance(train, vec)
-    return Domain("leverage", leverage_threshold(n, p, multiple), n, p, inverse=tuple(map(tuple, inverse.tolist())))
+    real = sizes > max(n, p) * np.finfo(float).eps * sizes.max(initial=0.0)
+    if not real.any():
+        return fit_distance(train, vec)
+    whitening = directions[real].T / sizes[real]
+    return Domain("leverage", leverage_threshold(n, p, multiple), n, p, whitening=tuple(map(tuple, whitening.tolist())))
 
 
 def centroid(train: DataFrame, vec: str) -> DataFrame:
@@ -99,14 +131,14 @@ def add_domain_value(df: DataFrame, vec: str, domain: Domain, name: str = "h") -
     """Leverage or distance per row."""
     if domain.method == "distance":
         return df.withColumn(name, distance_to(vec, F.lit(list(domain.centre))))
-    inverse = np.array(domain.inverse)
+    whitening = np.array(domain.whitening)
 
     @F.pandas_udf("double")
     def leverage(x: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=float)
         m = np.stack(x.to_numpy()).astype(float)
-        return pd.Series(np.einsum("ij,ij->i", m @ inverse, m))
+        return pd.Series(((m @ whitening) ** 2).sum(axis=1))
 
     # marked so that a filter on the result does not run the function a second time
     once = leverage.asNondeterministic()
@@ -166,10 +198,10 @@ def domain_flag(within: Column | None) -> Column:
 def save_rows(domain: Domain, spark) -> DataFrame:
     """State table of a domain: one row per feature."""
     rows = [
-        (i, list(domain.inverse[i]) if domain.inverse else None, domain.centre[i] if domain.centre else None)
+        (i, list(domain.whitening[i]) if domain.whitening else None, domain.centre[i] if domain.centre else None)
         for i in range(domain.n_features)
     ]
-    return spark.createDataFrame(rows, "idx int, inverse array<double>, centre double").withColumns(
+    return spark.createDataFrame(rows, "idx int, whitening array<double>, centre double").withColumns(
         {
             "method": F.lit(domain.method),
             "threshold": F.lit(domain.threshold),
@@ -186,6 +218,6 @@ def from_rows(state: DataFrame) -> Domain:
         head.threshold,
         head.n_train,
         len(rows),
-        tuple(tuple(r.inverse) for r in rows) if head.inverse is not None else None,
+        tuple(tuple(r.whitening) for r in rows) if head.whitening is not None else None,
         tuple(r.centre for r in rows) if head.centre is not None else None,
     )

@@ -299,3 +299,14 @@ def ad_leverage_wide(spark, d):
     scaled = X.scale(rows, "features", X.fit_standard(rows, "features"))
     domain = D.fit_domain(scaled, "features")
     return D.assess(scaled, "features", domain).select("vec_id", F.round("h", 6).alias("h"), "within")
+
+
+@register("ad_leverage_groups", """
+    SELECT l_orderkey, l_linenumber, round(l_quantity * l_quantity / sum(l_quantity * l_quantity) OVER (PARTITION BY l_orderkey % 64), 8) AS h FROM lineitem""")
+def ad_leverage_groups(spark, d):
+    """Leverage at 64 features, of which every row has one: its square over the sum of its feature's squares."""
+    quantity = F.col("l_quantity").cast("double")
+    rows = Tables(spark, d).lineitem.select(
+        "l_orderkey", "l_linenumber", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.col("l_orderkey") % 64 == i, quantity).otherwise(0.0)).alias("v")
+    )
+    return D.add_domain_value(rows, "v", D.fit_leverage(rows, "v")).select("l_orderkey", "l_linenumber", F.round("h", 8).alias("h"))

@@ -103,6 +103,8 @@ def test_distance_domain_and_state(spark, normal):
     assert abs(domain.threshold - np.percentile(d, 95)) < 1e-9
     again = D.from_rows(D.save_rows(domain, spark))
     assert again == domain
+    lever = D.fit_leverage(df, "features")
+    assert D.from_rows(D.save_rows(lever, spark)) == lever
     assert D.refit_if_needed(domain, df, "features", 4) is domain
     assert D.refit_if_needed(domain, X.select_places(df, "features", [0, 1]), "features", 2, "distance").n_features == 2
     rel = [r.x for r in D.assess(df, "features", domain).select(D.reliability(F.col("h"), domain.threshold).alias("x")).collect()]
@@ -149,3 +151,27 @@ def test_featurize_once_counts_failures(spark):
     out = X.featurize_once(df, "key", "t", lambda s: [float(s)], cache)
     assert sorted((r.key, r.features, r.failed) for r in out.collect()) == [("a", [1.0], False), ("b", None, True), ("c", [9.0], False)]
     assert tuple(X.failure_count(out).first()) == (3, 1)
+
+
+def test_leverage_of_nearly_repeated_features(spark):
+    """Two features that differ by 1e-9: X'X has lost the difference, its square root has not."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    m = np.c_[x, x[:, 0] + 1e-9 * rng.normal(size=400)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, features array<double>").repartition(11)
+    domain = D.fit_leverage(df, "features")
+    got = {r.id: r.h for r in D.add_domain_value(df, "features", domain).collect()}
+    q = np.linalg.qr(m)[0]
+    assert domain.n_train == 400 and max(abs(got[i] - (q[i] ** 2).sum()) for i in range(400)) < 1e-5
+    assert sum(got.values()) == pytest.approx(4, abs=1e-5)
+
+
+def test_triangles_of_many_tasks_and_few_rows(spark):
+    m = np.random.default_rng(6).normal(size=(30, 6))
+    df = spark.createDataFrame([(v.tolist(),) for v in m], "features array<double>").repartition(70)
+    r, n = D.triangular_factor(df, "features")
+    assert n == 30 and np.allclose(r.T @ r, m.T @ m)
+    few, n = D.triangular_factor(df.limit(2).repartition(3), "features")
+    assert n == 2 and few.shape[1] == 6 and np.linalg.matrix_rank(few) == 2
+    flat = spark.createDataFrame([([0.0, 0.0],)] * 3, "features array<double>")
+    assert D.fit_leverage(flat, "features").method == "distance"
