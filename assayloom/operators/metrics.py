@@ -133,20 +133,29 @@ def _by_score(df: DataFrame, score: str, y: str, by: Sequence[str]) -> DataFrame
     return running_totals(df, list(by), score, {"pos": positive, "neg": negative})
 
 
-def roc_auc(df: DataFrame, score: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Tie-aware area under the ROC curve; 0 when only one class occurs."""
+def _auc() -> Column:
     won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
     pairs = F.any_value("pos_total").cast("double") * F.any_value("neg_total")
-    return _by_score(df, score, y, by).groupBy(*by).agg(safe(won, pairs).alias("auc"))
+    return safe(won, pairs).alias("auc")
 
 
-def average_precision(df: DataFrame, score: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Sum over distinct scores of (recall step) x precision; 0 without positives."""
+def _average_precision() -> Column:
     pos_from = F.col("pos_total") - F.col("pos_before")
     neg_from = F.col("neg_total") - F.col("neg_before")
     step = F.sum(F.col("pos") * F.try_divide(pos_from.cast("double"), pos_from + neg_from))
-    return (
-        _by_score(df, score, y, by)
-        .groupBy(*by)
-        .agg(safe(step, F.any_value("pos_total").cast("double")).alias("average_precision"))
-    )
+    return safe(step, F.any_value("pos_total").cast("double")).alias("average_precision")
+
+
+def roc_auc(df: DataFrame, score: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """Tie-aware area under the ROC curve; 0 when only one class occurs."""
+    return _by_score(df, score, y, by).groupBy(*by).agg(_auc())
+
+
+def average_precision(df: DataFrame, score: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """Sum over distinct scores of (recall step) x precision; 0 without positives."""
+    return _by_score(df, score, y, by).groupBy(*by).agg(_average_precision())
+
+
+def ranking_metrics(df: DataFrame, score: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., auc, average_precision) from one ordering of the scores."""
+    return _by_score(df, score, y, by).groupBy(*by).agg(_auc(), _average_precision())

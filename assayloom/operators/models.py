@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from assayloom.operators.boosting import LeafwiseBooster, booster
 from assayloom.operators.features import fit_standard, scale
-from assayloom.operators.metrics import average_precision, classification_metrics, cv_q2, regression_metrics, roc_auc
+from assayloom.operators.metrics import classification_metrics, cv_q2, ranking_metrics, regression_metrics, roc_auc
 from assayloom.operators.resample import smote
 from assayloom.operators.search import Trial, best, draw, search
 from assayloom.operators.splits import balanced_weights
@@ -161,18 +161,17 @@ def all_metrics(preds: DataFrame, task: str, by: Sequence[str]) -> DataFrame:
     by = list(by)
     if task == "regression":
         return regression_metrics(preds, "y", "prediction", by)
-    return (
-        classification_metrics(preds, "y", "prediction", by)
-        .join(roc_auc(preds, "score", "y", by), by)
-        .join(average_precision(preds, "score", "y", by), by)
-    )
+    return classification_metrics(preds, "y", "prediction", by).join(ranking_metrics(preds, "score", "y", by), by)
 
 
 def train_all(
     table: DataFrame, task: str, settings: dict[str, dict] = BASELINE, models: Iterable[str] | None = None,
     oversample: bool = True, components: int = 256,
 ) -> tuple[dict[str, PipelineModel], DataFrame]:
-    """Fit the model set on split='train', predict split='test': (fitted models, prediction table)."""
+    """Fit the model set on split='train', predict split='test': (fitted models, prediction table).
+
+    The predictions are written once, so every metric reads them and no model answers twice.
+    """
     train, test = table.where(F.col("split") == "train"), table.where(F.col("split") == "test")
     fit, rest = prepared(train, test, task, oversample)
     chosen = model_set(task, settings, scale_gamma(fit), components=components)
@@ -181,7 +180,7 @@ def train_all(
         if models is None or name in models:
             fitted[name] = estimator.fit(fit)
             parts.append(predictions(fitted[name], rest, task, ["key"]).withColumn("model", F.lit(name)))
-    return fitted, _union(parts)
+    return fitted, stage_table(_union(parts), "predictions")
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:

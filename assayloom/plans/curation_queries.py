@@ -672,10 +672,17 @@ def assemble_vectors(spark, d):
 
 
 @register("hybrid_features", """
-    SELECT representation, vec_id, CAST(width AS INTEGER) AS width FROM embeddings, (VALUES ('2D', 64), ('3D', 32), ('Hybrid', 96)) v(representation, width)""")
+    WITH j AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[64] AS DOUBLE) AS last, CAST(p_size AS DOUBLE) AS size, CAST(p_retailprice AS DOUBLE) AS price
+      FROM embeddings JOIN part ON p_partkey = vec_id)
+    SELECT '2D' AS representation, vec_id, CAST(64 AS INTEGER) AS width, round(first, 5) + 0.0 AS first, round(last, 5) + 0.0 AS last FROM j
+    UNION ALL SELECT '3D', vec_id, 2, round(size, 5), round(price, 5) FROM j UNION ALL SELECT 'Hybrid', vec_id, 66, round(first, 5) + 0.0, round(price, 5) FROM j""")
 def hybrid_features(spark, d):
-    rows = Tables(spark, d).embeddings.select("vec_id", F.col("embedding").alias("x2d"), F.slice("embedding", 1, 32).alias("x3d"), F.col("label").alias("y"))
-    return J.hybrid(rows, "vec_id").select("representation", "vec_id", F.size("features").alias("width"))
+    """Vectors beside a second set of features from another table, and both stacked."""
+    t = Tables(spark, d)
+    second = t.part.select(F.col("p_partkey").alias("vec_id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")).alias("x3d"))
+    rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("x2d"), F.col("label").alias("y")).join(second, "vec_id")
+    value = lambda at: F.round(F.element_at("features", at), 5) + F.lit(0.0)
+    return J.hybrid(rows, "vec_id").select("representation", "vec_id", F.size("features").alias("width"), value(1).alias("first"), value(-1).alias("last"))
 
 
 @register("endpoint_cross", """

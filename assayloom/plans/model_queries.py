@@ -2,12 +2,13 @@
 
 Results of fitted models have no SQL counterpart unless the features decide the label; counts and linear
 explanations do. Features are the whole embeddings table, the target is its label cut at five; the second
-feature set is the first sixteen entries of the vector. Model sizes are parameters; these queries use small
+feature set comes from the part table. Model sizes are parameters; these queries use small
 ones, but for ``train_decided``.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from assayloom.operators import domain as D
@@ -136,10 +137,15 @@ def tune_models(spark, d):
     return trials
 
 
+def represented(spark, d):
+    """Vectors as first set of features, and columns of another table as second one."""
+    second = Tables(spark, d).part.select(F.col("p_partkey").alias("key"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")).alias("x3d"))
+    return labelled(spark, d).withColumnRenamed("features", "x2d").join(second, "key").select("key", "x2d", "x3d", "y")
+
+
 @register("compare_representations")
 def compare_representations(spark, d):
-    rows = labelled(spark, d)
-    aligned = rows.select("key", F.col("features").alias("x2d"), F.slice("features", 1, 16).alias("x3d"), "y")
+    aligned = represented(spark, d)
     folds = repeated_stratified_kfold(aligned.select("key", "y"), "key", "y", 3, 1)
     preds = M.compare_representations(aligned, folds, "classification", 3, 1, SETTINGS, ["RandomForest"], COMPONENTS)
     return compare_folds(M.fold_scores(preds, "classification"))
@@ -147,8 +153,7 @@ def compare_representations(spark, d):
 
 @register("compare_representations_summary")
 def compare_representations_summary(spark, d):
-    rows = labelled(spark, d)
-    aligned = rows.select("key", F.col("features").alias("x2d"), F.slice("features", 1, 16).alias("x3d"), "y")
+    aligned = represented(spark, d)
     folds = repeated_stratified_kfold(aligned.select("key", "y"), "key", "y", 2, 1)
     preds = M.compare_representations(aligned, folds, "classification", 2, 1, SETTINGS, ["RandomForest"], COMPONENTS)
     return sort_summary(cv_summary(M.fold_scores(preds, "classification"), ["representation", "model"], ddof=1))
@@ -160,10 +165,22 @@ def importance_topk(spark, d):
     return M.importance_topk(spark, fitted["RandomForest"], [f"f{i}" for i in range(64)], 15)
 
 
-def endpoint_models(spark, d):
+@register("importance_linear", """
+    SELECT unnest(['f1', 'f0', 'f2']) AS feature, unnest([3.0::DOUBLE, 2.0::DOUBLE, 0.5::DOUBLE]) AS importance""")
+def importance_linear(spark, d):
+    """Importance in a linear model of a target that is 2 f0 - 3 f1 + f2 / 2 exactly."""
+    x = lambda i: F.get("features", F.lit(i))
+    rows = labelled(spark, d).select(F.slice("features", 1, 8).alias("features")).withColumn("y", 2 * x(0) - 3 * x(1) + x(2) / 2)
+    model = LinearRegression(featuresCol="x", labelCol="y", regParam=0.0, solver="normal").fit(M.with_vector(rows))
+    return M.importance_topk(spark, model, [f"f{i}" for i in range(8)], 3).select("feature", F.round("importance", 5).alias("importance"))
+
+
+def endpoint_models(spark, d, only=("herg", "ames", "cytotox")):
     """A forest for two classification endpoints and a regression for herg, with scaler and domain."""
     out = []
     for endpoint, task, cut in (("herg", "regression", 5), ("ames", "classification", 5), ("cytotox", "classification", 7)):
+        if endpoint not in only:
+            continue
         rows = labelled(spark, d, task, cut)
         state = X.fit_standard(rows, "features")
         scaled = X.scale(rows, "features", state)
@@ -247,8 +264,7 @@ def predict_lines(spark, d):
     usable = F.when(F.col("label") != 3, F.col("embedding").cast("array<double>"))
     known = e.select(F.col("vec_id").cast("string").alias("smiles"), usable.alias("features"))
     featurise = lambda lines: lines.join(known, "smiles", "left")
-    ames = [m for m in endpoint_models(spark, d) if m.endpoint == "ames"]
-    out = predict_file(spark, path, featurise, ames, endpoints=["herg", "ames"])
+    out = predict_file(spark, path, featurise, endpoint_models(spark, d, ("ames",)), endpoints=["herg", "ames"])
     return out.groupBy("endpoint", "success", "error").agg(F.count(F.lit(1)).alias("n"))
 
 

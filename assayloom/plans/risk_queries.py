@@ -188,11 +188,11 @@ def batch_totals(spark, d):
 @register("docking_features", f"WITH {_DOCK_SQL} SELECT key, " + ", ".join(
     f"coalesce(max(affinity) FILTER (WHERE target = '{t}' AND success), 0) AS dock_{t}_affinity, "
     f"round(coalesce(max(least(greatest((affinity + 4) / -8, 0), 1)) FILTER (WHERE target = '{t}' AND success), 0.5), 6) AS dock_{t}_score, "
-    f"CAST(coalesce(bool_or(success) FILTER (WHERE target = '{t}'), false) AS INTEGER) * 1.0 AS dock_{t}_success" for t in TARGETS[:3]
+    f"CAST(coalesce(bool_or(success) FILTER (WHERE target = '{t}'), false) AS INTEGER) * 1.0 AS dock_{t}_success" for t in TARGETS
 ) + " FROM dock GROUP BY 1")
 def docking_features(spark, d):
-    out = G.docking_features(docking(spark, d), "key", TARGETS[:3])
-    return out.withColumns({f"dock_{t}_score": F.round(f"dock_{t}_score", 6) for t in TARGETS[:3]})
+    out = G.docking_features(docking(spark, d), "key", TARGETS)
+    return out.withColumns({f"dock_{t}_score": F.round(f"dock_{t}_score", 6) for t in TARGETS})
 
 
 _MLDOCK_SQL = """
