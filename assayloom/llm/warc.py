@@ -106,13 +106,20 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """Inflated content of the gzip member at ``at`` and its end; None if it is damaged."""
-    inflate = zlib.decompressobj(31)
+    """Inflated content of the gzip member at ``at`` and its end; None if it is damaged.
+
+    Pieces grow from 4 KB, so what is read behind a member's end is no longer than the member, however many
+    members the file has.
+    """
+    inflate, view, here, size, content = zlib.decompressobj(31), memoryview(data), at, 4096, []
     try:
-        content = inflate.decompress(data[at:])
+        while not inflate.eof and here < len(data):
+            piece = view[here:here + size]
+            content.append(inflate.decompress(piece))
+            here, size = here + len(piece), 2 * size
     except zlib.error:
         return None
-    return (content, len(data) - len(inflate.unused_data)) if inflate.eof else None
+    return (b"".join(content), here - len(inflate.unused_data)) if inflate.eof else None
 
 
 def _agrees(digest: str, content: bytes) -> bool:
