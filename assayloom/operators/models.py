@@ -16,18 +16,18 @@ import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.base import Estimator
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.operators.boosting import LeafwiseBooster, booster
 from assayloom.operators.features import fit_standard, scale
+from assayloom.operators.kernel import TUBE, LandmarkKernel, MarginMachine
 from assayloom.operators.metrics import classification_metrics, cv_q2, ranking_metrics, regression_metrics, roc_auc
 from assayloom.operators.resample import smote
 from assayloom.operators.search import Trial, best, draw, search
@@ -103,28 +103,25 @@ def model_set(
     task: str, settings: dict[str, dict] = BASELINE, gamma: float = 1.0, weight: str | None = None,
     components: int = 256, seed: int = 42,
 ) -> dict[str, Estimator | LeafwiseBooster]:
-    """Forest, boosted trees grown level by level, boosted trees grown leaf by leaf, and an approximated kernel machine."""
+    """Forest, boosted trees grown level by level, boosted trees grown leaf by leaf, and a kernel machine on landmarks."""
     common = {"featuresCol": "x", "labelCol": "y", "seed": seed}
     w = {"weightCol": weight} if weight else {}
-    fourier = RandomFourier(inputCol="x", outputCol="rff", seed=seed, components=components, gamma=gamma)
-    reg = 1.0 / settings["kernel"]["C"]
+    kernel = LandmarkKernel(inputCol="x", outputCol="z", seed=seed, components=components, gamma=gamma)
+    margin = {"featuresCol": "z", "labelCol": "y", "cost": settings["kernel"]["C"], **w}
     if task == "regression":
         return {
             "RandomForest": RandomForestRegressor(**common, **settings["forest"], **w),
             "BoostedTrees": GBTRegressor(**common, **settings["boosted"], **w),
             "LeafwiseTrees": booster(task, settings["boosted"], weight, seed),
-            "KernelSVR": Pipeline(stages=[
-                fourier, LinearRegression(featuresCol="rff", labelCol="y", regParam=reg / 1000, **w),
-            ]),
+            "KernelSVR": Pipeline(stages=[kernel, MarginMachine(outputCol="prediction", tube=settings["kernel"].get("tube", TUBE), **margin)]),
         }
     return {
         "RandomForest": RandomForestClassifier(**common, **settings["forest"], **w),
         "BoostedTrees": GBTClassifier(**common, **settings["boosted"], **w),
         "LeafwiseTrees": booster(task, settings["boosted"], weight, seed),
         "KernelSVC": Pipeline(stages=[
-            fourier,
-            LinearSVC(featuresCol="rff", labelCol="y", regParam=reg / 100, rawPredictionCol="margins", predictionCol="side", **w),
-            VectorSlicer(inputCol="margins", outputCol="margin", indices=[1]),
+            kernel,
+            MarginMachine(outputCol="margin", **margin),
             LogisticRegression(featuresCol="margin", labelCol="y", **w),
         ]),
     }

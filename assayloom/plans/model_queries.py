@@ -18,6 +18,7 @@ from assayloom.operators import risk as R
 from assayloom.operators import scoring as Z
 from assayloom.operators.boosting import LeafwiseBooster, Settings
 from assayloom.operators.explain import common_features, opposite_effects
+from assayloom.operators.kernel import CORNER_OF_TUBE, TUBE
 from assayloom.operators.metrics import confusion
 from assayloom.operators.resample import smote
 from assayloom.operators.splits import repeated_kfold, repeated_stratified_kfold, stratified_split
@@ -110,6 +111,18 @@ def train_decided(spark, d):
     return confusion(preds, "y", "prediction", ["model"])
 
 
+@register("kernel_tube", """
+    SELECT label, count(*) AS inside, 0.1::DOUBLE AS tube FROM embeddings GROUP BY label""")
+def kernel_tube(spark, d):
+    """Kernel regression at full settings on features that decide the target: every residual lies in the tube."""
+    rows = labelled(spark, d).join(Tables(spark, d).embeddings.select(F.col("vec_id").alias("key"), "label"), "key")
+    rows = rows.select("key", "label", F.array(F.col("label") / 3.0, F.col("label") % 2.0).alias("features"), F.col("label").cast("double").alias("y"))
+    model = M.model_set("regression")["KernelSVR"].fit(M.with_vector(rows))
+    residual = F.abs(F.col("prediction") - F.col("y"))
+    inside = M.predictions(model, rows, "regression", ["key", "label"]).where(residual <= TUBE * (1 + CORNER_OF_TUBE))
+    return inside.groupBy("label").agg(F.count(F.lit(1)).alias("inside"), F.lit(TUBE).alias("tube"))
+
+
 @register("cross_validate")
 def cross_validate(spark, d):
     table = labelled(spark, d)
