@@ -18,15 +18,16 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows x width with NaN for gaps; short rows and null rows are gaps at the end."""
+def vector_matrix(column: pa.Array, width: int, finite: bool = True) -> np.ndarray:
+    """Rows x width with NaN for gaps; short rows and null rows are gaps at the end, and so are infinite entries if ``finite``."""
     offsets = column.offsets.to_numpy()
     values = column.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
     sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.minimum(np.diff(offsets), width), 0)
     out = np.full((len(column), width), np.nan)
     inside = np.arange(width) < sizes[:, None]
     out[inside] = values[(offsets[:-1, None] + np.arange(width))[inside]]
-    out[~np.isfinite(out)] = np.nan
+    if finite:
+        out[~np.isfinite(out)] = np.nan
     return out
 
 
@@ -36,7 +37,7 @@ def feature_means(df: DataFrame, vec: str, width: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(width), np.zeros(width)
         for batch in batches:
-            x = _matrix(batch.column(0), width)
+            x = vector_matrix(batch.column(0), width)
             total += np.nansum(x, axis=0)
             n += np.isfinite(x).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(total), pa.array(n)], names=["idx", "s", "n"])
@@ -74,7 +75,7 @@ def pairwise_correlations(df: DataFrame, vec: str, width: int | None = None, blo
         held: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                x = _matrix(batch.column(0).slice(at, 4096), width) - shift
+                x = vector_matrix(batch.column(0).slice(at, 4096), width) - shift
                 mask = np.isfinite(x).astype(float)
                 x = np.nan_to_num(x, nan=0.0)
                 for a in starts:

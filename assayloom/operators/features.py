@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from assayloom.functions.scores import finite_or_null
 from assayloom.operators.correlation import pairwise_correlations
-from assayloom.operators.ordered import exact_percentiles
+from assayloom.operators.quantiles import vector_percentiles
 
 # Limits of the filters.
 MAX_MISSING_2D, MAX_MISSING_3D = 0.2, 0.3
@@ -86,11 +86,11 @@ def cap_by_variance(stats: DataFrame, most: int = MAX_FEATURES) -> DataFrame:
 
 def feature_medians(df: DataFrame, vec: str) -> DataFrame:
     """Exact median per feature, whatever the number of rows."""
-    return exact_percentiles(unfold(df, vec), ["idx"], "x", [0.5], ["median"])
+    return vector_percentiles(df, vec, [0.5], ["median"])
 
 
 def feature_quartiles(df: DataFrame, vec: str) -> DataFrame:
-    return exact_percentiles(unfold(df, vec), ["idx"], "x", [0.25, 0.5, 0.75], ["q25", "median", "q75"])
+    return vector_percentiles(df, vec, [0.25, 0.5, 0.75], ["q25", "median", "q75"])
 
 
 def kept_indices(state: DataFrame, order: Sequence[str | Column] = ("idx",)) -> list[int]:
