@@ -7,56 +7,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.operators.ordered import running_totals
+from assayloom.operators.neighbours import BLOCK_ROWS, nearest
 from assayloom.operators.splits import hash_cuts, key_hash
+from assayloom.session import stage_table
 
 # Imbalance from which rows are added, and neighbours considered.
 MIN_RATIO, NEIGHBOURS = 2.0, 5
-BLOCK_ROWS = 5_000
 
 
-def _neighbours(x: np.ndarray, pool: np.ndarray, k: int) -> np.ndarray:
-    """Places in ``pool`` of the k nearest rows for each row of ``x``, itself (the nearest) left out."""
-    d = (x * x).sum(1)[:, None] - 2 * x @ pool.T + (pool * pool).sum(1)[None, :]
-    order = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
-    return order[:, 1:]
-
-
-def _synthesise(batch: pd.DataFrame, pool: np.ndarray, k: int, seed: int) -> Iterator[np.ndarray]:
-    for start in range(0, len(batch), 256):
-        part = batch.iloc[start : start + 256]
-        x = np.stack(part["v"].to_numpy()).astype(float)
-        near = _neighbours(x, pool, k)
-        for i, (key, n) in enumerate(zip(part["k"], part["n_new"])):
-            if n:
-                draw = np.random.default_rng(zlib.crc32(f"{seed}|{key}".encode()))
-                picked = pool[near[i, draw.integers(0, near.shape[1], n)]]
-                yield x[i] + draw.random((n, 1)) * (picked - x[i])
-
-
-def projection(vec: str, width: int, seed: int) -> Column:
-    """Seeded random projection of an array column."""
-    w = np.random.default_rng(seed).standard_normal(width).tolist()
-    return F.aggregate(F.zip_with(F.col(vec), F.lit(w), lambda x, c: x * c), F.lit(0.0), lambda a, x: a + x)
-
-
-def bounded_blocks(rows: DataFrame, block: int, width: int, seed: int) -> DataFrame:
-    """Adds ``block_id`` so that near rows share a block of at most about twice ``block`` rows.
-
-    Rows are ranked along a random projection by running totals; copies (same projection) that would
-    overfill a block are spread over several by a hash of the key.
-    """
-    placed = rows.withColumn("_p", projection("v", width, seed))
-    ranks = running_totals(placed, [], "_p", {"c": F.lit(1).cast("long")})
-    cell = ranks.select(
-        "_p", F.floor(F.col("c_before") / block).alias("_b"), F.ceil(F.col("c") / block).cast("int").alias("_parts")
-    )
-    return placed.join(cell, "_p").withColumn(
-        "block_id", F.struct("_b", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("k"), F.col("_parts"))).otherwise(F.lit(0)))
-    ).drop("_p", "_b", "_parts")
+def _draws(batches: Iterator[pd.DataFrame], seed: int) -> Iterator[pd.DataFrame]:
+    """(v, other, gap) of every new row: a neighbour and how far to go towards it, drawn from the row's key."""
+    for batch in batches:
+        out = []
+        for key, v, near, n in zip(batch["k"], batch["v"], batch["near"], batch["n_new"]):
+            draw = np.random.default_rng(zlib.crc32(f"{seed}|{key}".encode()))
+            places = draw.integers(0, len(near), n)
+            out += [(v, near[p]["rid"], gap) for p, gap in zip(places, draw.random(n))]
+        yield pd.DataFrame(out, columns=["v", "other", "gap"])
 
 
 def smote(
@@ -66,8 +36,8 @@ def smote(
     """(key, vec, label) with synthetic minority rows (null key) up to the majority count.
 
     Nothing is added unless there are two classes, their ratio exceeds 2 and the minority has two rows.
-    The minority is cut into blocks of near rows, and neighbours are looked for inside the block, so no task
-    ever holds more than a block; a minority of up to ``block`` rows is one block, with exact neighbours.
+    Neighbours are the nearest rows of the whole minority at every ``block`` size (see ``neighbours.py``), ties by
+    key and vector; copies of a row are neighbours of it.
     """
     rows = df.select(F.col(key).cast("string").alias("k"), F.col(vec).cast("array<double>").alias("v"), F.col(label).cast("double").alias("y"))
     original = rows.select(F.col("k").alias(key), F.col("v").alias(vec), F.col("y").alias(label))
@@ -86,17 +56,17 @@ def smote(
     if extra:
         cut = hash_cuts(minority.select("_h"), [], [F.lit(extra).cast("long")]).select("cut_0").scalar()
         n_new = n_new + F.coalesce(F.col("_h") <= cut, F.lit(False)).cast("int")
-    minority = minority.select("k", "v", n_new.cast("int").alias("n_new"))
+    # Written once: row numbers must not change when a task runs again.
+    minority = stage_table(
+        minority.select("k", "v", n_new.cast("int").alias("n_new"), F.xxhash64("k", "v").alias("h"), F.monotonically_increasing_id().alias("rid")),
+        "minority",
+    )
     width = len(minority.select("v").first().v)
-
-    def run_block(batch: pd.DataFrame) -> pd.DataFrame:
-        own = np.stack(batch["v"].to_numpy()).astype(float)
-        if len(own) == 1:
-            return pd.DataFrame({"v": [own[0]] * int(batch["n_new"].iloc[0])})
-        made = list(_synthesise(batch, own, min(k, len(own) - 1), seed))
-        return pd.DataFrame({"v": list(np.concatenate(made)) if made else []})
-
-    made = bounded_blocks(minority, block, width, seed).groupBy("block_id").applyInPandas(run_block, "v array<double>")
+    near = nearest(minority, k, counts[small], width, block)
+    drawn = minority.where("n_new > 0").select("rid", "k", "v", "n_new").join(near, "rid").select("k", "v", "n_new", "near")
+    drawn = drawn.mapInPandas(lambda batches: _draws(batches, seed), "v array<double>, other bigint, gap double")
+    others = minority.select(F.col("rid").alias("other"), F.col("v").alias("w"))
+    made = drawn.join(others, "other").select(F.zip_with("v", "w", lambda a, b: a + F.col("gap") * (b - a)).alias("v"))
 
     synthetic = made.select(F.lit(None).cast("string").alias(key), F.col("v").alias(vec), F.lit(float(small)).alias(label))
     return original.unionByName(synthetic)

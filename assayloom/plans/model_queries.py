@@ -20,6 +20,7 @@ from assayloom.operators.boosting import LeafwiseBooster, Settings
 from assayloom.operators.explain import common_features, opposite_effects
 from assayloom.operators.kernel import CORNER_OF_TUBE, TUBE
 from assayloom.operators.metrics import confusion
+from assayloom.operators.neighbours import nearest
 from assayloom.operators.resample import smote
 from assayloom.operators.splits import repeated_kfold, repeated_stratified_kfold, stratified_split
 from assayloom.operators.validation import compare_folds, cv_summary, sort_summary, unpivot_metrics
@@ -69,6 +70,19 @@ def smote_blocks(spark, d):
     return out.where(F.col("y") == 1).agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("smote_neighbours", """
+    WITH m AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label >= 8),
+      p AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.v, b.v) AS d FROM m a JOIN m b ON a.vec_id <> b.vec_id),
+      r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour) AS place FROM p)
+    SELECT vec_id, CAST(place AS INTEGER) AS place, neighbour, round(d, 5) AS distance FROM r WHERE place <= 5""")
+def smote_neighbours(spark, d):
+    """The neighbours between which rows are made, found over blocks of 50 rows."""
+    e = Tables(spark, d).embeddings.where("label >= 8")
+    rows = e.select(F.col("vec_id").alias("rid"), F.col("vec_id").alias("h"), F.col("embedding").cast("array<double>").alias("v"))
+    near = nearest(rows, 5, rows.count(), 64, block=50).select(F.col("rid").alias("vec_id"), F.posexplode("near").alias("place", "p"))
+    return near.select("vec_id", (F.col("place") + 1).alias("place"), F.col("p")["rid"].alias("neighbour"), F.round(F.sqrt(F.col("p")["d"]), 5).alias("distance"))
+
+
 def _train(task, models):
     def query(spark, d):
         _, preds = M.train_all(split_table(spark, d, task), task, SETTINGS, models, components=COMPONENTS)

@@ -138,13 +138,6 @@ def test_smote_leaves_balanced_single_and_tiny_classes(spark):
         assert Z.smote(df, "key", "features", "y").count() == df.count()
 
 
-def test_copies_do_not_overfill_a_block(spark):
-    rows = [(str(i), [1.0, 2.0], 0) for i in range(900)] + [(f"x{i}", [float(i), 1.0], 0) for i in range(100)]
-    df = spark.createDataFrame(rows, "k string, v array<double>, n_new int")
-    sizes = [r["count"] for r in Z.bounded_blocks(df, 50, 2, 1).groupBy("block_id").count().collect()]
-    assert sum(sizes) == 1000 and max(sizes) <= 150
-
-
 def test_featurize_once_counts_failures(spark):
     df = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "x"), ("c", "3")], "key string, t string")
     cache = spark.createDataFrame([("c", [9.0], False)], "key string, features array<double>, failed boolean")
