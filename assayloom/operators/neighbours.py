@@ -89,6 +89,8 @@ def blocked(rows: DataFrame, block: int, n: int, width: int) -> DataFrame:
     Parts are cut by hash, so a cell of copies is spread evenly.
     """
     depth = max(0, int(np.ceil(np.log2(min(MOST_CELLS, max(1, n / block))))))
+    if depth == 0:
+        return rows.select("*", F.lit(0).alias("cell"), F.lit(1).alias("parts"), F.lit(0).alias("part"))
     size = max(2, min(SAMPLE_PER_CELL * 2**depth, SAMPLE_NUMBERS // max(1, width)))
     sample = _matrix(pd.Series([r.v for r in rows.orderBy("h", "rid").select("v").limit(size).collect()]), width)
     feature, cut = kd_tree(sample, depth)
@@ -124,7 +126,10 @@ def nearest(rows: DataFrame, k: int, n: int, width: int, block: int = BLOCK_ROWS
         return pd.concat([out.astype({"rid": "Int64", "h": "Int64"}), box.astype({"rid": "Int64", "h": "Int64"})])
 
     schema = f"rid bigint, h bigint, v array<double>, cell int, parts int, part int, near {NEAR}, lo array<double>, hi array<double>"
-    first = stage_table(placed.groupBy("cell", "part").applyInPandas(own_block, schema), "neighbours")
+    first = placed.groupBy("cell", "part").applyInPandas(own_block, schema)
+    if n <= block:
+        return first.where("rid IS NOT NULL").select("rid", "near")
+    first = stage_table(first, "neighbours")
 
     def cell_box(batch: pd.DataFrame) -> pd.DataFrame:
         lo, hi = _matrix(batch["lo"], width).min(0), _matrix(batch["hi"], width).max(0)
@@ -132,9 +137,6 @@ def nearest(rows: DataFrame, k: int, n: int, width: int, block: int = BLOCK_ROWS
 
     boxes = first.where("rid IS NULL").groupBy("cell").applyInPandas(cell_box, "cell int, parts int, lo array<double>, hi array<double>").collect()
     found = first.where("rid IS NOT NULL")
-    if sum(b.parts for b in boxes) <= 1:
-        return found.select("rid", "near")
-
     bound = F.when(F.size("near") >= k, F.get("near", F.lit(k - 1))["d"]).otherwise(F.lit(float("inf")))
     limits = [(b.cell, b.parts, np.array(b.lo), np.array(b.hi)) for b in boxes]
 
