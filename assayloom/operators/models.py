@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from assayloom.operators.boosting import LeafwiseBooster, booster
 from assayloom.operators.features import fit_standard, scale
+from assayloom.operators.folds import fold_moments, train_moments
 from assayloom.operators.kernel import TUBE, LandmarkKernel, MarginMachine
 from assayloom.operators.metrics import classification_metrics, cv_q2, ranking_metrics, regression_metrics, roc_auc
 from assayloom.operators.resample import smote
@@ -127,6 +128,17 @@ def model_set(
     }
 
 
+def comparison_set(
+    task: str, settings: dict[str, dict], gamma: float, components: int, balanced: bool, seed: int = 42
+) -> dict[str, Estimator | LeafwiseBooster]:
+    """The model set with balanced class weights (column ``weight``) in forest and kernel machine, none in the boosted families."""
+    plain = model_set(task, settings, gamma, None, components, seed)
+    if not balanced:
+        return plain
+    weighed = model_set(task, settings, gamma, "weight", components, seed)
+    return {name: plain[name] if name in ("BoostedTrees", "LeafwiseTrees") else weighed[name] for name in plain}
+
+
 def with_vector(df: DataFrame, vec: str = "features") -> DataFrame:
     return df.withColumn("x", array_to_vector(F.col(vec)))
 
@@ -189,27 +201,38 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 
 def cross_validate(
     table: DataFrame, folds: DataFrame, task: str, k: int, repeats: int, settings: dict[str, dict] = BASELINE,
-    models: Iterable[str] | None = None, oversample: bool = True, components: int = 256,
+    models: Iterable[str] | None = None, oversample: bool = True, components: int = 256, balanced: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Repeated k-fold: (predictions by model, repeat and fold; training means by repeat and fold).
 
-    Scaling and over-sampling are fitted inside each fold. ``folds`` has (key, repeat, fold); the feature
-    table is written once, with one fold column per repeat.
+    ``folds`` has (key, repeat, fold); the feature table is written once, with one fold column per repeat, and one
+    aggregation over it gives the scaling state and mean of every fold's training rows. Training rows are read from
+    that table and scaled on the way; only over-sampled ones are written per fold. ``balanced`` weighs the classes.
     """
-    by_repeat = folds.groupBy("key").agg(*[F.max(F.when(F.col("repeat") == r, F.col("fold"))).alias(f"fold_{r}") for r in range(repeats)])
+    spark = table.sparkSession
+    places = [f"fold_{r}" for r in range(repeats)]
+    by_repeat = folds.groupBy("key").agg(*[F.max(F.when(F.col("repeat") == r, F.col("fold"))).alias(p) for r, p in enumerate(places)])
     joined = stage_table(table.select("key", "features", "y").join(by_repeat, "key"), "folds")
+    moments = fold_moments(joined, places)
+    made = task == "classification" and oversample
     parts, means = [], []
-    for r in range(repeats):
-        place = F.col(f"fold_{r}")
+    for r, place in enumerate(places):
         for i in range(k):
-            train, val = joined.where(place != i), joined.where(place == i)
-            fit, rest = prepared(train, val, task, oversample, name=f"cv-{r}-{i}")
-            for name, estimator in model_set(task, settings, scale_gamma(fit), components=components).items():
+            state = train_moments(moments, r, i)
+            scaled = scale(joined, "features", state.state(spark))
+            fit, rest = scaled.where(F.col(place) != i).select("key", "features", "y"), scaled.where(F.col(place) == i)
+            if made:
+                fit = stage_table(smote(fit, "key", "features", "y"), f"cv-{r}-{i}")
+            if balanced:
+                fit = balanced_weights(fit, "y")
+            fit = with_vector(fit)
+            gamma = scale_gamma(fit) if made else state.scaled_gamma
+            for name, estimator in comparison_set(task, settings, gamma, components, balanced).items():
                 if models is None or name in models:
                     got = predictions(estimator.fit(fit), rest, task, ["key"])
                     parts.append(got.withColumns({"model": F.lit(name), "repeat": F.lit(r), "fold": F.lit(i)}))
-            means.append(train.agg(F.avg("y").alias("train_mean")).withColumns({"repeat": F.lit(r), "fold": F.lit(i)}))
-    return stage_table(_union(parts), "cv-predictions"), _union(means)
+            means.append((state.y_mean, r, i))
+    return stage_table(_union(parts), "cv-predictions"), spark.createDataFrame(means, "train_mean double, repeat int, fold int")
 
 
 def cv_metrics(preds: DataFrame, means: DataFrame, task: str) -> DataFrame:
@@ -308,20 +331,50 @@ def refit_best(table: DataFrame, task: str, best: dict, seed: int = 42) -> tuple
     return model, predictions(model, rest, task, ["key"]).withColumn("model", F.lit(f"{best['family']}_optimized"))
 
 
+REPRESENTATIONS = ("2D", "3D", "Hybrid")
+
+
+def represented(aligned: DataFrame, rep: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, features, y, keep...) of a representation: the first features, the second ones, or both side by side."""
+    features = {"2D": F.col("x2d"), "3D": F.col("x3d"), "Hybrid": F.concat("x2d", "x3d")}[rep]
+    return aligned.select("key", features.alias("features"), "y", *keep)
+
+
 def compare_representations(
     aligned: DataFrame, folds: DataFrame, task: str, k: int, repeats: int, settings: dict[str, dict] = COMPARISON,
-    models: Iterable[str] | None = None, components: int = 256,
+    models: Iterable[str] | None = None, components: int = 256, balanced: bool = True,
 ) -> DataFrame:
-    """Fold predictions of 2D, 3D and stacked features on the same folds: (representation, model, repeat, fold, key, y, ...)."""
+    """Fold predictions of 2D, 3D and stacked features on the same folds: (representation, model, repeat, fold, key, y, ...).
+
+    Classes have balanced weights unless ``balanced`` is off.
+    """
     parts = []
-    for rep in ("2D", "3D", "Hybrid"):
-        features = {"2D": F.col("x2d"), "3D": F.col("x3d"), "Hybrid": F.concat("x2d", "x3d")}[rep]
-        table = aligned.select("key", features.alias("features"), "y")
-        got, _ = cross_validate(table, folds, task, k, repeats, settings, models, oversample=False, components=components)
+    for rep in REPRESENTATIONS:
+        got, _ = cross_validate(
+            represented(aligned, rep), folds, task, k, repeats, settings, models, oversample=False, components=components,
+            balanced=balanced and task == "classification",
+        )
         parts.append(got.withColumn("representation", F.lit(rep)))
     return _union(parts)
 
 
+def holdout_representations(
+    aligned: DataFrame, task: str, settings: dict[str, dict] = COMPARISON, models: Iterable[str] | None = None,
+    components: int = 256, balanced: bool = True,
+) -> DataFrame:
+    """Predictions of rows with split='test' by models fitted on split='train': (representation, model, key, y, ...)."""
+    parts, weigh = [], balanced and task == "classification"
+    for rep in REPRESENTATIONS:
+        rows = represented(aligned, rep, ["split"])
+        train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+        fit, rest = prepared(train, test, task, oversample=False, weighted=weigh, name="holdout")
+        for name, estimator in comparison_set(task, settings, scale_gamma(fit), components, weigh).items():
+            if models is None or name in models:
+                got = predictions(estimator.fit(fit), rest, task, ["key"])
+                parts.append(got.withColumns({"model": F.lit(name), "representation": F.lit(rep)}))
+    return stage_table(_union(parts), "holdout-predictions")
+
+
 def fold_scores(preds: DataFrame, task: str) -> DataFrame:
     """(representation, model, fold, value): fold AUC, or fold r2, with repeats numbered through."""
     by = ["representation", "model", "repeat", "fold"]

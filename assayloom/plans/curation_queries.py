@@ -616,7 +616,7 @@ def split_stratified(spark, d):
     return S.stratified_split(Tables(spark, d).labels.select("doc_id", "toxic"), "doc_id", "toxic")
 
 
-def _fold_sql(table: str, key: str, group: str = "") -> str:
+def fold_sql(table: str, key: str, group: str = "") -> str:
     part = f"PARTITION BY repeat{', ' + group if group else ''}"
     extra = f", {group}" if group else ""
     return f"""
@@ -626,18 +626,18 @@ def _fold_sql(table: str, key: str, group: str = "") -> str:
                         ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold FROM r"""
 
 
-@register("kfold_repeated", _fold_sql("orders", "o_orderkey"))
+@register("kfold_repeated", fold_sql("orders", "o_orderkey"))
 def kfold_repeated(spark, d):
     return S.repeated_kfold(Tables(spark, d).orders.select("o_orderkey"), "o_orderkey")
 
 
-@register("kfold_stratified", _fold_sql("labels", "doc_id", "toxic"))
+@register("kfold_stratified", fold_sql("labels", "doc_id", "toxic"))
 def kfold_stratified(spark, d):
     return S.repeated_stratified_kfold(Tables(spark, d).labels.select("doc_id", "toxic"), "doc_id", "toxic")
 
 
 @register("kfold_sides", f"""
-    WITH f AS ({_fold_sql("labels", "doc_id")})
+    WITH f AS ({fold_sql("labels", "doc_id")})
     SELECT repeat, CAST(h AS INTEGER) AS held_out, CASE WHEN fold = h THEN 'val' ELSE 'train' END AS side, count(*) AS n
     FROM f, (SELECT unnest([0, 1, 2, 3, 4]) AS h) GROUP BY ALL""")
 def kfold_sides(spark, d):

@@ -8,7 +8,10 @@ ones, but for ``train_decided``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.operators import domain as D
@@ -17,7 +20,9 @@ from assayloom.operators import models as M
 from assayloom.operators import risk as R
 from assayloom.operators import scoring as Z
 from assayloom.operators.boosting import LeafwiseBooster, Settings
+from assayloom.operators.comparison import REPORTED, compare
 from assayloom.operators.explain import common_features, opposite_effects
+from assayloom.operators.folds import fold_moments, train_moments
 from assayloom.operators.kernel import CORNER_OF_TUBE, TUBE
 from assayloom.operators.metrics import confusion
 from assayloom.operators.neighbours import nearest
@@ -25,6 +30,7 @@ from assayloom.operators.resample import smote
 from assayloom.operators.splits import repeated_kfold, repeated_stratified_kfold, stratified_split
 from assayloom.operators.validation import compare_folds, cv_summary, sort_summary, unpivot_metrics
 from assayloom.plans.catalogue import Tables, register
+from assayloom.plans.curation_queries import fold_sql
 from assayloom.plans.jobs import predict_file
 from assayloom.session import stage_path
 
@@ -137,6 +143,25 @@ def kernel_tube(spark, d):
     return inside.groupBy("label").agg(F.count(F.lit(1)).alias("inside"), F.lit(TUBE).alias("tube"))
 
 
+@register("cv_fold_states", f"""
+    WITH f AS ({fold_sql("embeddings", "vec_id")}),
+      x AS (SELECT vec_id, label, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS idx, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+      t AS (SELECT repeat, CAST(h AS INTEGER) AS fold, vec_id FROM f, (SELECT unnest([0, 1, 2, 3, 4]) AS h) WHERE fold <> h)
+    SELECT repeat, fold, idx, round(avg(x), 6) + 0.0 AS centre, round(stddev_pop(x), 6) AS scale, round(avg(CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END), 6) AS train_mean
+    FROM t JOIN x USING (vec_id) GROUP BY repeat, fold, idx""")
+def cv_fold_states(spark, d):
+    """Scaling state and target mean of the training rows of all 15 folds, from one aggregation."""
+    table = labelled(spark, d)
+    folds = repeated_kfold(table.select("key"), "key").groupBy("key").pivot("repeat", [0, 1, 2]).agg(F.max("fold"))
+    moments = fold_moments(table.join(folds, "key"), ["0", "1", "2"])
+    parts = []
+    for r, i in sorted(moments):
+        train = train_moments(moments, r, i)
+        parts.append(train.state(spark).select(F.lit(r).alias("repeat"), F.lit(i).alias("fold"), "*", F.lit(train.y_mean).alias("train_mean")))
+    rounded = [(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("centre", "scale", "train_mean")]
+    return reduce(DataFrame.unionByName, parts).select("repeat", "fold", "idx", *rounded)
+
+
 @register("cross_validate")
 def cross_validate(spark, d):
     table = labelled(spark, d)
@@ -186,6 +211,28 @@ def compare_representations_summary(spark, d):
     return sort_summary(cv_summary(M.fold_scores(preds, "classification"), ["representation", "model"], ddof=1))
 
 
+_DECIDED = """
+    WITH e AS (SELECT vec_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y FROM embeddings),
+      r AS (SELECT y, row_number() OVER (PARTITION BY y ORDER BY md5('42|' || vec_id)) AS rn, count(*) OVER (PARTITION BY y) AS n FROM e)
+    SELECT representation, model, metric, part, n, 1.0::DOUBLE AS value
+    FROM (VALUES ('2D'), ('3D'), ('Hybrid')) a(representation), (VALUES ('RandomForest'), ('BoostedTrees')) b(model),
+      (VALUES ('auc'), ('mcc'), ('balanced_accuracy'), ('average_precision')) c(metric),
+      (SELECT 'holdout' AS part, count(*) FILTER (WHERE rn <= ceil(n * 0.2 - 1e-9)) AS n FROM r UNION ALL SELECT 'folds', 2) d"""
+
+
+@register("compare_decided", _DECIDED)
+def compare_decided(spark, d):
+    """Report on two families with features that decide the label: every fold and the holdout come out right."""
+    e = labelled(spark, d).select("key", "y")
+    aligned = e.withColumns({"x2d": F.array(F.col("y"), 1 - F.col("y")), "x3d": F.array(F.col("y") * 3)})
+    got = compare(aligned, "classification", 2, 1, settings=SETTINGS, models=["RandomForest", "BoostedTrees"], components=COMPONENTS)
+    ids, names = ["representation", "model"], list(REPORTED["classification"])
+    held = unpivot_metrics(got.holdout, [*ids, "n"], names).withColumn("part", F.lit("holdout"))
+    folds = got.folds.select(*ids, "metric", F.col("mean").alias("value"), F.col("n_folds").alias("n"), F.lit("folds").alias("part"))
+    out = held.unionByName(folds)
+    return out.select(*ids, "metric", "part", "n", F.round("value", 6).alias("value"))
+
+
 @register("importance_topk")
 def importance_topk(spark, d):
     fitted, _ = M.train_all(split_table(spark, d), "classification", SETTINGS, ["RandomForest"])
