@@ -7,13 +7,14 @@ taking a fold's sums of squares from the total would lose digits.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -73,6 +74,28 @@ def fold_moments(rows: DataFrame, places: Sequence[str], vec: str = "features",
     }
 
 
+def fold_classes(rows: DataFrame, places: Sequence[str], y: str = "y") -> dict[tuple[int, int], dict[float, int]]:
+    """Labelled rows by (repeat, fold) and class, from one aggregation."""
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("repeat"), F.col(p).alias("fold")) for r, p in enumerate(places)])).alias("at")
+    long = rows.select(F.col(y).alias("y"), each).where("at.fold IS NOT NULL AND y IS NOT NULL")
+    out: dict[tuple[int, int], dict[float, int]] = {}
+    for r in long.groupBy("at.repeat", "at.fold", "y").count().collect():
+        out.setdefault((r.repeat, r.fold), {})[r.y] = r["count"]
+    return out
+
+
+def train_weight(classes: dict[tuple[int, int], dict[float, int]], repeat: int, fold: int, y: str = "y") -> Column:
+    """n / (classes x n of the class) over the training rows of a fold; null for a class that they do not have."""
+    total: Counter[float] = Counter()
+    for (r, f), counts in classes.items():
+        if r == repeat and f != fold:
+            total.update(counts)
+    weight = F.lit(None).cast("double")
+    for label, n in sorted(total.items()):
+        weight = F.when(F.col(y) == label, total.total() / (len(total) * n)).otherwise(weight)
+    return weight
+
+
 def train_moments(moments: dict[tuple[int, int], Moments], repeat: int, fold: int) -> Moments:
     """Moments of the training rows of a fold: those of all other folds of its repeat."""
     others = [m for (r, f), m in sorted(moments.items()) if r == repeat and f != fold]

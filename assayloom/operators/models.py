@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from assayloom.operators.boosting import LeafwiseBooster, booster
 from assayloom.operators.features import fit_standard, scale
-from assayloom.operators.folds import fold_moments, train_moments
+from assayloom.operators.folds import fold_classes, fold_moments, train_moments, train_weight
 from assayloom.operators.kernel import TUBE, LandmarkKernel, MarginMachine
 from assayloom.operators.metrics import classification_metrics, cv_q2, ranking_metrics, regression_metrics, roc_auc
 from assayloom.operators.resample import smote
@@ -215,6 +215,7 @@ def cross_validate(
     joined = stage_table(table.select("key", "features", "y").join(by_repeat, "key"), "folds")
     moments = fold_moments(joined, places)
     made = task == "classification" and oversample
+    classes = fold_classes(joined, places) if balanced and not made else {}
     parts, means = [], []
     for r, place in enumerate(places):
         for i in range(k):
@@ -224,7 +225,7 @@ def cross_validate(
             if made:
                 fit = stage_table(smote(fit, "key", "features", "y"), f"cv-{r}-{i}")
             if balanced:
-                fit = balanced_weights(fit, "y")
+                fit = balanced_weights(fit, "y") if made else fit.withColumn("weight", train_weight(classes, r, i))
             fit = with_vector(fit)
             gamma = scale_gamma(fit) if made else state.scaled_gamma
             for name, estimator in comparison_set(task, settings, gamma, components, balanced).items():

@@ -215,17 +215,17 @@ _DECIDED = """
     WITH e AS (SELECT vec_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y FROM embeddings),
       r AS (SELECT y, row_number() OVER (PARTITION BY y ORDER BY md5('42|' || vec_id)) AS rn, count(*) OVER (PARTITION BY y) AS n FROM e)
     SELECT representation, model, metric, part, n, 1.0::DOUBLE AS value
-    FROM (VALUES ('2D'), ('3D'), ('Hybrid')) a(representation), (VALUES ('RandomForest'), ('BoostedTrees')) b(model),
+    FROM (VALUES ('2D'), ('3D'), ('Hybrid')) a(representation), (VALUES ('RandomForest')) b(model),
       (VALUES ('auc'), ('mcc'), ('balanced_accuracy'), ('average_precision')) c(metric),
       (SELECT 'holdout' AS part, count(*) FILTER (WHERE rn <= ceil(n * 0.2 - 1e-9)) AS n FROM r UNION ALL SELECT 'folds', 2) d"""
 
 
 @register("compare_decided", _DECIDED)
 def compare_decided(spark, d):
-    """Report on two families with features that decide the label: every fold and the holdout come out right."""
+    """Report on forests with features that decide the label: every fold and the holdout come out right."""
     e = labelled(spark, d).select("key", "y")
     aligned = e.withColumns({"x2d": F.array(F.col("y"), 1 - F.col("y")), "x3d": F.array(F.col("y") * 3)})
-    got = compare(aligned, "classification", 2, 1, settings=SETTINGS, models=["RandomForest", "BoostedTrees"], components=COMPONENTS)
+    got = compare(aligned, "classification", 2, 1, settings=SETTINGS, models=["RandomForest"], components=COMPONENTS)
     ids, names = ["representation", "model"], list(REPORTED["classification"])
     held = unpivot_metrics(got.holdout, [*ids, "n"], names).withColumn("part", F.lit("holdout"))
     folds = got.folds.select(*ids, "metric", F.col("mean").alias("value"), F.col("n_folds").alias("n"), F.lit("folds").alias("part"))

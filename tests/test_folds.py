@@ -36,6 +36,16 @@ def test_training_state_of_every_fold(spark):
     assert O.fold_moments(df.limit(0), ["fold_0"]) == {}
 
 
+def test_class_weights_of_every_fold(spark):
+    y = [None, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 2.0, 1.0]
+    df = spark.createDataFrame([(i, v, i % 3) for i, v in enumerate(y)], "key long, y double, fold_0 int")
+    classes = O.fold_classes(df, ["fold_0"])
+    for fold in range(3):
+        train = df.where(F.col("fold_0") != fold)
+        got = {r.key: r.weight for r in train.withColumn("weight", O.train_weight(classes, 0, fold)).collect()}
+        assert got == pytest.approx({r.key: r.weight for r in M.balanced_weights(train, "y").collect()})
+
+
 def test_tables_written_do_not_grow_with_the_folds(spark, monkeypatch):
     x = np.random.default_rng(2).normal(size=(60, 2))
     table = spark.createDataFrame([(i, v.tolist(), float(v[0])) for i, v in enumerate(x)], "key long, features array<double>, y double")
