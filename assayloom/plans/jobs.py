@@ -7,14 +7,41 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayloom.operators.curation import build_labelled
 from assayloom.operators.lookup import compounds_x_endpoints, compounds_x_targets, endpoint_targets, score_missing
 from assayloom.operators.risk import binding_compatibility, enhanced_score
 from assayloom.operators.scoring import EndpointModel, score_all
 from assayloom.operators.screening import best_target, endpoint_summary, pivot_results, risk_distribution, screen_summary
 from assayloom.session import stage_table
+from assayloom.sources.assays import (
+    ASSAYS_PER_KEYWORD,
+    DEFAULT_ASSAYS_PER_KEYWORD,
+    ENDPOINT_KEYWORDS,
+    MIN_PRIMARY_ROWS,
+    activities_for_assays,
+    keyword_assays,
+    source_or_fallback,
+)
 from assayloom.sources.tables import load_compounds, read_lines, write_json
 
 
+def endpoint_compounds(
+    assays: DataFrame, activities: DataFrame, curated: DataFrame, endpoint: str, assay_id: str = "assay_id",
+    description: str = "description", structure: str = "canonical_smiles", order: Sequence[str] = ("pos",),
+    min_rows: int = MIN_PRIMARY_ROWS, cache_path: str | None = None, **labels,
+) -> DataFrame:
+    """Labelled compounds of an endpoint: its search words find assays, their activities are labelled by its phrases,
+    one row per structure; ``curated`` stands in when fewer than ``min_rows`` compounds are found.
+
+    Activities without a structure or a clear label are left out. A table at ``cache_path`` wins over both sources and
+    is written there otherwise. ``labels`` go to the labelling (columns of comment, value and units, rule order).
+    """
+    most = ASSAYS_PER_KEYWORD.get(endpoint, DEFAULT_ASSAYS_PER_KEYWORD)
+    hits = keyword_assays(assays, assay_id, description, ENDPOINT_KEYWORDS[endpoint], most)
+    found = activities_for_assays(hits, activities, assay_id, structure)
+    return source_or_fallback(build_labelled(found, endpoint, structure, order=order, **labels), curated, min_rows, cache_path)
+
+
 def screen(
     compounds: DataFrame, pos: str, targets: Sequence[str], scorer: Callable[[DataFrame], DataFrame], cache: DataFrame | None = None
 ) -> dict[str, DataFrame]:
