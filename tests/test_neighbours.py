@@ -60,6 +60,29 @@ def test_few_blocks_are_visited_in_the_plane(spark, monkeypatch):
     assert sizes["visits"] < 6 * len(x)
 
 
+def test_sends_do_not_grow_with_the_number_of_blocks(spark, monkeypatch):
+    """Where all distances are alike, a row meets every block, but is sent once to each host."""
+    sizes = {}
+    stage = N.stage_table
+
+    def counted(df, name):
+        out = stage(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(N, "stage_table", counted)
+    x = np.random.default_rng(5).normal(size=(800, 32))
+    got = {r.rid: [p.rid for p in r.near] for r in N.nearest(table(spark, x), 5, len(x), 32, 10).collect()}
+    assert got == brute(x, 5) and sizes["visits"] <= 16 * len(x)
+
+
+def test_rows_that_share_an_id_lose_no_neighbour():
+    x = np.array([[0.0], [0.0], [1.0], [2.0], [3.0]])
+    rid = np.array([7, 7, 1, 2, 3])
+    met = list(N.closest(x, rid, np.full(5, np.inf), x, rid, 2))
+    assert [at.tolist() for at, _ in met[:2]] == [[2, 3], [2, 3]]
+
+
 def test_copies_do_not_overfill_a_block(spark):
     x = np.r_[np.tile([1.0, 2.0], (900, 1)), np.c_[np.arange(100.0), np.ones(100)]]
     sizes = [r["count"] for r in N.blocked(table(spark, x), 50, len(x), 2).groupBy("cell", "part").count().collect()]
