@@ -66,7 +66,7 @@ def drawn_rows(rows: DataFrame, many: int, chance: Callable[[np.ndarray], np.nda
                     mark = int(h[i])
                     if mark in inside:
                         continue
-                    entry = (-float(place[i]), mark, x[i])
+                    entry = (-float(place[i]), mark, x[i].copy())  # a view would hold on to the whole batch
                     if len(held) < many:
                         heapq.heappush(held, entry)
                     elif entry[:2] > held[0][:2]:
