@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayloom.session import stage_table
+
 # Fixed value: width of a fingerprint.
 N_BITS = 2048
 #: Queries that are sent to every task at most (8 KB each or less), and rows of a block of a comparison.
 MOST_ASKED, BLOCK = 4096, 512
+#: Of the prefix index: library rows of a part, meetings that a task unfolds at once, and pairs compared at once.
+PART_ROWS, MOST_MET, CHECKED = 4096, 1_000_000, 32_768
 
 
 def tokens(text: Column, ngram: int = 1) -> Column:
@@ -109,43 +113,102 @@ def _by_blocks(library: DataFrame, asked: DataFrame, key: str, query_key: str, b
     return library.mapInArrow(run, schema)
 
 
+def _prefixes(lists: pa.ListArray, rank: np.ndarray, min_sim: float) -> tuple[np.ndarray, ...]:
+    """Sizes of the sets; then row, rank and place of the prefix bits, rarest bits of a set first."""
+    offsets = lists.offsets.to_numpy()
+    sizes = np.diff(offsets)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    ranks = rank[lists.values.to_numpy()[offsets[0] : offsets[-1]]]
+    ranks = ranks[np.lexsort((ranks, row))]
+    place = np.arange(len(row)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+    inside = place < np.repeat(sizes - np.ceil(sizes * min_sim - 1e-9) + 1, sizes)
+    return sizes, row[inside], ranks[inside], place[inside]
+
+
+def _words(lists: pa.ListArray, n_bits: int) -> np.ndarray:
+    """The sets as rows of 64-bit words."""
+    width = -(-n_bits // 64) * 64
+    parts = [np.packbits(_bit_matrix(lists.slice(at, BLOCK), width).astype(np.uint8), axis=1) for at in range(0, len(lists), BLOCK)]
+    return np.ascontiguousarray(np.concatenate(parts)).view(np.uint64)
+
+
+def _met(mine: pa.ListArray, other: pa.ListArray, rank: np.ndarray, min_sim: float, n_bits: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(places in ``mine``, places in ``other``, similarity) of the pairs that reach ``min_sim``, in bounded pieces."""
+    n, row, ranks, place = _prefixes(mine, rank, min_sim)
+    m, asked, by_rank, spot = _prefixes(other, rank, min_sim)
+    order = np.argsort(by_rank, kind="stable")
+    starts = np.searchsorted(by_rank[order], np.arange(len(rank) + 1))
+    many = starts[ranks + 1] - starts[ranks]
+    words, asked_words = _words(mine, n_bits), _words(other, n_bits)
+    edges = np.searchsorted(row, np.arange(len(n) + 1))
+    reached = np.append(0, np.cumsum(many))[edges]
+    top = 0
+    while top < len(n):
+        low, most_rows = top, max(1, MOST_MET // len(m))
+        top = min(len(n), low + most_rows, max(low + 1, int(np.searchsorted(reached, reached[low] + MOST_MET, "right")) - 1))
+        entry = np.repeat(np.arange(edges[low], edges[top]), many[edges[low] : edges[top]])
+        step = np.arange(len(entry)) - (np.append(0, np.cumsum(many))[entry] - reached[low])
+        post = order[starts[ranks[entry]] + step]
+        # Entries go from rare to frequent bits, so of a pair's meetings the first is written last.
+        first = np.full((top - low) * len(m), -1)
+        first[((row[entry] - low) * len(m) + asked[post])[::-1]] = np.arange(len(entry))[::-1]
+        hit = first[first >= 0]
+        i, j, at, to = row[entry[hit]], asked[post[hit]], place[entry[hit]], spot[post[hit]]
+        may = np.flatnonzero(np.minimum(n[i] - at, m[j] - to) >= min_sim / (1 + min_sim) * (n[i] + m[j]) - 1e-9)
+        for some in np.array_split(may, -(-len(may) // CHECKED)) if len(may) else []:
+            a, b = i[some], j[some]
+            common = np.bitwise_count(words[a] & asked_words[b]).sum(axis=1, dtype=np.int64)
+            similar = common / (n[a] + m[b] - common)
+            found = similar >= min_sim - 1e-12
+            yield a[found], b[found], similar[found]
+
+
 def candidates(library: DataFrame, asked: DataFrame, bits: str, min_sim: float, n_bits: int) -> DataFrame:
-    """(left columns..., right columns...) of every pair that may reach ``min_sim``, each pair once.
+    """(left columns..., right columns..., similarity) of every pair that reaches ``min_sim``, each pair once.
 
-    With the rarest bits first, two sets that reach it share one of the first n - ceil(min_sim * n) + 1 bits, and
-    neither is smaller than ``min_sim`` times the other. A pair comes out at its first common prefix bit only, and
-    only if the bits behind that place in both sets can still reach the threshold.
+    With the rarest bits first, two sets that reach it share one of the first n - ceil(min_sim * n) + 1 bits. Parts of
+    the library meet the prefix index of at most MOST_ASKED queries or so at a time. A pair is looked at once, at its
+    first common prefix bit, and only if the bits behind that place in both sets can still reach the threshold; the
+    whole sets are compared last. Only what reaches it leaves the task.
     """
     # one count per bit: at most n_bits numbers on the driver
-    uses = [0] * n_bits
+    uses = np.zeros(n_bits, np.int64)
     for r in library.select(F.explode(bits).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect():
         uses[r.b] = r.n
-    rarity = F.lit(uses)
-
-    def prefix(df, side):
-        by_rarity = F.array_sort(F.transform(F.col(bits), lambda b: F.struct(F.get(rarity, b).alias("n"), b.alias("b"))))
-        keep = F.size(bits) - F.ceil(F.size(bits) * F.lit(min_sim) - F.lit(1e-9)) + 1
-        cut = df.withColumn(f"p{side}", F.slice(F.transform(by_rarity, lambda e: e["b"]), 1, keep.cast("int")))
-        whole = cut.withColumns({f"n{side}": F.size(bits), f"w{side}": packed(F.col(bits), n_bits)}).drop(bits)
-        return whole.select("*", F.posexplode(f"p{side}").alias(f"i{side}", "b"))
-
-    pairs = prefix(library, "l").join(prefix(asked, "r"), "b")
-    most = F.least(F.col("nl") - F.col("il"), F.col("nr") - F.col("ir"))
-    need = F.lit(min_sim / (1 + min_sim)) * (F.col("nl") + F.col("nr")) - 1e-9
-    first = F.get(F.array_intersect("pl", "pr"), F.lit(0)) == F.col("b")
-    return pairs.where((most >= need) & first)
+    rank = np.empty(n_bits, np.int64)
+    rank[np.argsort(uses, kind="stable")] = np.arange(n_bits)
+    parts, chunks = max(1, -(-library.count() // PART_ROWS)), max(1, -(-asked.count() // MOST_ASKED))
+    left, right = [c for c in library.columns if c != bits], [c for c in asked.columns if c != bits]
+    fields = [library.schema[c] for c in left] + [asked.schema[c] for c in right]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("similarity", T.DoubleType())])
+    spread = lambda df, n, name: df.withColumn(name, F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int"))
+    every = lambda df, n, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    mine = every(spread(library, parts, "_part"), chunks, "_chunk").groupBy("_part", "_chunk")
+    # under another name, as both sides may be read from one table
+    renamed = asked.withColumn("_bits", F.transform(bits, lambda b: b)).drop(bits)
+    theirs = every(spread(renamed, chunks, "_chunk"), parts, "_part").groupBy("_part", "_chunk")
+
+    def meet(own: pa.Table, other: pa.Table) -> pa.Table:
+        none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        pieces = [none]
+        if own.num_rows and other.num_rows:
+            pieces += _met(own[bits].combine_chunks(), other["_bits"].combine_chunks(), rank, min_sim, n_bits)
+        i, j, similar = (pa.array(np.concatenate(p)) for p in zip(*pieces))
+        columns = [own[c].take(i) for c in left] + [other[c].take(j) for c in right]
+        return pa.table([*columns, similar], names=[*left, *right, "similarity"])
+
+    return mine.cogroup(theirs).applyInArrow(meet, schema)
 
 
 def _by_index(library: DataFrame, asked: DataFrame, key: str, query_key: str, bits: str, min_sim: float, n_bits: int) -> DataFrame:
-    library, asked = library.where(F.size(bits) > 0), asked.where(F.size(bits) > 0)
+    # written once, as each table is read several times; a fingerprint is not made again
+    asked = stage_table(asked.where(F.size(bits) > 0).withColumnRenamed(query_key, "_q"), "asked")
     # copies share one fingerprint row, so a large group of copies is looked at once and unfolded last
     name = F.sha2(F.array_join(F.transform(F.col(bits), lambda b: b.cast("string")), ","), 256)
-    named = library.select(F.col(key).alias("_key"), name.alias("_k"), bits)
-    prints = named.groupBy("_k").agg(F.any_value(bits).alias(bits))
-    pairs = candidates(prints, asked.withColumnRenamed(query_key, "_q"), bits, min_sim, n_bits)
-    common = shared_bits(F.col("wl"), F.col("wr"))
-    checked = pairs.select("_q", "_k", (common / (F.col("nl") + F.col("nr") - common)).alias("similarity")).where(F.col("similarity") >= min_sim - 1e-12)
-    return checked.join(named.select("_key", "_k"), "_k").select(F.col("_q").alias(query_key), F.col("_key").alias(key), "similarity")
+    named = stage_table(library.where(F.size(bits) > 0).select(F.col(key).alias("_key"), name.alias("_k"), bits), "library")
+    prints = stage_table(named.groupBy("_k").agg(F.any_value(bits).alias(bits)), "prints")
+    pairs = candidates(prints, asked, bits, min_sim, n_bits)
+    return pairs.join(named.select("_key", "_k"), "_k").select(F.col("_q").alias(query_key), F.col("_key").alias(key), "similarity")
 
 
 def tanimoto_pairs(pairs: DataFrame, rows: DataFrame, key: str, bits: str, left: str, right: str) -> DataFrame:

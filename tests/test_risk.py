@@ -137,6 +137,28 @@ def test_index_meets_each_pair_once_and_few_of_them(spark):
     assert Y.tanimoto_search(odd, none.withColumnRenamed("key", "q"), "key", "q", "bits", 0.5, 64).count() == 0
 
 
+def test_index_compares_inside_the_task(spark, monkeypatch):
+    """Pieces of every size give the same pairs, and only pairs that reach the threshold leave the index."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    draw = random.Random(7)
+    sets = {i: sorted(draw.sample(range(100), draw.randint(1, 30))) for i in range(90)}
+    want = {(a, b) for a in sets for b in sets if len(set(sets[a]) & set(sets[b])) >= 0.1 * len(set(sets[a]) | set(sets[b]))}
+    monkeypatch.setattr(Y, "PART_ROWS", 20)
+    monkeypatch.setattr(Y, "MOST_ASKED", 25)
+    rows = spark.createDataFrame(list(sets.items()), "key long, bits array<int>")
+    got = Y.candidates(rows, rows.selectExpr("key AS q", "bits"), "bits", 0.1, 100).collect()
+    assert len(got) == len(want) and {(r.key, r.q) for r in got} == want
+    lists = pa.array(list(sets.values()), pa.list_(pa.int32()))
+    for name, least in (("MOST_MET", 50), ("MOST_MET", 400), ("CHECKED", 7)):
+        monkeypatch.setattr(Y, name, least)
+        pieces = list(Y._met(lists, lists, np.random.default_rng(1).permutation(100), 0.1, 100))
+        assert len(pieces) > 9 and sorted((i, j) for a, b, _ in pieces for i, j in zip(a.tolist(), b.tolist())) == sorted(want)
+
+
 def test_word_ngrams(spark):
     df = spark.createDataFrame([("A b  c, a B",), ("x",), ("",)], "t string")
     assert [r.x for r in df.select(Y.tokens(F.col("t")).alias("x")).collect()] == [["a", "b", "c"], ["x"], []]
