@@ -59,16 +59,23 @@ def flat_trees(nodes: DataFrame) -> FlatTrees:
     """The node table as arrays on the driver; its size is that of the model, and is checked."""
     if nodes.count() > MOST_NODES:
         raise ValueError(f"more than {MOST_NODES} nodes")
-    t = nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)
-    place = {k: i for i, k in enumerate(zip(t["tree"].tolist(), t["node"].tolist()))}
-    leaf = (t["feature"].fillna(-1) < 0).to_numpy()
+    t = nodes.toArrow()
+    tree, node = (t[c].to_numpy().astype(np.int64) for c in ("tree", "node"))
+    t = t.take(order := np.lexsort((node, tree)))
+    mark = (tree[order] << 32) + node[order]
+    feature = t["feature"].fill_null(-1).to_numpy().astype(np.int64)
+    leaf = feature < 0
 
     def children(side: str) -> np.ndarray:
-        return np.array([i if stop else place[tree, node] for i, (stop, tree, node) in enumerate(zip(leaf, t["tree"], t[side].fillna(-1).astype(int)))], np.int64)
-
-    roots = np.flatnonzero(t["node"].to_numpy() == t.groupby("tree")["node"].transform("min").to_numpy())
-    feature = np.where(leaf, -1, t["feature"].fillna(-1)).astype(np.int64)
-    return FlatTrees(roots, t["weight"].to_numpy()[roots], children("left"), children("right"), feature, t["threshold"].to_numpy(float), t["value"].to_numpy(float))
+        wanted = np.where(leaf, mark, (tree[order] << 32) + t[side].fill_null(-1).to_numpy())
+        at = np.searchsorted(mark, wanted)
+        if len(at) and not np.array_equal(mark.take(at, mode="clip"), wanted):
+            raise KeyError(f"{side}: a node is not there")
+        return at
+
+    roots = np.flatnonzero(np.diff(tree[order], prepend=-1))
+    number = lambda c: t[c].cast("double").fill_null(float("nan")).to_numpy()
+    return FlatTrees(roots, number("weight")[roots], children("left"), children("right"), np.where(leaf, -1, feature), number("threshold"), number("value"))
 
 
 def tree_attribution(vec: Column, trees: FlatTrees) -> Column:

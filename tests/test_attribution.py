@@ -108,3 +108,13 @@ def test_keys_beyond_doubles_stay_exact(spark):
     assert {(r.key, r.score, r.success) for r in scorer(df).collect()} == {(BIG, 1.0, True), (None, 1.0, False), (BIG + 2, 1.0, True)}
     seen = L.python_scorer(lambda batch: [(str(k),) for k in batch["key"]], "said string")
     assert str(BIG) in {r.said for r in seen(df.withColumn("odd name", F.lit(1))).collect()}
+
+
+def test_flat_trees_do_not_need_an_order_and_miss_no_node(spark):
+    nodes = [(4, 2, -1, -1, None, None, 0.5, 0.5), (4, 0, 1, 2, 3, 0.25, 0.75, 0.5), (9, 0, -1, -1, -1, None, 1.0, 0.5), (4, 1, -1, -1, -1, None, 1.0, 0.5)]
+    t = A.flat_trees(spark.createDataFrame(nodes, A.NODES))
+    assert [x.tolist() for x in (t.roots, t.weights, t.left, t.right, t.feature)] == [[0, 3], [0.5, 0.5], [1, 1, 2, 3], [2, 1, 2, 3], [3, -1, -1, -1]]
+    assert t.value.tolist() == [0.75, 1.0, 0.5, 1.0] and t.threshold[0] == 0.25 and t.base == 0.875
+    with pytest.raises(KeyError):
+        A.flat_trees(spark.createDataFrame(nodes[1:], A.NODES))
+    assert len(A.flat_trees(spark.createDataFrame([], A.NODES)).roots) == 0
