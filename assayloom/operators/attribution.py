@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from assayloom.operators.boosting import LeafwiseModel
 from assayloom.operators.explain import common_features, linear_attribution, opposite_effects, top_of_array
 from assayloom.operators.features import scale
+from assayloom.operators.forest import TaskForestModel
 from assayloom.operators.models import final_stage
 from assayloom.operators.scoring import EndpointModel
 from assayloom.operators.trees import FlatTrees
@@ -36,6 +37,8 @@ def tree_nodes(model: Transformer) -> DataFrame:
     from pyspark.sql import SparkSession
 
     spark, last = SparkSession.active(), final_stage(model)
+    if isinstance(last, TaskForestModel):
+        return last.nodes()
     if not hasattr(last, "treeWeights"):
         raise TypeError(f"{type(last).__name__} has no trees")
     path = stage_path(spark, "trees")
@@ -101,6 +104,8 @@ def explain_trees(df: DataFrame, vec: str, trees: FlatTrees, out: str = "contrib
 
 def _one(rows: DataFrame, vec: str, model) -> DataFrame:
     """(..., contributions, base_value) of a tree ensemble or of (coefficients, means, intercept)."""
+    if isinstance(model, TaskForestModel):
+        return model.attributions(rows, vec, "contributions").withColumn("base_value", F.lit(model.base))
     if isinstance(model, FlatTrees):
         return explain_trees(rows, vec, model).drop("score")
     coefficients, means, intercept = model
@@ -111,7 +116,7 @@ def _one(rows: DataFrame, vec: str, model) -> DataFrame:
 def explain_endpoints(df: DataFrame, key: str, vec: str, models: Mapping[str, object], names: Sequence[str], k: int = 10) -> DataFrame:
     """Long table (key, endpoint, base_value, score, rank, idx, feature, value, ...) of the first ``k`` features.
 
-    ``models`` has a FlatTrees, or (coefficients, means, intercept), per endpoint. The table is read once: each
+    ``models`` has a FlatTrees, a TaskForestModel, or (coefficients, means, intercept), per endpoint. The table is read once: each
     model adds its answer to the row, and the row is unfolded at the end. Features that add nothing are not listed;
     rows without a usable vector have no features.
     """
@@ -135,6 +140,8 @@ def explain_models(df: DataFrame, key: str, vec: str, models: Sequence[EndpointM
         last = final_stage(em.model)
         if isinstance(last, LeafwiseModel):
             made = last.explained
+        elif isinstance(last, TaskForestModel):
+            made = last
         elif hasattr(last, "treeWeights"):
             made = flat_trees(tree_nodes(em.model))
         elif hasattr(last, "coefficients") and last is em.model:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from assayloom.operators.boosting import LeafwiseBooster, booster
 from assayloom.operators.features import fit_standard, scale
 from assayloom.operators.folds import fold_classes, fold_moments, train_moments, train_weight
+from assayloom.operators.forest import TaskForest
 from assayloom.operators.kernel import TUBE, LandmarkKernel, MarginMachine
 from assayloom.operators.metrics import classification_metrics, cv_q2, ranking_metrics, regression_metrics, roc_auc
 from assayloom.operators.resample import smote
@@ -61,6 +62,8 @@ TUNING = {
     },
 }
 TRIALS, TUNING_FOLDS = 30, 3
+#: Nodes that the settings of Spark's own forest may allow: its driver holds them all.
+DRIVER_NODES = 500_000
 
 
 class RandomFourier(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
@@ -100,6 +103,15 @@ def scale_gamma(train: DataFrame, vec: str = "features") -> float:
     return 1.0 / (stats.p * stats.v) if stats.p and stats.v else 1.0
 
 
+def forest(task: str, settings: dict, weight: str | None = None, seed: int = 42) -> Estimator | TaskForest:
+    """Spark's forest, or one that stays in tasks where the settings allow a larger one of classes."""
+    options = {"featuresCol": "x", "labelCol": "y", "seed": seed, **({"weightCol": weight} if weight else {}), **settings}
+    if task == "regression":
+        return RandomForestRegressor(**options)
+    large = settings.get("numTrees", 20) * 2 ** (settings.get("maxDepth", 5) + 1) > DRIVER_NODES
+    return (TaskForest if large else RandomForestClassifier)(**options)
+
+
 def model_set(
     task: str, settings: dict[str, dict] = BASELINE, gamma: float = 1.0, weight: str | None = None,
     components: int = 256, seed: int = 42,
@@ -111,13 +123,13 @@ def model_set(
     margin = {"featuresCol": "z", "labelCol": "y", "cost": settings["kernel"]["C"], **w}
     if task == "regression":
         return {
-            "RandomForest": RandomForestRegressor(**common, **settings["forest"], **w),
+            "RandomForest": forest(task, settings["forest"], weight, seed),
             "BoostedTrees": GBTRegressor(**common, **settings["boosted"], **w),
             "LeafwiseTrees": booster(task, settings["boosted"], weight, seed),
             "KernelSVR": Pipeline(stages=[kernel, MarginMachine(outputCol="prediction", tube=settings["kernel"].get("tube", TUBE), **margin)]),
         }
     return {
-        "RandomForest": RandomForestClassifier(**common, **settings["forest"], **w),
+        "RandomForest": forest(task, settings["forest"], weight, seed),
         "BoostedTrees": GBTClassifier(**common, **settings["boosted"], **w),
         "LeafwiseTrees": booster(task, settings["boosted"], weight, seed),
         "KernelSVC": Pipeline(stages=[
@@ -253,12 +265,11 @@ def draw_settings(family: str, trials: int, seed: int = 42) -> list[dict]:
 def tuned_estimator(task: str, family: str, params: dict, weight: str | None = None, seed: int = 42) -> Estimator | LeafwiseBooster:
     if family == "leafwise":
         return booster(task, params, weight, seed)
-    makers: dict[tuple[str, bool], Callable] = {
-        ("regression", True): RandomForestRegressor, ("regression", False): GBTRegressor,
-        ("classification", True): RandomForestClassifier, ("classification", False): GBTClassifier,
-    }
+    if family == "forest":
+        return forest(task, params, weight, seed)
+    maker: Callable = GBTRegressor if task == "regression" else GBTClassifier
     extra = {"weightCol": weight} if weight else {}
-    return makers[(task, family == "forest")](featuresCol="x", labelCol="y", seed=seed, **params, **extra)
+    return maker(featuresCol="x", labelCol="y", seed=seed, **params, **extra)
 
 
 def weight_space(task: str, family: str, positives: int, negatives: int) -> dict[str, tuple]:

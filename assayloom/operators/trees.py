@@ -23,9 +23,9 @@ class FlatTrees:
     def base(self) -> float:
         return float((self.weights * self.value[self.roots]).sum())
 
-    def attribute(self, x: np.ndarray) -> np.ndarray:
-        """Attributions (rows x features) of a matrix without gaps."""
-        out = np.zeros(x.shape)
+    def attribute(self, x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+        """Attributions (rows x features) of a matrix without gaps, added to ``out`` where it is given."""
+        out = np.zeros(x.shape) if out is None else out
         for root, weight in zip(self.roots.tolist(), self.weights.tolist()):
             rows, node = np.arange(len(x)), np.full(len(x), root)
             while True:

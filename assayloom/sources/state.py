@@ -7,6 +7,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from assayloom.operators.boosting import LeafwiseModel, load_leafwise
+from assayloom.operators.forest import TaskForestModel, load_forest
 
 
 def save_state(state: DataFrame, path: str) -> str:
@@ -23,19 +24,20 @@ def load_state(spark: SparkSession, path: str) -> DataFrame:
         raise FileNotFoundError(f"no saved state at {path}; fit the step first") from missing
 
 
-def save_model(model: PipelineModel | LeafwiseModel, path: str) -> str:
-    if isinstance(model, LeafwiseModel):
+def save_model(model: PipelineModel | LeafwiseModel | TaskForestModel, path: str) -> str:
+    if isinstance(model, LeafwiseModel | TaskForestModel):
         return model.save(path)
     model.write().overwrite().save(path)
     return path
 
 
-def load_model(path: str) -> PipelineModel | LeafwiseModel:
-    """A saved model of either kind; a missing one is an error that names the path."""
-    try:
-        return load_leafwise(SparkSession.active(), path)
-    except AnalysisException:
-        pass  # no leaf-wise trees there
+def load_model(path: str) -> PipelineModel | LeafwiseModel | TaskForestModel:
+    """A saved model of any kind; a missing one is an error that names the path."""
+    for load in (load_leafwise, load_forest):
+        try:
+            return load(SparkSession.active(), path)
+        except AnalysisException:
+            pass  # no such trees there
     try:
         return PipelineModel.load(path)
     except Exception as missing:
