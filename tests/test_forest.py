@@ -120,3 +120,14 @@ def test_small_forests_and_those_of_numbers_stay_with_spark():
     kinds = [type(M.forest(*a)) for a in (("classification", {"numTrees": 20, "maxDepth": 6}), ("regression", M.BASELINE["forest"]), ("classification", M.BASELINE["forest"], "weight"))]
     assert kinds == [RandomForestClassifier, RandomForestRegressor, G.TaskForest]
     assert isinstance(M.tuned_estimator("classification", "forest", M.COMPARISON["forest"]), G.TaskForest)
+
+
+def test_a_stream_is_scored_like_a_table(spark, tmp_path):
+    df = table(spark, 200, 8)
+    model = G.TaskForest(numTrees=4).fit(df)
+    df.select("key", "features", "y").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key long, features array<double>, y double").parquet(str(tmp_path / "in"))
+    scored = M.predictions(model, stream, "classification", ["key"])
+    scored.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {r.key: (r.score, r.prediction) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert same(got, answers(model, df))
